@@ -98,3 +98,161 @@ FROM pr
 """.replace("{lin}", linearize_sql())
 
 ORACLE["facts_wide"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + _FACTS_SELECT
+
+
+# ---------------------------------------------------------------------------
+# M1: text side
+# ---------------------------------------------------------------------------
+from tuplespark import constants as K  # noqa: E402
+
+
+def lit(s: str) -> str:
+    """A DuckDB string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+SENTS = r"""
+sents AS (
+  SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS lineId, unnest(ss) AS s
+  FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*["'')\]]*'),
+                                                  lambda x: trim(x, ' ')), lambda x: x <> '') AS ss
+        FROM documents))
+"""
+
+OBJ_TEXT = "lambda o: CASE WHEN length(o.prep) = 0 THEN o.obj ELSE o.prep || ' ### ' || o.obj END"
+PRED_TEXT = "array_to_string(list_append(auxi, pred), ' ### ')"
+PRED_FIRST = f"array_to_string(list_concat([{PRED_TEXT}, subj], list_transform(objs, {OBJ_TEXT})), ' ;; ')"
+
+GREC = f"""
+grec AS (SELECT 'sentence ' || doc_id AS sent, {PRED_TEXT} AS pred,
+                list_concat([subj], list_transform(objs, {OBJ_TEXT})) AS args,
+                doc_id * 100 + tidx AS line_no FROM g)
+"""
+
+GOLD_REPLIES = f"""
+replies AS (SELECT doc_id, string_agg((tidx + 1) || '. ' || {PRED_FIRST}, chr(10) ORDER BY tidx) AS reply
+            FROM g GROUP BY doc_id)
+"""
+
+PRED_REPLIES = """
+replies AS (SELECT doc_id, replace(pred_str, ' ,, ', ' ;; ') AS reply FROM oie_pairs)
+"""
+
+ANNO_LINES = """
+al_l AS (SELECT doc_id, generate_subscripts(string_split(reply, chr(10)), 1) AS pos,
+                unnest(string_split(reply, chr(10))) AS line FROM replies),
+al AS (SELECT doc_id, pos, line, string_split(line, '.')[1] AS item,
+              string_split(array_to_string(string_split(line, '.')[2:], '.'), ' ;; ') AS parts,
+              CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS item_idx
+       FROM al_l WHERE length(line) >= 5 AND regexp_full_match(substr(line, 1, 1), '[0-9]'))
+"""
+
+GOLD = [OIE_PAIRS, parse_cte("g", "oie_pairs", "gold_str")]
+
+ORACLE["split_sentences"] = with_ctes(SENTS) + "SELECT doc_id, lineId, s FROM sents"
+
+ORACLE["ident_build"] = with_ctes(SENTS) + \
+    "SELECT CAST(doc_id AS VARCHAR) AS articleId, lineId, CAST(doc_id AS VARCHAR) || '_' || lineId AS ident FROM sents"
+
+ORACLE["ident_split"] = with_ctes(SENTS) + \
+    "SELECT CAST(doc_id AS VARCHAR) || '_' || lineId AS ident, CAST(doc_id AS VARCHAR) AS articleId, lineId FROM sents"
+
+ORACLE["template_reformat"] = with_ctes(*GOLD, GREC) + """
+SELECT line_no, sent, pred, args[1] AS subj,
+  '' AS obj0_prep, coalesce(args[2], '') AS obj0_obj,
+  '' AS obj1_prep, coalesce(args[3], '') AS obj1_obj,
+  '' AS obj2_prep, coalesce(args[4], '') AS obj2_obj,
+  '' AS auxilliary FROM grec
+"""
+
+ORACLE["linearize_tuples"] = with_ctes(*GOLD) + f"SELECT doc_id, tidx, {linearize_sql()} AS text FROM g"
+
+ORACLE["linearize_pred_first"] = with_ctes(*GOLD) + f"SELECT doc_id, tidx, {PRED_FIRST} AS text FROM g"
+
+ORACLE["render_target"] = with_ctes(*GOLD) + f"""
+SELECT p.doc_id, coalesce(t.target, '') AS target FROM oie_pairs p LEFT JOIN (
+  SELECT doc_id, string_agg(CASE WHEN tidx = 0 THEN {linearize_sql()} ELSE (tidx + 1) || '. ' || {linearize_sql()} END,
+                            chr(10) ORDER BY tidx) AS target FROM g GROUP BY doc_id) t ON p.doc_id = t.doc_id
+"""
+
+ORACLE["render_plain"] = with_ctes(*GOLD) + """
+SELECT doc_id, tidx, trim(subj || ' ' || CASE WHEN len(auxi) > 0 THEN array_to_string(auxi, ' ') || ' ' ELSE '' END
+  || pred || ' ' || array_to_string(list_transform(objs, lambda o: o.prep || ' ' || o.obj), ' '), ' ') AS plain FROM g
+"""
+
+ORACLE["annotation_prompt"] = with_ctes(*GOLD, GREC) + f"""
+, items AS (SELECT sent, line_no, row_number() OVER (PARTITION BY sent ORDER BY line_no) AS i,
+                   array_to_string(list_prepend(pred, args), ' ;; ') AS body FROM grec)
+SELECT sent, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS BIGINT) AS sidx,
+  CAST(count(*) AS BIGINT) AS n_records,
+  {lit(K.ANNOTATION_HEADER)} || sent || chr(10) || chr(10) || 'Before:' || chr(10)
+    || string_agg(i || '. ' || body || chr(10) || chr(10) || 'After:', '' ORDER BY line_no) AS prompt
+FROM items GROUP BY sent
+"""
+
+ORACLE["build_messages"] = with_ctes(SENTS) + f"""
+SELECT doc_id, lineId, CAST(0 AS BIGINT) AS msg_idx, 'system' AS role, {lit(K.SYSTEM_INSTRUCTION)} AS content FROM sents
+UNION ALL
+SELECT doc_id, lineId, CAST(1 AS BIGINT) AS msg_idx, 'user' AS role, {lit(K.USER_PREFIX)} || s AS content FROM sents
+"""
+
+ORACLE["render_chat"] = """
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text)
+    || '<|assistant|>' || chr(10) || '1. ' AS prompt
+FROM conversations GROUP BY conv_id
+"""
+
+ORACLE["parse_lines"] = with_ctes(OIE_PAIRS) + """
+, l AS (SELECT doc_id, generate_subscripts(string_split(lower(pred_str), chr(10)), 1) AS pos,
+               unnest(string_split(lower(pred_str), chr(10))) AS line FROM oie_pairs),
+k AS (SELECT doc_id, pos, line FROM l WHERE trim(line, ' ') <> ''
+      QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) = 1),
+n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS li FROM k),
+b AS (SELECT doc_id, li, line, CASE WHEN li = 0 THEN line
+        WHEN regexp_full_match(string_split(line, '.')[1], '[0-9]+')
+        THEN array_to_string(string_split(line, '.')[2:], '.') END AS body FROM n)
+SELECT doc_id, CAST(li AS BIGINT) AS line_idx, line, body,
+       CAST(CASE WHEN body IS NOT NULL THEN len(string_split(body, ',,')) END AS BIGINT) AS n_parts FROM b
+"""
+
+ORACLE["parse_annotation"] = with_ctes(*GOLD, GOLD_REPLIES, ANNO_LINES) + """
+, ar AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS tidx,
+   parts[2] AS subj,
+   CASE WHEN contains(parts[1], '###') THEN list_transform(string_split(parts[1], '###'), lambda x: trim(x, ' '))[-1]
+        ELSE parts[1] END AS pred,
+   CASE WHEN contains(parts[1], '###') THEN list_transform(string_split(parts[1], '###'), lambda x: trim(x, ' '))[1:-2]
+        ELSE []::VARCHAR[] END AS auxi,
+   list_transform(parts[3:], lambda o: CASE WHEN contains(o, '###')
+        THEN {'prep': trim(string_split(o, '###')[1], ' '), 'obj': trim(string_split(o, '###')[2], ' ')}
+        ELSE {'prep': '', 'obj': o} END) AS objs
+  FROM al WHERE len(parts) >= 2)
+SELECT doc_id, tidx, subj, pred, array_to_string(auxi, ' ### ') AS auxi, CAST(len(auxi) AS BIGINT) AS n_auxi,
+       array_to_string(list_transform(objs, lambda o: o.prep || ' ### ' || o.obj), ' ,, ') AS objs,
+       CAST(len(objs) AS BIGINT) AS n_objs
+FROM ar
+"""
+
+ORACLE["valid_replies"] = with_ctes(OIE_PAIRS, PRED_REPLIES) + \
+    "SELECT doc_id, CAST(length(reply) AS BIGINT) AS n_chars, length(reply) >= 10 AS valid FROM replies"
+
+ORACLE["annotation_violations"] = with_ctes(*GOLD, GREC, PRED_REPLIES, ANNO_LINES) + """
+, bad AS (SELECT doc_id, item_idx, line, item, parts,
+     list_filter(parts[3:], lambda o: contains(o, '###') AND len(string_split(o, '###')) <> 2) AS bad_objs FROM al)
+SELECT CAST(doc_id AS VARCHAR) AS key, item_idx, 'item_not_numeric' AS rule, line AS detail FROM bad
+  WHERE NOT regexp_full_match(item, '[0-9]+')
+UNION ALL SELECT CAST(doc_id AS VARCHAR), item_idx, 'pred_pieces', parts[1] FROM bad
+  WHERE contains(parts[1], '###') AND len(string_split(parts[1], '###')) <> 2
+UNION ALL SELECT CAST(doc_id AS VARCHAR), item_idx, 'no_subject', line FROM bad WHERE len(parts) < 2
+UNION ALL SELECT CAST(doc_id AS VARCHAR), item_idx, 'subj_has_sep', parts[2] FROM bad
+  WHERE len(parts) >= 2 AND contains(parts[2], '###')
+UNION ALL SELECT CAST(doc_id AS VARCHAR), item_idx, 'obj_pieces', array_to_string(bad_objs, ' ;; ') FROM bad
+  WHERE len(bad_objs) > 0
+UNION ALL SELECT sent, CAST(NULL AS BIGINT), 'too_many_args', array_to_string(args, chr(9)) FROM grec WHERE len(args) > 4
+"""
+
+ORACLE["long_outputs"] = """
+SELECT doc_id, n_tokens FROM (
+  SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+  FROM documents) WHERE n_tokens > 510
+"""

@@ -56,3 +56,164 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("facts_wide")
 def q_facts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# M1: text side
+# ---------------------------------------------------------------------------
+from tuplespark import constants as K  # noqa: E402
+from tuplespark.functions.parse import annotation_lines, parse_annotation as _parse_anno  # noqa: E402
+from tuplespark.functions.text import (linearize, obj_text, pred_text, render_plain,  # noqa: E402
+                                       render_target, words)
+from tuplespark.operators.corpus import (group_by_sentence, record_violations,  # noqa: E402
+                                         render_annotation_prompt, reply_violations, to_template,
+                                         valid_reply)
+from tuplespark.operators.facts import split_ident, with_ident  # noqa: E402
+from tuplespark.operators.prompts import build_messages, render_chat  # noqa: E402
+from tuplespark.operators.sentences import split_sentences  # noqa: E402
+from tuplespark.sources.tables import table  # noqa: E402
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return split_sentences(docs.withColumn("articleId", F.col("doc_id").cast("string")))
+
+
+def gold_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed gold tuples, one row per tuple: ``doc_id, tidx, t``."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    return parsed.select("doc_id", F.posexplode("triples").alias("tidx", "t")) \
+                 .withColumn("tidx", F.col("tidx").cast("bigint"))
+
+
+def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold tuples as ragged TSV records ``(sent, pred, args, line_no)``."""
+    t = F.col("t")
+    return gold_tuples(spark, sf_dir).select(
+        F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"),
+        pred_text(t).alias("pred"),
+        F.concat(F.array(t["subj"]), F.transform(t["objs"], obj_text)).alias("args"),
+        (F.col("doc_id") * 100 + F.col("tidx")).alias("line_no"))
+
+
+def gold_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation replies: gold tuples predicate first, every line numbered."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    reply = F.array_join(F.transform("triples", lambda t, i: F.concat(
+        (i + 1).cast("string"), F.lit(". "), linearize(t, "pred_first"))), "\n")
+    return parsed.select("doc_id", reply.alias("reply"))
+
+
+def pred_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw generated text re-separated with ``;;`` (subject first): a reply
+    stream with non-numeric items and separators in the subject."""
+    return oie_pairs(spark, sf_dir).select(
+        "doc_id", F.regexp_replace("pred_str", " ,, ", K.PRED_FIRST_SEP).alias("reply"))
+
+
+@query("split_sentences")
+def q_split_sentences(spark, sf_dir):
+    return sentences(spark, sf_dir).select("doc_id", F.col("lineId").cast("bigint").alias("lineId"), "s")
+
+
+@query("ident_build")
+def q_ident_build(spark, sf_dir):
+    return with_ident(sentences(spark, sf_dir)).select(
+        "articleId", F.col("lineId").cast("bigint").alias("lineId"), "ident")
+
+
+@query("ident_split")
+def q_ident_split(spark, sf_dir):
+    built = with_ident(sentences(spark, sf_dir)).select("ident")
+    return split_ident(built).select("ident", "articleId", F.col("lineId").cast("bigint").alias("lineId"))
+
+
+@query("template_reformat")
+def q_template_reformat(spark, sf_dir):
+    tpl = to_template(gold_records(spark, sf_dir))
+    cols = [F.col(f"obj{i}.{f}").alias(f"obj{i}_{f}") for i in range(K.TEMPLATE_OBJECTS) for f in ("prep", "obj")]
+    return tpl.select("line_no", "sent", "pred", "subj", *cols, "auxilliary")
+
+
+@query("linearize_tuples")
+def q_linearize(spark, sf_dir):
+    return gold_tuples(spark, sf_dir).select("doc_id", "tidx", linearize(F.col("t")).alias("text"))
+
+
+@query("linearize_pred_first")
+def q_linearize_pf(spark, sf_dir):
+    return gold_tuples(spark, sf_dir).select("doc_id", "tidx", linearize(F.col("t"), "pred_first").alias("text"))
+
+
+@query("render_target")
+def q_render_target(spark, sf_dir):
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    return parsed.select("doc_id", render_target(F.col("triples")).alias("target"))
+
+
+@query("render_plain")
+def q_render_plain(spark, sf_dir):
+    return gold_tuples(spark, sf_dir).select("doc_id", "tidx", render_plain(F.col("t")).alias("plain"))
+
+
+@query("annotation_prompt")
+def q_annotation_prompt(spark, sf_dir):
+    grouped = group_by_sentence(gold_records(spark, sf_dir))
+    return render_annotation_prompt(grouped).select(
+        "sent", F.col("sidx").cast("bigint").alias("sidx"), F.size("records").cast("bigint").alias("n_records"), "prompt")
+
+
+@query("build_messages")
+def q_build_messages(spark, sf_dir):
+    msgs = build_messages(sentences(spark, sf_dir), "s", shots="none")
+    return msgs.select("doc_id", F.col("lineId").cast("bigint").alias("lineId"),
+                       F.posexplode("messages").alias("msg_idx", "m")).select(
+        "doc_id", "lineId", F.col("msg_idx").cast("bigint").alias("msg_idx"),
+        F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@query("render_chat")
+def q_render_chat(spark, sf_dir):
+    return render_chat(table(spark, sf_dir, "conversations"))
+
+
+@query("parse_lines")
+def q_parse_lines(spark, sf_dir):
+    """FLT-1..4 / SET-1: kept lines of each output, the text left after the
+    number is cut (NULL = rejected) and its number of ``,,`` parts."""
+    pairs = oie_pairs(spark, sf_dir)
+    lines = F.array_distinct(F.filter(F.split(F.lower("pred_str"), "\n", -1), lambda s: F.trim(s) != ""))
+    from tuplespark.functions.parse import DIGITS, _after_first_dot
+    body = F.transform(lines, lambda s, i: F.struct(s.alias("line"), F.when(i == 0, s).when(
+        F.get(F.split(s, "[.]", -1), 0).rlike(DIGITS), _after_first_dot(s)).alias("body")))
+    return pairs.select("doc_id", F.posexplode(body).alias("line_idx", "b")).select(
+        "doc_id", F.col("line_idx").cast("bigint").alias("line_idx"), F.col("b.line").alias("line"),
+        F.col("b.body").alias("body"),
+        F.when(F.col("b.body").isNotNull(), F.size(F.split(F.col("b.body"), K.PART_SPLIT, -1)))
+         .cast("bigint").alias("n_parts"))
+
+
+@query("parse_annotation")
+def q_parse_annotation(spark, sf_dir):
+    return _tuple_rows(_parse_anno(gold_replies(spark, sf_dir), "reply"))
+
+
+@query("valid_replies")
+def q_valid_replies(spark, sf_dir):
+    r = pred_replies(spark, sf_dir)
+    return r.select("doc_id", F.length("reply").cast("bigint").alias("n_chars"), valid_reply(F.col("reply")).alias("valid"))
+
+
+@query("annotation_violations")
+def q_annotation_violations(spark, sf_dir):
+    replies = reply_violations(pred_replies(spark, sf_dir), "reply", ["doc_id"]) \
+        .select(F.col("doc_id").cast("string").alias("key"), "item_idx", "rule", "detail")
+    recs = record_violations(gold_records(spark, sf_dir), ["sent"]) \
+        .select(F.col("sent").alias("key"), F.lit(None).cast("bigint").alias("item_idx"), "rule", "detail")
+    return replies.unionByName(recs)
+
+
+@query("long_outputs")
+def q_long_outputs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n_tokens"))
+    return docs.where(F.col("n_tokens") > K.LONG_OUTPUT_TOKENS).select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
