@@ -74,7 +74,7 @@ def linearize_sql(t: str = "") -> str:
 
 
 def with_ctes(*ctes: str) -> str:
-    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(c.strip() for c in ctes) + "\n"
 
 
 ORACLE: dict[str, str] = {}
@@ -256,3 +256,229 @@ SELECT doc_id, n_tokens FROM (
   SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
   FROM documents) WHERE n_tokens > 510
 """
+
+
+# ---------------------------------------------------------------------------
+# M2 / M3: scoring, greedy matching (recursive CTE), distances
+# ---------------------------------------------------------------------------
+
+def W(x: str) -> str:
+    """Whitespace words."""
+    return f"list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')"
+
+
+def OV(a: str, b: str) -> str:
+    """Multiset intersection size."""
+    return (f"coalesce(list_sum(list_transform(list_distinct({a}), lambda u: least("
+            f"len(list_filter({a}, lambda x: x = u)), len(list_filter({b}, lambda x: x = u))))), 0)")
+
+
+PLAIN = ("trim(subj || ' ' || CASE WHEN len(auxi) > 0 THEN array_to_string(auxi, ' ') || ' ' ELSE '' END || pred "
+         "|| ' ' || array_to_string(list_transform({objs}, lambda o: o.prep || ' ' || o.obj), ' '), ' ')")
+
+
+def _words_cte(name: str, src: str, idx: str) -> str:
+    return f"""
+{name} AS (SELECT doc_id, tidx AS {idx}, subj, pred, auxi, objs, {W('subj')} AS subj_w, {W('pred')} AS pred_w,
+   list_transform(auxi, lambda a: {W('a')}) AS aux_w,
+   list_transform(objs, lambda o: {W("o.prep || ' ' || o.obj")}) AS obj_w,
+   len(objs) AS n_objs, {W(PLAIN.format(objs='objs'))} AS tok FROM {src})"""
+
+
+SCORE_CTES = [
+    OIE_PAIRS, parse_cte("g", "oie_pairs", "gold_str"), parse_cte("pr", "oie_pairs", "pred_str"),
+    _words_cte("gw", "g", "gidx"), _words_cte("pw", "pr", "pidx"),
+    f"""
+allp AS (SELECT gw.doc_id, gidx, pidx, gw.subj_w AS gs, pw.subj_w AS ps, gw.pred_w AS gp, pw.pred_w AS pp,
+   gw.aux_w AS ga, pw.aux_w AS pa, gw.obj_w AS go, pw.obj_w AS po, gw.n_objs AS gn, pw.n_objs AS pn,
+   {OV('gw.subj_w', 'pw.subj_w')} AS ovs, {OV('gw.pred_w', 'pw.pred_w')} AS ovp
+ FROM gw JOIN pw ON gw.doc_id = pw.doc_id)""",
+    """
+cand AS (SELECT *, least(gn, coalesce(min(CASE WHEN pn > 0 THEN pn END) OVER (PARTITION BY doc_id, gidx ORDER BY pidx
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), gn)) AS ncur,
+         least(gn, coalesce(min(CASE WHEN pn > 0 THEN pn END) OVER (PARTITION BY doc_id, gidx), gn)) AS ncut
+         FROM allp WHERE ovs > 0 AND ovp > 0)""",
+    """
+cand2 AS (SELECT *, CASE WHEN pn = 0 THEN CASE WHEN ncur = 0 THEN 0 END ELSE least(ncur, pn) END AS L,
+          least(len(ga), len(pa)) AS A FROM cand)""",
+    f"""
+stats AS (SELECT *,
+   coalesce(list_sum(list_transform(range(1, A + 1), lambda k: {OV('ga[k]', 'pa[k]')})), 0) AS aov,
+   coalesce(list_sum(list_transform(range(1, A + 1), lambda k: len(pa[k]))), 0) AS anp,
+   coalesce(list_sum(list_transform(range(1, A + 1), lambda k: len(ga[k]))), 0) AS ang,
+   coalesce(list_sum(list_transform(range(1, coalesce(L, 0) + 1), lambda k: {OV('go[k]', 'po[k]')})), 0) AS oov,
+   coalesce(list_sum(list_transform(range(1, coalesce(L, 0) + 1), lambda k: len(po[k]))), 0) AS onp,
+   coalesce(list_sum(list_transform(range(1, coalesce(L, 0) + 1), lambda k: len(go[k]))), 0) AS ong,
+   len(list_filter(range(1, coalesce(L, 0) + 1), lambda k: {OV('go[k]', 'po[k]')} = 0)) AS ofail
+ FROM cand2)""",
+    """
+scores AS (SELECT doc_id, gidx, pidx, L AS n_cmp_objs, ncut,
+   CASE WHEN L IS NOT NULL AND ofail = 0 THEN (ovs + ovp + aov + oov) / (len(ps) + len(pp) + anp + onp) END AS prec,
+   CASE WHEN L IS NOT NULL AND ofail = 0 THEN (ovs + ovp + aov + oov) / (len(gs) + len(gp) + ang + ong) END AS rec
+ FROM stats)""",
+]
+
+
+def greedy_cte(name: str, cells: str, score: str, higher: bool) -> str:
+    """``name(doc_id, gidx, pidx, score)``: accepted cells of the greedy
+    assignment, as a recursive walk over each sentence's sorted cells."""
+    order = f"{score} DESC" if higher else f"{score} ASC"
+    return f"""
+{name}_r AS (SELECT doc_id, gidx, pidx, {score} AS s,
+   row_number() OVER (PARTITION BY doc_id ORDER BY {order}, gidx, pidx) AS rn FROM {cells}),
+{name}_w(doc_id, rn, rws, cols, picked) AS (
+  SELECT DISTINCT doc_id, 0, []::BIGINT[], []::BIGINT[], []::STRUCT(g BIGINT, p BIGINT, s DOUBLE)[] FROM {name}_r
+  UNION ALL
+  SELECT w.doc_id, w.rn + 1,
+    CASE WHEN list_contains(w.rws, c.gidx) OR list_contains(w.cols, c.pidx) THEN w.rws ELSE list_append(w.rws, c.gidx) END,
+    CASE WHEN list_contains(w.rws, c.gidx) OR list_contains(w.cols, c.pidx) THEN w.cols ELSE list_append(w.cols, c.pidx) END,
+    CASE WHEN list_contains(w.rws, c.gidx) OR list_contains(w.cols, c.pidx) THEN w.picked
+         ELSE list_append(w.picked, {{'g': c.gidx, 'p': c.pidx, 's': CAST(c.s AS DOUBLE)}}) END
+  FROM {name}_w w JOIN {name}_r c ON c.doc_id = w.doc_id AND c.rn = w.rn + 1),
+{name} AS (SELECT doc_id, m.g AS gidx, m.p AS pidx, m.s AS {score} FROM (
+  SELECT doc_id, unnest(arg_max(picked, rn)) AS m FROM {name}_w GROUP BY doc_id))"""
+
+
+GREEDY_P = greedy_cte("gp", "(SELECT * FROM scores WHERE prec IS NOT NULL)", "prec", True)
+
+SENT_SCORES = """
+, sscore AS (
+  SELECT o.doc_id, coalesce(ng.n, 0) AS rec_den, coalesce(np.n, 0) AS prec_den,
+         coalesce(pn.v, 0.0) AS prec_num, coalesce(rn.v, 0.0) AS rec_num
+  FROM oie_pairs o
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) ng ON ng.doc_id = o.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id) np ON np.doc_id = o.doc_id
+  LEFT JOIN (SELECT doc_id, sum(prec) AS v FROM gp GROUP BY doc_id) pn ON pn.doc_id = o.doc_id
+  LEFT JOIN (SELECT doc_id, sum(m) AS v FROM (SELECT doc_id, gidx, max(rec) AS m FROM scores
+             WHERE prec IS NOT NULL GROUP BY doc_id, gidx) GROUP BY doc_id) rn ON rn.doc_id = o.doc_id),
+sscore2 AS (SELECT *, CASE WHEN prec_den > 0 THEN prec_num / prec_den ELSE 1.0 END AS prec,
+                      CASE WHEN rec_den > 0 THEN rec_num / rec_den ELSE 0.0 END AS rec FROM sscore),
+sscore3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN (1 + 0.25) * prec * rec / (0.25 * prec + rec) ELSE 0.0 END AS f_score
+            FROM sscore2)
+"""
+
+ORACLE["candidate_pairs"] = with_ctes(*SCORE_CTES) + "SELECT doc_id, gidx, pidx FROM cand"
+
+ORACLE["word_overlap"] = with_ctes(*SCORE_CTES) + f"""
+SELECT c.doc_id, c.gidx, c.pidx, CAST(ovs AS BIGINT) AS ov_subj, CAST(ovp AS BIGINT) AS ov_pred,
+       CAST({OV('gw.tok', 'pw.tok')} AS BIGINT) AS ov_text
+FROM cand c JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx JOIN pw ON pw.doc_id = c.doc_id AND pw.pidx = c.pidx
+"""
+
+ORACLE["pair_scores"] = with_ctes(*SCORE_CTES) + """
+SELECT doc_id, gidx, pidx, round(prec, 6) AS prec, round(rec, 6) AS rec, CAST(n_cmp_objs AS BIGINT) AS n_cmp_objs FROM scores
+"""
+
+ORACLE["gold_truncation"] = with_ctes(*SCORE_CTES) + """
+SELECT DISTINCT doc_id, gidx, CAST(gn AS BIGINT) AS n_objs, CAST(ncut AS BIGINT) AS n_cut FROM cand WHERE ncut < gn
+"""
+
+ORACLE["greedy_precision"] = with_ctes(*SCORE_CTES, GREEDY_P) + "SELECT doc_id, gidx, pidx, round(prec, 6) AS prec FROM gp"
+
+ORACLE["sentence_scores"] = with_ctes(*SCORE_CTES, GREEDY_P) + SENT_SCORES + """
+SELECT doc_id, round(prec_num, 6) AS prec_num, round(prec, 6) AS prec, round(rec_num, 6) AS rec_num,
+       round(rec, 6) AS rec, round(f_score, 6) AS f_score, 0.5 AS f_beta,
+       CAST(prec_den AS BIGINT) AS prec_den, CAST(rec_den AS BIGINT) AS rec_den FROM sscore3
+"""
+
+ORACLE["macro_metrics"] = with_ctes(*SCORE_CTES, GREEDY_P) + SENT_SCORES + """
+SELECT CAST(n AS BIGINT) AS n_sentences, round(p, 6) AS macro_prec, round(r, 6) AS macro_rec,
+       round((1 + 0.25) * p * r / (0.25 * p + r), 6) AS macro_f_beta, round(2 * p * r / (p + r), 6) AS macro_f1
+FROM (SELECT count(*) AS n, avg(prec) AS p, avg(rec) AS r FROM sscore3)
+"""
+
+ORACLE["micro_metrics"] = with_ctes(*SCORE_CTES, GREEDY_P) + SENT_SCORES + """
+SELECT round(p, 6) AS micro_prec, round(r, 6) AS micro_rec,
+       round((1 + 0.25) * p * r / (0.25 * p + r), 6) AS micro_f_beta, round(2 * p * r / (p + r), 6) AS micro_f1
+FROM (SELECT sum(prec_num) / sum(prec_den) AS p, sum(rec_num) / sum(rec_den) AS r FROM sscore3)
+"""
+
+
+def LEV(a: str, b: str) -> str:
+    """Token edit distance: code each distinct token of the pair as one ASCII
+    character (DuckDB's levenshtein counts bytes)."""
+    return (f"levenshtein(array_to_string(list_transform({a}, lambda t: chr(32 + list_position(list_distinct(list_concat({a}, {b})), t))), ''), "
+            f"array_to_string(list_transform({b}, lambda t: chr(32 + list_position(list_distinct(list_concat({a}, {b})), t))), ''))")
+
+
+ORACLE["token_distance"] = with_ctes(*SCORE_CTES) + f"""
+SELECT c.doc_id, c.gidx, c.pidx, CAST({LEV('gw.tok', 'pw.tok')} AS BIGINT) AS dist
+FROM cand c JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx JOIN pw ON pw.doc_id = c.doc_id AND pw.pidx = c.pidx
+"""
+
+PERMS = """
+perm(n, p) AS (SELECT n, []::BIGINT[] FROM range(0, 8) t(n)
+               UNION ALL SELECT n, list_append(p, k) FROM perm, range(0, 8) r(k)
+               WHERE k < n AND len(p) < n AND NOT list_contains(p, k)),
+perms AS (SELECT n, p, row_number() OVER (PARTITION BY n ORDER BY p) - 1 AS perm_idx FROM perm WHERE len(p) = n),
+ptok AS (SELECT pw.doc_id, pw.pidx, perms.perm_idx,
+   """ + W(PLAIN.format(objs="list_transform(perms.p, lambda k: objs[k + 1])")) + """ AS tok
+ FROM pw JOIN perms ON perms.n = pw.n_objs)
+"""
+
+ORACLE["min_perm_distance"] = with_ctes(*SCORE_CTES, PERMS) + f"""
+SELECT c.doc_id, c.gidx, c.pidx, CAST(min({LEV('gw.tok', 'ptok.tok')}) AS BIGINT) AS dist
+FROM cand c JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx
+JOIN ptok ON ptok.doc_id = c.doc_id AND ptok.pidx = c.pidx
+GROUP BY c.doc_id, c.gidx, c.pidx
+"""
+
+ORACLE["object_permutations"] = with_ctes(*SCORE_CTES, PERMS) + """
+SELECT pw.doc_id, CAST(pw.pidx AS BIGINT) AS pidx, CAST(perms.perm_idx AS BIGINT) AS perm_idx,
+       array_to_string(list_transform(perms.p, lambda k: pw.objs[k + 1].obj), ' | ') AS objs
+FROM pw JOIN perms ON perms.n = pw.n_objs
+"""
+
+
+def dist_ctes(mode: str) -> list[str]:
+    """Greedy-matched distances over all pairs of each sentence (E5, E7)."""
+    if mode == "sequential":
+        gcut = """
+gcut AS (SELECT gw.doc_id, gw.gidx, """ + W(PLAIN.format(objs="objs[1:coalesce(c.ncut, gw.n_objs)]")) + """ AS tok
+  FROM gw LEFT JOIN (SELECT DISTINCT doc_id, gidx, ncut FROM cand) c ON c.doc_id = gw.doc_id AND c.gidx = gw.gidx)"""
+    else:
+        gcut = "gcut AS (SELECT doc_id, gidx, tok FROM gw)"
+    return [gcut, f"""
+dcell AS (SELECT gcut.doc_id, gcut.gidx, ptok.pidx, min({LEV('gcut.tok', 'ptok.tok')}) AS d
+  FROM gcut JOIN ptok ON ptok.doc_id = gcut.doc_id GROUP BY gcut.doc_id, gcut.gidx, ptok.pidx)""",
+            greedy_cte("gd", "dcell", "d", False)]
+
+
+ORACLE["greedy_distance"] = with_ctes(*SCORE_CTES, PERMS, *dist_ctes("sequential")) + """
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY d, gidx, pidx) - 1 AS BIGINT) AS match_idx,
+       CAST(d AS BIGINT) AS dist FROM gd
+"""
+
+
+def _hist(mode: str) -> str:
+    return with_ctes(*SCORE_CTES, PERMS, *dist_ctes(mode)) + """
+SELECT CAST(d AS BIGINT) AS distance, CAST(count(*) AS BIGINT) AS n,
+       printf('%.2f%%', round(100.0 * count(*) / sum(count(*)) OVER (), 10)) AS share FROM gd GROUP BY d
+"""
+
+
+ORACLE["distance_histogram"] = _hist("sequential")
+ORACLE["distance_histogram_pairwise"] = _hist("pairwise")
+
+ORACLE["mean_distance"] = with_ctes(*SCORE_CTES, PERMS, *dist_ctes("sequential")) + """
+SELECT round(avg(d), 6) AS mean_distance, CAST(count(*) AS BIGINT) AS n_matches FROM gd
+"""
+
+ORACLE["distance_fallback"] = with_ctes(*SCORE_CTES, PERMS, *dist_ctes("sequential")) + """
+, eff AS (SELECT o.doc_id, coalesce(ng.n, 0) AS G, coalesce(np.n, 0) AS P, coalesce(np.f, 0) AS F
+          FROM oie_pairs o
+          LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) ng ON ng.doc_id = o.doc_id
+          LEFT JOIN (SELECT doc_id, count(*) AS n, sum(factorial(CAST(len(objs) AS INTEGER))) AS f FROM pr GROUP BY doc_id) np
+            ON np.doc_id = o.doc_id)
+SELECT e.doc_id, e.G * e.F > 12 AS fallback,
+  CAST(CASE WHEN e.G * e.F > 12 THEN least(e.G, e.P) ELSE coalesce(s.n, 0) END AS BIGINT) AS n_dists,
+  CAST(CASE WHEN e.G * e.F > 12 THEN 20 * least(e.G, e.P) ELSE coalesce(s.t, 0) END AS BIGINT) AS sum_dists
+FROM eff e LEFT JOIN (SELECT doc_id, count(*) AS n, sum(d) AS t FROM gd GROUP BY doc_id) s ON s.doc_id = e.doc_id
+"""
+
+ORACLE["evaluate_chain"] = with_ctes(*SCORE_CTES, GREEDY_P, PERMS, *dist_ctes("sequential")) + SENT_SCORES + """
+SELECT s.doc_id, round(prec, 6) AS prec, round(rec, 6) AS rec, round(f_score, 6) AS f_score,
+       coalesce(d.dists, '') AS dists
+FROM sscore3 s LEFT JOIN (SELECT doc_id, string_agg(CAST(CAST(d AS BIGINT) AS VARCHAR), ',' ORDER BY d, gidx, pidx) AS dists
+                          FROM gd GROUP BY doc_id) d ON d.doc_id = s.doc_id
+"""

@@ -217,3 +217,165 @@ def q_annotation_violations(spark, sf_dir):
 def q_long_outputs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n_tokens"))
     return docs.where(F.col("n_tokens") > K.LONG_OUTPUT_TOKENS).select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
+# ---------------------------------------------------------------------------
+# M2 / M3: scoring, matching, distances, corpus metrics
+# ---------------------------------------------------------------------------
+from tuplespark.functions.text import overlap  # noqa: E402
+from tuplespark.operators.matching import greedy_match  # noqa: E402
+from tuplespark.operators.metrics import (distance_histogram, macro_metrics, mean_distance,  # noqa: E402
+                                          micro_metrics)
+from tuplespark.operators.scoring import (all_orders, candidate_pairs, min_perm_distance,  # noqa: E402
+                                          score_pairs, sentence_distances, sentence_scores,
+                                          token_distance, tuple_table, whitespace_tokens)
+from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences  # noqa: E402
+
+BETA = 0.5   # the published evaluation runs use F-0.5 as the F-beta
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+def _sents(spark, sf_dir):
+    return parse_sentences(oie_pairs(spark, sf_dir))
+
+
+def _pairs(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    return candidate_pairs(tuple_table(s, "doc_id", "gold", "gidx", "g_"),
+                           tuple_table(s, "doc_id", "pred", "pidx", "p_"), "doc_id")
+
+
+@query("candidate_pairs")
+def q_candidate_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("doc_id", "gidx", "pidx")
+
+
+@query("word_overlap")
+def q_word_overlap(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("doc_id", "gidx", "pidx",
+                    overlap(F.col("g_subj_w"), F.col("p_subj_w")).cast("bigint").alias("ov_subj"),
+                    overlap(F.col("g_pred_w"), F.col("p_pred_w")).cast("bigint").alias("ov_pred"),
+                    overlap(words(render_plain(F.col("g_tuple"))), words(render_plain(F.col("p_tuple"))))
+                    .cast("bigint").alias("ov_text"))
+
+
+@query("pair_scores")
+def q_pair_scores(spark, sf_dir):
+    sc = score_pairs(_pairs(spark, sf_dir))
+    return sc.select("doc_id", "gidx", "pidx", _r6(F.col("prec")).alias("prec"), _r6(F.col("rec")).alias("rec"),
+                     F.col("n_cmp_objs").cast("bigint").alias("n_cmp_objs"))
+
+
+@query("gold_truncation")
+def q_gold_truncation(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    sc = score_pairs(p).join(p.select("doc_id", "gidx", "g_n_objs").distinct(), ["doc_id", "gidx"])
+    return (sc.where(F.col("g_n_cut") < F.col("g_n_objs"))
+              .select("doc_id", "gidx", F.col("g_n_objs").cast("bigint").alias("n_objs"),
+                      F.col("g_n_cut").cast("bigint").alias("n_cut")).distinct())
+
+
+@query("greedy_precision")
+def q_greedy_precision(spark, sf_dir):
+    sc = score_pairs(_pairs(spark, sf_dir)).where(F.col("prec").isNotNull())
+    m = greedy_match(sc, "doc_id", "gidx", "pidx", "prec", higher=True)
+    return m.select("doc_id", "gidx", "pidx", _r6(F.col("prec")).alias("prec"))
+
+
+def _sentence_scores(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    sc = score_pairs(candidate_pairs(tuple_table(s, "doc_id", "gold", "gidx", "g_"),
+                                     tuple_table(s, "doc_id", "pred", "pidx", "p_"), "doc_id"))
+    return sentence_scores(s, sc, beta=BETA)
+
+
+@query("sentence_scores")
+def q_sentence_scores(spark, sf_dir):
+    ss = _sentence_scores(spark, sf_dir)
+    return ss.select("doc_id", *[_r6(F.col(c)).alias(c) for c in ("prec_num", "prec", "rec_num", "rec", "f_score", "f_beta")],
+                     "prec_den", "rec_den")
+
+
+@query("macro_metrics")
+def q_macro(spark, sf_dir):
+    m = macro_metrics(_sentence_scores(spark, sf_dir), BETA)
+    return m.select(F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                    *[_r6(F.col(c)).alias(c) for c in ("macro_prec", "macro_rec", "macro_f_beta", "macro_f1")])
+
+
+@query("micro_metrics")
+def q_micro(spark, sf_dir):
+    m = micro_metrics(_sentence_scores(spark, sf_dir), BETA)
+    return m.select(*[_r6(F.col(c)).alias(c) for c in ("micro_prec", "micro_rec", "micro_f_beta", "micro_f1")])
+
+
+@query("token_distance")
+def q_token_distance(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("doc_id", "gidx", "pidx", token_distance(
+        whitespace_tokens(render_plain(F.col("g_tuple"))),
+        whitespace_tokens(render_plain(F.col("p_tuple")))).cast("bigint").alias("dist"))
+
+
+@query("min_perm_distance")
+def q_min_perm_distance(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("doc_id", "gidx", "pidx", min_perm_distance(
+        whitespace_tokens(render_plain(F.col("g_tuple"))), F.col("p_tuple")).cast("bigint").alias("dist"))
+
+
+@query("object_permutations")
+def q_object_permutations(spark, sf_dir):
+    s = _sents(spark, sf_dir)
+    t = s.select("doc_id", F.posexplode("pred").alias("pidx", "t"))
+    per = t.select("doc_id", F.col("pidx").cast("bigint").alias("pidx"),
+                   F.posexplode(all_orders(F.size("t.objs"))).alias("perm_idx", "perm"), "t")
+    return per.select("doc_id", "pidx", F.col("perm_idx").cast("bigint").alias("perm_idx"),
+                      F.array_join(F.transform("perm", lambda k: F.get(F.col("t.objs"), k)["obj"]), " | ").alias("objs"))
+
+
+def _distances(spark, sf_dir, mode="sequential", **kw):
+    return evaluate(oie_pairs(spark, sf_dir), cfg=EvalConfig(beta=BETA, gold_truncation=mode, **kw))
+
+
+@query("greedy_distance")
+def q_greedy_distance(spark, sf_dir):
+    ev = sentence_distances(_sents(spark, sf_dir), gold_cut=score_pairs(_pairs(spark, sf_dir)))
+    return ev.select("doc_id", F.posexplode("levenshtein_dists").alias("match_idx", "dist")).select(
+        "doc_id", F.col("match_idx").cast("bigint").alias("match_idx"), F.col("dist").cast("bigint").alias("dist"))
+
+
+@query("distance_histogram")
+def q_distance_histogram(spark, sf_dir):
+    return distance_histogram(sentence_distances(_sents(spark, sf_dir), gold_cut=score_pairs(_pairs(spark, sf_dir))))
+
+
+@query("distance_histogram_pairwise")
+def q_distance_histogram_pw(spark, sf_dir):
+    return distance_histogram(sentence_distances(_sents(spark, sf_dir)))
+
+
+@query("mean_distance")
+def q_mean_distance(spark, sf_dir):
+    m = mean_distance(sentence_distances(_sents(spark, sf_dir), gold_cut=score_pairs(_pairs(spark, sf_dir))))
+    return m.select(_r6(F.col("mean_distance")).alias("mean_distance"), F.col("n_matches").cast("bigint").alias("n_matches"))
+
+
+@query("distance_fallback")
+def q_distance_fallback(spark, sf_dir):
+    """SCO-6 with a small effort limit (12 edit distances per sentence) so the
+    over-limit rule is exercised on the fixture."""
+    d = sentence_distances(_sents(spark, sf_dir), gold_cut=score_pairs(_pairs(spark, sf_dir)), max_effort=12)
+    return d.select("doc_id", "fallback", F.size("levenshtein_dists").cast("bigint").alias("n_dists"),
+                    F.aggregate("levenshtein_dists", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_dists"))
+
+
+@query("evaluate_chain")
+def q_evaluate(spark, sf_dir):
+    ev = _distances(spark, sf_dir)
+    return ev.select("doc_id", *[_r6(F.col(c)).alias(c) for c in ("prec", "rec", "f_score")],
+                     F.array_join(F.transform("levenshtein_dists", lambda x: x.cast("string")), ",").alias("dists"))
