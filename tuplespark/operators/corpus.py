@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
+from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.parse import annotation_lines
 from tuplespark.operators.indexing import with_index
 
@@ -62,7 +63,7 @@ def reply_violations(df: DataFrame, reply: str, key: list[str]) -> DataFrame:
     Rules: ``item_not_numeric`` (kept, A2), ``pred_pieces`` (``###`` splits the
     predicate into other than 2 pieces), ``subj_has_sep``, ``obj_pieces``,
     ``no_subject`` (line left out by the parser, A5)."""
-    lines = df.select(*key, F.posexplode(annotation_lines(F.col(reply))).alias("item_idx", "r"))
+    lines = explode_rows(df, key, annotation_lines(F.col(reply)), "r", "item_idx")
     r = F.col("r")
     p0, p1 = F.get(r["parts"], 0), F.get(r["parts"], 1)
     n_pred = F.size(F.split(p0, K.INNER_SPLIT, -1))
@@ -75,8 +76,8 @@ def reply_violations(df: DataFrame, reply: str, key: list[str]) -> DataFrame:
         F.when(p1.contains(K.INNER_SPLIT), F.struct(F.lit("subj_has_sep").alias("rule"), p1.alias("detail"))),
         F.when(F.size(bad_objs) > 0, F.struct(F.lit("obj_pieces").alias("rule"), F.array_join(bad_objs, K.PRED_FIRST_SEP).alias("detail"))),
     )
-    return (lines.select(*key, F.col("item_idx").cast("bigint").alias("item_idx"),
-                         F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("v"))
+    return (explode_rows(lines.withColumn("item_idx", F.col("item_idx").cast("bigint")), key + ["item_idx"],
+                         F.filter(checks, lambda x: x.isNotNull()), "v")
                  .select(*key, "item_idx", F.col("v.rule").alias("rule"), F.col("v.detail").alias("detail")))
 
 

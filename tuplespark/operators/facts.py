@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
+from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.text import linearize
 
 
@@ -27,7 +28,7 @@ def split_ident(df: DataFrame, ident: str = "ident") -> DataFrame:
 def explode_facts(df: DataFrame, triples: str = "triples") -> DataFrame:
     """PAR-3: one row per tuple; ``factId`` is its 0-based position."""
     rest = [c for c in df.columns if c != triples]
-    return df.select(*rest, F.posexplode(triples).alias("factId", "fact"))
+    return explode_rows(df, rest, triples, "fact", "factId")
 
 
 def widen_objects(df: DataFrame, fact: str = "fact", n: int = K.FACT_OBJECTS) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tuplespark.functions.arrays import explode_rows
 
 from tuplespark.session import checkpoint_dir
 
@@ -48,7 +49,7 @@ def _fold(cells: DataFrame, key: list[str], score: str, higher: bool) -> DataFra
                                                    c["s"].cast("double").alias("s"))).alias("picked"),
         )).otherwise(acc)
 
-    picked = grouped.select(*key, F.explode(F.aggregate("__cells", init, step)["picked"]).alias("m"))
+    picked = explode_rows(grouped, key, F.aggregate("__cells", init, step)["picked"], "m")
     return picked.select(*key, F.col("m.r").alias("__row"), F.col("m.c").alias("__col"), F.col("m.s").alias(score))
 
 

@@ -37,7 +37,9 @@ def micro_metrics(scores: DataFrame, beta: float = 1.0) -> DataFrame:
 def distance_histogram(dists: DataFrame, col: str = "levenshtein_dists") -> DataFrame:
     """AGG-6: count per distance and its share ``"%.2f%%"`` of all matches.
     The total comes from a one-row aggregate joined on a constant key."""
-    d = dists.select(F.explode(col).alias("distance"))
+    # explode_outer + filter: a plain explode makes Catalyst add size(..) > 0
+    # below the generator, which would evaluate the distance expression again.
+    d = dists.select(F.explode_outer(col).alias("distance")).where(F.col("distance").isNotNull())
     counts = d.groupBy("distance").agg(F.count(F.lit(1)).alias("n")).withColumn("__k", F.lit(1))
     total = d.agg(F.count(F.lit(1)).alias("__total")).withColumn("__k", F.lit(1))
     return (counts.join(F.broadcast(total), "__k")
@@ -47,7 +49,7 @@ def distance_histogram(dists: DataFrame, col: str = "levenshtein_dists") -> Data
 
 def mean_distance(dists: DataFrame, col: str = "levenshtein_dists") -> DataFrame:
     """AGG-7: mean over all matches (sum / count)."""
-    d = dists.select(F.explode(col).alias("d"))
+    d = dists.select(F.explode_outer(col).alias("d")).where(F.col("d").isNotNull())
     return d.agg(F.try_divide(F.sum("d").cast("double"), F.count("d").cast("double")).alias("mean_distance"),
                  F.count("d").alias("n_matches"))
 

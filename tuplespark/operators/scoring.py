@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
+from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.text import overlap, render_plain, words
 from tuplespark.operators.matching import greedy_match
 
@@ -42,7 +43,7 @@ def with_lemmas(df: DataFrame, words_col: str, lemmas: DataFrame, key: list[str]
     dict_df = lemmas.select("word", "lemma").dropDuplicates(["word"])
     if dict_df.limit(broadcast_rows + 1).count() <= broadcast_rows:
         dict_df = F.broadcast(dict_df)
-    exploded = df.select(*key, F.posexplode(words_col).alias("__pos", "word"))
+    exploded = explode_rows(df, key, words_col, "word", "__pos")
     joined = exploded.join(dict_df, "word", "left").select(
         *key, "__pos", F.coalesce("lemma", "word").alias("__lemma"))
     back = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__pos", "__lemma"))).alias("__l"))
@@ -56,7 +57,7 @@ def tuple_table(df: DataFrame, key: str, triples: str, idx: str, prefix: str,
     """One row per tuple: ``key, idx`` and word arrays of each part."""
     t = F.col("__t")
     lem = lambda c: lemmatize(words(c), lemma_map)
-    return df.select(key, F.posexplode(triples).alias(idx, "__t")).select(
+    return explode_rows(df, [key], triples, "__t", idx).select(
         key, F.col(idx).cast("bigint").alias(idx),
         lem(t["subj"]).alias(f"{prefix}subj_w"),
         lem(t["pred"]).alias(f"{prefix}pred_w"),
@@ -72,8 +73,8 @@ def candidate_pairs(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> Da
     ``(key, subject word, predicate word)``, so a hot sentence spreads over
     many join keys (AQE splits any remaining skewed key)."""
     def block(df, idx, p):
-        return (df.select(key, idx, F.explode(F.array_distinct(f"{p}subj_w")).alias("__sw"), f"{p}pred_w")
-                  .select(key, idx, "__sw", F.explode(F.array_distinct(f"{p}pred_w")).alias("__pw")))
+        subj = explode_rows(df, [key, idx, f"{p}pred_w"], F.array_distinct(f"{p}subj_w"), "__sw")
+        return explode_rows(subj, [key, idx, "__sw"], F.array_distinct(f"{p}pred_w"), "__pw")
     ids = block(gold, "gidx", "g_").join(block(pred, "pidx", "p_"), [key, "__sw", "__pw"]) \
                                    .select(key, "gidx", "pidx").distinct()
     return ids.join(gold, [key, "gidx"]).join(pred, [key, "pidx"])
@@ -203,15 +204,38 @@ def _cut(t: Column, n: Column) -> Column:
                     F.slice(t["objs"], 1, n).alias("objs"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (lambda bodies get no
+    common-subexpression elimination)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def pred_orders(p: Column, tokenizer: Callable = whitespace_tokens) -> Column:
+    """``struct(flat, orders)``: tokens of the predicted tuple and of every
+    order of its objects (computed once per prediction, not per pair)."""
+    return F.struct(tokenizer(render_plain(p)).alias("flat"),
+                    F.transform(all_orders(F.size(p["objs"])),
+                                lambda pm: tokenizer(render_plain(_permuted(p, pm)))).alias("orders"))
+
+
+def ordered_distance(g: Column, po: Column) -> Column:
+    """Smallest edit distance between gold tokens ``g`` and any order in
+    ``po = pred_orders(..)``. Pairs sharing no token need no search: their
+    distance is the longer length; otherwise the pair's vocabulary and the gold
+    code are built once and every order is coded against them."""
+    flat = po["flat"]
+    search = let(F.array_distinct(F.concat(g, flat)), lambda vocab: F.when(
+        F.size(vocab) <= _ALPHABET_SIZE,
+        let(_code(g, vocab), lambda gc: F.array_min(F.transform(
+            po["orders"], lambda o: F.levenshtein(gc, _code(o, vocab)))))))
+    return F.when(~F.arrays_overlap(g, flat) | (F.size(g) == 0) | (F.size(flat) == 0),
+                  F.greatest(F.size(g), F.size(flat))).otherwise(search)
+
+
 def min_perm_distance(g: Column, p: Column, tokenizer: Callable = whitespace_tokens) -> Column:
     """SCO-5: smallest distance between gold tokens ``g`` and any order of the
-    predicted tuple ``p``'s objects. Pairs sharing no token need no search:
-    their distance is the longer length."""
-    flat = tokenizer(render_plain(p))
-    orders = F.transform(all_orders(F.size(p["objs"])), lambda pm: tokenizer(render_plain(_permuted(p, pm))))
-    return F.when(~F.arrays_overlap(g, flat) | (F.size(g) == 0) | (F.size(flat) == 0),
-                  F.greatest(F.size(g), F.size(flat))) \
-            .otherwise(F.array_min(F.transform(orders, lambda pp: token_distance(g, pp))))
+    predicted tuple ``p``'s objects (gold order fixed, E7)."""
+    return ordered_distance(g, pred_orders(p, tokenizer))
 
 
 def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold", pred: str = "pred",
@@ -247,11 +271,28 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
         n_p, F.lit(0).cast("bigint"), lambda acc, n: acc + F.coalesce(F.get(fact, n), F.lit(0)).cast("bigint"))
     over = (effort > max_effort) | F.exists(n_p, lambda n: n > max_objects)
     df = df.withColumn("__over", over)
-    g_tok = F.transform(gold_eff, lambda t: tokenizer(render_plain(t)))
-    df = df.withColumn("__gt", F.when(~F.col("__over"), g_tok))
-    cells = F.flatten(F.transform(F.col("__gt"), lambda g, gi: F.transform(
-        F.col(pred), lambda p, pi: F.struct(min_perm_distance(g, p, tokenizer).alias("o"),
-                                            gi.cast("bigint").alias("r"), pi.cast("bigint").alias("c")))))
+
+    # One expression per sentence row. Intermediates are bound with ``let``
+    # (lambda variables), which Catalyst cannot inline into the lambdas that
+    # use them, so each is computed exactly once:
+    #   tokens of every gold tuple and of every order of every prediction ->
+    #   one vocabulary per sentence -> each token list coded once -> a pair
+    #   costs one native levenshtein per order of its prediction.
+    def cells_coded(y):
+        def dist(g, p):
+            no_share = ~F.arrays_overlap(g["t"], p["flat"]) | (F.size(g["t"]) == 0) | (F.size(p["flat"]) == 0)
+            return F.when(no_share, F.greatest(F.size(g["t"]), F.size(p["flat"]))).otherwise(
+                F.array_min(F.transform(p["codes"], lambda c: F.levenshtein(g["c"], c))))
+        return F.flatten(F.transform(y["gc"], lambda g, gi: F.transform(
+            y["pc"], lambda p, pi: F.struct(dist(g, p).alias("o"), gi.cast("bigint").alias("r"),
+                                            pi.cast("bigint").alias("c")))))
+
+    def cells_per_pair(x):
+        # more than 4,000 distinct tokens in the sentence: code per pair
+        return F.flatten(F.transform(x["gt"], lambda g, gi: F.transform(
+            x["po"], lambda po, pi: F.struct(ordered_distance(g, po).alias("o"), gi.cast("bigint").alias("r"),
+                                             pi.cast("bigint").alias("c")))))
+
     init = F.struct(F.array().cast("array<bigint>").alias("rows"), F.array().cast("array<bigint>").alias("cols"),
                     F.array().cast("array<int>").alias("d"))
 
@@ -260,7 +301,20 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
         return F.when(free, F.struct(F.array_append(acc["rows"], c["r"]).alias("rows"),
                                      F.array_append(acc["cols"], c["c"]).alias("cols"),
                                      F.array_append(acc["d"], c["o"].cast("int")).alias("d"))).otherwise(acc)
-    matched = F.aggregate(F.array_sort(cells), init, step)["d"]
+
+    def fold(cells):
+        return F.aggregate(F.array_sort(cells), init, step)["d"]
+
+    tokens = F.struct(F.transform(gold_eff, lambda t: tokenizer(render_plain(t))).alias("gt"),
+                      F.transform(F.col(pred), lambda t: pred_orders(t, tokenizer)).alias("po"))
+    matched = let(tokens, lambda x: let(
+        F.array_distinct(F.concat(F.flatten(x["gt"]), F.flatten(F.flatten(F.transform(x["po"], lambda po: po["orders"]))))),
+        lambda v: F.when(F.size(v) > _ALPHABET_SIZE, fold(cells_per_pair(x))).otherwise(let(
+            F.struct(F.transform(x["gt"], lambda g: F.struct(g.alias("t"), _code(g, v).alias("c"))).alias("gc"),
+                     F.transform(x["po"], lambda po: F.struct(
+                         po["flat"].alias("flat"),
+                         F.transform(po["orders"], lambda o: _code(o, v)).alias("codes"))).alias("pc")),
+            lambda y: fold(cells_coded(y))))))
     n_min = F.least(F.size(gold), F.size(pred))
     return df.select(key, F.col("__over").alias("fallback"),
                      F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
+from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.text import strip_spaces
 from tuplespark.operators.indexing import with_index
 
@@ -29,7 +30,7 @@ def split_sentences(df: DataFrame, text: str = "text", article: str = "articleId
         pieces = splitter(F.col(text))
     sents = F.filter(F.transform(pieces, strip_spaces), lambda x: x != "")
     rest = [c for c in df.columns if c != text]
-    return (df.select(*rest, F.posexplode(sents).alias("lineId", "s"))
+    return (explode_rows(df, rest, sents, "s", "lineId")
               .withColumn("lineId", F.col("lineId").cast("int")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark.functions.parse import parse_tuples
+from tuplespark.session import materialize
 from tuplespark.operators.scoring import (candidate_pairs, score_pairs, sentence_distances,
                                           sentence_scores, tuple_table, whitespace_tokens)
 
@@ -47,8 +48,8 @@ def evaluate(df: DataFrame, key: str = "doc_id", gold: str = "gold_str", pred: s
     """Per sentence: ``prec_num, prec_den, prec, rec_num, rec_den, rec,
     f_score, f_beta, levenshtein_dists, fallback``."""
     cfg = cfg or EvalConfig()
-    sents = parse_sentences(df, key, gold, pred)
-    scores = pair_scores(sents, key, cfg)
+    sents = materialize(parse_sentences(df, key, gold, pred))
+    scores = materialize(pair_scores(sents, key, cfg))
     per_sent = sentence_scores(sents, scores, key, beta=cfg.beta, fold_cells=cfg.fold_cells)
     cut = scores if cfg.gold_truncation == "sequential" else None
     dists = sentence_distances(sents, key, gold_cut=cut, tokenizer=cfg.tokenizer,

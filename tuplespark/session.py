@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tuplespark", master: str | None = None,
@@ -25,6 +25,10 @@ def get_spark(app: str = "tuplespark", master: str | None = None,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Text parsing and edit distances cost far more CPU per byte than a
+        # scan: keep coalesced shuffle partitions small so that work spreads.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -55,3 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tuplespark", f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and continue from the
+    written copy: later stages neither recompute it nor re-plan its lineage,
+    and a lost executor costs a re-read, not a recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
