@@ -45,26 +45,31 @@ def oie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oie_pairs_rows(docs)
 
 
-# (?m): ^ and $ at line ends; (?d): only '\n' ends a line, as in split(text, '\n').
-QUALIFYING = r"(?md)^ *[^ \n]+ +[^ \n]+ +[^ \n].*$"
+# Deleting '#', ',' and '.' never merges or splits space-separated runs; it
+# only makes runs made of those characters vanish. So a line has >= 3 words
+# after cleaning and trimming exactly when it has three runs holding some
+# other character: WORD below, separated by spaces and junk-only runs.
+# (?m): ^ and $ at line ends; (?d): only '\n' ends a line, as in split(.., '\n').
+_WORD = r"[#,.]*[^ \n#,.][^ \n]*"
+_JUNK = r"(?: +[#,.]+)*"
+QUALIFYING = r"(?md)^ *(?:[#,.]+ +)*" + _WORD + _JUNK + " +" + _WORD + _JUNK + " +" + _WORD + ".*$"
 
 
 def oie_pairs_rows(docs: DataFrame) -> DataFrame:
     """The rule of ``OIE_PAIRS_SQL`` without exploding every line.
 
-    Deleting ``#``, ``,`` and ``.`` never touches a newline, so it runs once
-    on the whole text, and a line has at least three words after trimming
-    exactly when it matches ``QUALIFYING``; only the first five such lines of a
-    document are exploded (code-generated expressions), and the shuffle that
-    reassembles a document moves at most five short lines per document.
+    A raw line qualifies exactly when it matches ``QUALIFYING``, so one regex
+    scan of the text picks the first five qualifying lines; only those are
+    cleaned, split and exploded (code-generated expressions), and the shuffle
+    that reassembles a document moves at most five lines per document.
     """
     from pyspark.sql import functions as F
 
-    cleaned = F.translate(F.col("text"), "#,.", "")
-    first5 = F.slice(F.regexp_extract_all(cleaned, F.lit(QUALIFYING), F.lit(0)), 1, 5)
+    first5 = F.slice(F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0)), 1, 5)
     from tuplespark.functions.arrays import explode_rows
     lines = (explode_rows(docs, ["doc_id"], first5, "line", "i")
-                 .select("doc_id", (F.col("i") + 1).alias("k"), F.split(F.trim("line"), " +", -1).alias("w"))
+                 .select("doc_id", (F.col("i") + 1).alias("k"),
+                         F.split(F.trim(F.translate("line", "#,.", "")), " +", -1).alias("w"))
                  .withColumn("n", F.size("w")))
     w, n, k = F.col("w"), F.col("n"), F.col("k")
     pred = F.when((k % 2 == 0) & (n >= 8), F.concat(F.lit("not ### "), F.get(w, 1))).otherwise(F.get(w, 1))
