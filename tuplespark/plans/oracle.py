@@ -482,3 +482,86 @@ SELECT s.doc_id, round(prec, 6) AS prec, round(rec, 6) AS rec, round(f_score, 6)
 FROM sscore3 s LEFT JOIN (SELECT doc_id, string_agg(CAST(CAST(d AS BIGINT) AS VARCHAR), ',' ORDER BY d, gidx, pidx) AS dists
                           FROM gd GROUP BY doc_id) d ON d.doc_id = s.doc_id
 """
+
+
+# ---------------------------------------------------------------------------
+# M4: corpus sources/sinks, resume, splits, corpus statistics
+# ---------------------------------------------------------------------------
+
+FLAT = ("subj, pred, array_to_string(auxi, ' ### ') AS auxi, "
+        "array_to_string(list_transform(objs, lambda o: o.prep || ' ### ' || o.obj), ' ,, ') AS objs")
+
+ORACLE["src_annotated"] = with_ctes(*GOLD) + f"""
+SELECT CAST(doc_id AS BIGINT) AS sidx, 'sentence ' || doc_id AS sent, tidx, {FLAT} FROM g
+"""
+
+ORACLE["src_gold_tsv"] = with_ctes(*GOLD, GREC) + """
+SELECT sent, pred, array_to_string(args, ' | ') AS args, CAST(len(args) AS BIGINT) AS n_args FROM grec
+"""
+
+ORACLE["src_sentences"] = with_ctes(SENTS) + "SELECT CAST(doc_id AS VARCHAR) AS articleId, lineId, s FROM sents"
+
+ORACLE["src_documents"] = """
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS url, CAST(NULL AS VARCHAR) AS title,
+       CAST(length(text) AS BIGINT) AS n_chars FROM documents
+"""
+
+ORACLE["chunk_slice"] = """
+SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS corpus_idx,
+       CAST((row_number() OVER (ORDER BY doc_id) - 1) // 128 AS BIGINT) AS chunk_id FROM documents
+"""
+
+ORACLE["sink_predictions"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + f"""
+SELECT doc_id || '_0' AS idents, 'sentence ' || doc_id AS text, tidx, {FLAT} FROM pr
+"""
+
+ORACLE["sink_labelled"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + """
+SELECT o.gold_str AS labels, CAST(coalesce(n.n, 0) AS BIGINT) AS n_triples, true AS no_idents
+FROM oie_pairs o LEFT JOIN (SELECT doc_id, count(*) AS n FROM pr GROUP BY doc_id) n ON n.doc_id = o.doc_id
+"""
+
+ORACLE["group_by_sentence"] = with_ctes(*GOLD, GREC) + """
+SELECT sent, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS BIGINT) AS sidx, CAST(count(*) AS BIGINT) AS n_records,
+       CAST(min(line_no) AS BIGINT) AS first_pos, string_agg(pred, ' | ' ORDER BY line_no) AS preds
+FROM grec GROUP BY sent
+"""
+
+RESUME = [*GOLD, GREC, GOLD_REPLIES, """
+todo AS (SELECT sent, row_number() OVER (ORDER BY min(line_no)) - 1 AS sidx FROM grec GROUP BY sent)""", """
+stored AS (SELECT 'sentence ' || r.doc_id AS sent, r.reply FROM replies r WHERE r.doc_id IN (SELECT doc_id FROM labels))"""]
+
+ORACLE["resume_reused"] = with_ctes(*RESUME) + """
+SELECT t.sent, CAST(t.sidx AS BIGINT) AS sidx, s.reply FROM todo t JOIN stored s ON s.sent = t.sent
+"""
+
+ORACLE["resume_pending"] = with_ctes(*RESUME) + """
+SELECT t.sent, CAST(t.sidx AS BIGINT) AS sidx FROM todo t WHERE t.sent NOT IN (SELECT sent FROM stored)
+"""
+
+ORACLE["resume_union"] = with_ctes(*RESUME) + """
+SELECT t.sent, s.reply, 'reused' AS source FROM todo t JOIN stored s ON s.sent = t.sent
+UNION ALL
+SELECT t.sent, r.reply, 'new' AS source FROM todo t JOIN replies r ON 'sentence ' || r.doc_id = t.sent
+WHERE t.sent NOT IN (SELECT sent FROM stored)
+"""
+
+BUCKET = "CASE WHEN CAST(('0x' || substr(md5('42:' || CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) % 3 < 1 THEN 0 ELSE 1 END"
+
+ORACLE["seeded_split"] = f"SELECT doc_id, CAST({BUCKET.format(k='doc_id')} AS INTEGER) AS bucket FROM documents"
+
+ORACLE["corpus_stats"] = with_ctes(*GOLD) + f"""
+SELECT CASE WHEN {BUCKET.format(k='o.doc_id')} = 0 THEN 'test1' ELSE 'test2' END AS subset,
+       CAST(count(*) AS BIGINT) AS n_sentences, CAST(sum(coalesce(n.n, 0)) AS BIGINT) AS n_tuples
+FROM oie_pairs o LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) n ON n.doc_id = o.doc_id
+GROUP BY 1
+"""
+
+ORACLE["usage_totals"] = with_ctes(*GOLD, GREC, GOLD_REPLIES) + f"""
+, items AS (SELECT sent, line_no, row_number() OVER (PARTITION BY sent ORDER BY line_no) AS i,
+                   array_to_string(list_prepend(pred, args), ' ;; ') AS body FROM grec),
+prompts AS (SELECT sent, {lit(K.ANNOTATION_HEADER)} || sent || chr(10) || chr(10) || 'Before:' || chr(10)
+    || string_agg(i || '. ' || body || chr(10) || chr(10) || 'After:', '' ORDER BY line_no) AS prompt
+  FROM items GROUP BY sent)
+SELECT CAST(sum(len({W("p.prompt || chr(10) || r.reply")})) AS BIGINT) AS total_tokens, CAST(count(*) AS BIGINT) AS n_requests
+FROM prompts p JOIN replies r ON 'sentence ' || r.doc_id = p.sent
+"""

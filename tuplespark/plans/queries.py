@@ -399,3 +399,166 @@ def q_evaluate(spark, sf_dir):
     ev = _distances(spark, sf_dir)
     return ev.select("doc_id", *[_r6(F.col(c)).alias(c) for c in ("prec", "rec", "f_score")],
                      F.array_join(F.transform("levenshtein_dists", lambda x: x.cast("string")), ",").alias("dists"))
+
+
+# ---------------------------------------------------------------------------
+# M4: corpus sources/sinks, resume, splits, corpus statistics
+# ---------------------------------------------------------------------------
+from tuplespark.operators.corpus import resume_split, seeded_split  # noqa: E402
+from tuplespark.operators.metrics import corpus_stats, usage_totals  # noqa: E402
+from tuplespark.operators.sentences import chunk_slice  # noqa: E402
+from tuplespark.session import scratch_path  # noqa: E402
+from tuplespark.sources import corpus as C  # noqa: E402
+from tuplespark.sources.tables import read_documents  # noqa: E402
+
+import os as _os  # noqa: E402
+
+
+def _flat_tuples(df: DataFrame, keep: list[str], triples: str = "triples") -> DataFrame:
+    t = F.col("t")
+    return explode_rows(df, keep, triples, "t", "tidx").select(
+        *keep, F.col("tidx").cast("bigint").alias("tidx"), t["subj"].alias("subj"), t["pred"].alias("pred"),
+        F.array_join(t["auxi"], " ### ").alias("auxi"),
+        F.array_join(F.transform(t["objs"], lambda o: F.concat(o["prep"], F.lit(" ### "), o["obj"])), " ,, ").alias("objs"))
+
+
+def annotated_corpus(spark, sf_dir):
+    """Annotated records ``(sidx, sent, triples)`` from the gold side."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    return parsed.select(F.col("doc_id").cast("int").alias("sidx"),
+                         F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"), "triples")
+
+
+@query("src_annotated")
+def q_src_annotated(spark, sf_dir):
+    path = scratch_path(spark, "annotated")
+    C.write_annotated(annotated_corpus(spark, sf_dir), path)
+    back = C.read_annotated(spark, path)
+    return _flat_tuples(back.withColumn("sidx", F.col("sidx").cast("bigint")), ["sidx", "sent"])
+
+
+@query("src_gold_tsv")
+def q_src_gold_tsv(spark, sf_dir):
+    path = scratch_path(spark, "gold-tsv")
+    C.write_gold_tsv(gold_records(spark, sf_dir), path)
+    back = C.read_gold_tsv(spark, path, drop_empty=True)
+    return back.select("sent", "pred", F.array_join("args", " | ").alias("args"),
+                       F.size("args").cast("bigint").alias("n_args"))
+
+
+@query("src_sentences")
+def q_src_sentences(spark, sf_dir):
+    path = scratch_path(spark, "sentences")
+    C.write_sentences(sentences(spark, sf_dir), path)
+    back = C.read_sentences(spark, path)
+    return back.select("articleId", F.col("lineId").cast("bigint").alias("lineId"), "s")
+
+
+@query("src_documents")
+def q_src_documents(spark, sf_dir):
+    d = read_documents(spark, _os.path.join(sf_dir, "documents.parquet"))
+    return d.select("id", "url", "title", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("chunk_slice")
+def q_chunk_slice(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return chunk_slice(docs, ["doc_id"], size=128).select("doc_id", "corpus_idx", "chunk_id")
+
+
+def predictions(spark, sf_dir):
+    """Prediction lines: ident, source text, parsed generated tuples."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "pred_str")
+    return parsed.select(F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("idents"),
+                         F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("text"),
+                         "gold_str", "triples")
+
+
+@query("sink_predictions")
+def q_sink_predictions(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    C.write_predictions(predictions(spark, sf_dir), path)
+    return _flat_tuples(C.read_predictions(spark, path), ["idents", "text"])
+
+
+@query("sink_labelled")
+def q_sink_labelled(spark, sf_dir):
+    path = scratch_path(spark, "predictions-labelled")
+    C.write_predictions(predictions(spark, sf_dir).withColumnRenamed("gold_str", "labels"), path, labelled=True)
+    back = C.read_predictions(spark, path)
+    return back.select("labels", F.size("triples").cast("bigint").alias("n_triples"),
+                       F.col("idents").isNull().alias("no_idents"))
+
+
+@query("group_by_sentence")
+def q_group_by_sentence(spark, sf_dir):
+    g = group_by_sentence(gold_records(spark, sf_dir))
+    return g.select("sent", F.col("sidx").cast("bigint").alias("sidx"), F.size("records").cast("bigint").alias("n_records"),
+                    F.col("first_pos").cast("bigint").alias("first_pos"),
+                    F.array_join(F.transform("records", lambda r: r["pred"]), " | ").alias("preds"))
+
+
+def stored_annotations(spark, sf_dir):
+    """Stored replies for the documents that have a ``labels`` row, each
+    stored twice (an older and a newer version); the newer one must win."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    older = pred_replies(spark, sf_dir).join(labelled, "doc_id", "left_semi").withColumn("pos", F.lit(0))
+    newer = gold_replies(spark, sf_dir).join(labelled, "doc_id", "left_semi").withColumn("pos", F.lit(1))
+    both = older.unionByName(newer)
+    return both.select(F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"),
+                       ((F.col("doc_id") * 2) + F.col("pos")).alias("line_no"), "reply")
+
+
+def _todo(spark, sf_dir):
+    return group_by_sentence(gold_records(spark, sf_dir)).select("sent", "sidx")
+
+
+@query("resume_reused")
+def q_resume_reused(spark, sf_dir):
+    reused, _ = resume_split(_todo(spark, sf_dir), stored_annotations(spark, sf_dir))
+    return reused.select("sent", F.col("sidx").cast("bigint").alias("sidx"), "reply")
+
+
+@query("resume_pending")
+def q_resume_pending(spark, sf_dir):
+    _, pending = resume_split(_todo(spark, sf_dir), stored_annotations(spark, sf_dir))
+    return pending.select("sent", F.col("sidx").cast("bigint").alias("sidx"))
+
+
+@query("resume_union")
+def q_resume_union(spark, sf_dir):
+    """SET-3: reused replies plus newly made ones (here: the gold replies
+    stand in for fresh annotation of the pending sentences)."""
+    reused, pending = resume_split(_todo(spark, sf_dir), stored_annotations(spark, sf_dir))
+    fresh = gold_replies(spark, sf_dir).select(
+        F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"), "reply")
+    new = pending.join(fresh, "sent").withColumn("source", F.lit("new"))
+    return (reused.withColumn("source", F.lit("reused")).select("sent", "reply", "source")
+            .unionByName(new.select("sent", "reply", "source")))
+
+
+@query("seeded_split")
+def q_seeded_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return seeded_split(docs, F.col("doc_id"))
+
+
+@query("corpus_stats")
+def q_corpus_stats(spark, sf_dir):
+    """AGG-8 + SPL-2: sentences and tuples per subset of the 1:2 split."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    split = seeded_split(parsed, F.col("doc_id"))
+    named = split.withColumn("subset", F.when(F.col("bucket") == 0, F.lit("test1")).otherwise(F.lit("test2")))
+    st = corpus_stats(named, "subset")
+    return st.select("subset", F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                     F.col("n_tuples").cast("bigint").alias("n_tuples"))
+
+
+@query("usage_totals")
+def q_usage_totals(spark, sf_dir):
+    """AGG-9: whitespace tokens of every annotation request and reply."""
+    prompts = render_annotation_prompt(group_by_sentence(gold_records(spark, sf_dir)))
+    replies = gold_replies(spark, sf_dir).select(F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"), "reply")
+    both = prompts.join(replies, "sent").select(F.concat_ws("\n", "prompt", "reply").alias("t"))
+    u = usage_totals(both.select(words(F.col("t")).alias("tok")), "tok")
+    return u.select(F.col("total_tokens").cast("bigint").alias("total_tokens"), F.col("n_requests").cast("bigint").alias("n_requests"))
