@@ -2,8 +2,8 @@
 
 Global numbering never uses a window without ``partitionBy`` (that would pull
 every row into one task). It range-partitions on the order keys, numbers rows
-inside each partition, and adds per-partition offsets computed from one count
-per partition.
+inside each partition, writes that once to the checkpoint folder, and adds
+per-partition offsets computed from one count per partition.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tuplespark.session import materialize
+
 _LOW_BITS = (1 << 33) - 1   # monotonically_increasing_id: record number bits
 
 
@@ -26,10 +28,12 @@ def with_index(df: DataFrame, order: list[str | Column], out: str = "idx",
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("__mid", F.monotonically_increasing_id())
-                .withColumn("__pid", F.shiftright(F.col("__mid"), 33))
-                .withColumn("__rn", F.col("__mid").bitwiseAND(F.lit(_LOW_BITS))))
+    # Range bounds come from a sample whose seed changes per execution, so the
+    # numbered rows are written once and both passes read the same copy.
+    tagged = materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                           .withColumn("__mid", F.monotonically_increasing_id())
+                           .withColumn("__pid", F.shiftright(F.col("__mid"), 33))
+                           .withColumn("__rn", F.col("__mid").bitwiseAND(F.lit(_LOW_BITS))))
     # One row per partition: bounded by the partition count, not by the data.
     counts = sorted((r["__pid"], r["n"]) for r in
                     tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())

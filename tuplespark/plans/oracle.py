@@ -565,3 +565,97 @@ prompts AS (SELECT sent, {lit(K.ANNOTATION_HEADER)} || sent || chr(10) || chr(10
 SELECT CAST(sum(len({W("p.prompt || chr(10) || r.reply")})) AS BIGINT) AS total_tokens, CAST(count(*) AS BIGINT) AS n_requests
 FROM prompts p JOIN replies r ON 'sentence ' || r.doc_id = p.sent
 """
+
+
+# ---------------------------------------------------------------------------
+# M5: supervised examples, numbering, batching
+# ---------------------------------------------------------------------------
+
+PROMPT_TEXT = ("'<|system|>' || chr(10) || " + lit(K.SYSTEM_INSTRUCTION) + " || chr(10) || '<|user|>' || chr(10) || "
+               + lit(K.USER_PREFIX) + " || d.text || chr(10) || '<|assistant|>' || chr(10) || '1. '")
+
+EX = [*GOLD, f"""
+tgt AS (SELECT doc_id, string_agg(CASE WHEN tidx = 0 THEN {linearize_sql()} ELSE (tidx + 1) || '. ' || {linearize_sql()} END,
+                                  chr(10) ORDER BY tidx) AS target FROM g GROUP BY doc_id)""", f"""
+ex AS (SELECT o.doc_id, {W(PROMPT_TEXT)} AS prompt_tok, {W("coalesce(t.target, '')")} AS target_tok
+       FROM oie_pairs o JOIN documents d ON d.doc_id = o.doc_id LEFT JOIN tgt t ON t.doc_id = o.doc_id)"""]
+
+
+def vocab_cte(min_count: int) -> str:
+    return f"""
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS BIGINT) AS id,
+                 CAST(count(*) AS BIGINT) AS count
+          FROM (SELECT unnest(list_concat(prompt_tok, target_tok)) AS token FROM ex) GROUP BY token
+          HAVING count(*) >= {min_count})"""
+
+
+def ids_cte(name: str, col: str) -> str:
+    return f"""
+{name} AS (SELECT p.doc_id, list(coalesce(v.id, 3) ORDER BY p.pos) AS ids
+  FROM (SELECT doc_id, unnest({col}) AS token, generate_subscripts({col}, 1) AS pos FROM ex) p
+  LEFT JOIN vocab v ON v.token = p.token GROUP BY p.doc_id)"""
+
+
+def CHK(x: str) -> str:
+    return f"CAST(coalesce(list_sum(list_transform({x}, lambda v, i: v * i)), 0) AS BIGINT)"
+
+
+ENC = lambda mc: [*EX, vocab_cte(mc), ids_cte("pid", "prompt_tok"), ids_cte("tid", "target_tok"), """
+enc AS (SELECT ex.doc_id, coalesce(pid.ids, []::BIGINT[]) AS pids, coalesce(tid.ids, []::BIGINT[]) AS tids
+        FROM ex LEFT JOIN pid ON pid.doc_id = ex.doc_id LEFT JOIN tid ON tid.doc_id = ex.doc_id)"""]
+
+EXAMPLES = [*ENC(1), """
+exm AS (SELECT doc_id,
+   list_append(list_concat(pids, tids)[1:2047], 1) AS input_ids,
+   list_append(list_concat(list_transform(pids, lambda x: -100), tids)[1:2047], 1) AS labels FROM enc)""", """
+exi AS (SELECT *, len(input_ids) AS length, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM exm)"""]
+
+ORACLE["build_vocab"] = with_ctes(*EX, vocab_cte(1)) + "SELECT token, id, count FROM vocab"
+
+ORACLE["encode_tokens"] = with_ctes(*ENC(2)) + f"""
+SELECT doc_id, CAST(len(pids) AS BIGINT) AS n_ids, CAST(len(list_filter(pids, lambda x: x = 3)) AS BIGINT) AS n_unk,
+       {CHK('pids')} AS id_check, {CHK('tids')} AS target_check FROM enc
+"""
+
+ORACLE["build_examples"] = with_ctes(*EXAMPLES) + f"""
+SELECT doc_id, CAST(length AS BIGINT) AS length, CAST(len(list_filter(labels, lambda x: x = -100)) AS BIGINT) AS n_ignored,
+       {CHK('input_ids')} AS ids_check, {CHK('labels')} AS labels_check FROM exi
+"""
+
+ORACLE["build_inference_examples"] = with_ctes(*ENC(1)) + f"""
+SELECT doc_id, CAST(len(pids[1:2048]) AS BIGINT) AS length, {CHK('pids[1:2048]')} AS ids_check FROM enc
+"""
+
+
+def _pad(method: str) -> str:
+    fill = {"bos": "0", "ign": "-100", "pad": "2"}[method]
+    if method == "bos":
+        ids = f"list_concat(list_transform(range(n_pad), lambda x: {fill}), input_ids)"
+        lab = "list_concat(list_transform(range(n_pad), lambda x: -100), labels)"
+    else:
+        ids = f"list_concat(input_ids, list_transform(range(n_pad), lambda x: {fill}))"
+        lab = "list_concat(labels, list_transform(range(n_pad), lambda x: -100))"
+    return with_ctes(*EXAMPLES, """
+b AS (SELECT *, idx // 8 AS batch_id, max(length) OVER (PARTITION BY idx // 8) - length AS n_pad FROM exi)""") + f"""
+SELECT doc_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(length + n_pad AS BIGINT) AS padded_len,
+       CAST(n_pad AS BIGINT) AS n_pad, {CHK(ids)} AS ids_check, {CHK(lab)} AS labels_check FROM b
+"""
+
+
+ORACLE["pad_batch_bos"] = _pad("bos")
+ORACLE["pad_batch_ign"] = _pad("ign")
+ORACLE["pad_batch_pad"] = _pad("pad")
+
+ORACLE["length_buckets"] = with_ctes(*EXAMPLES) + """
+SELECT doc_id, CAST(length AS BIGINT) AS length,
+  CAST((idx // 32) * 4 + (row_number() OVER (PARTITION BY idx // 32 ORDER BY length DESC, idx) - 1) // 8 AS BIGINT) AS batch_id
+FROM exi
+"""
+
+ORACLE["row_index"] = with_ctes(SENTS) + """
+SELECT doc_id, lineId, CAST(row_number() OVER (ORDER BY doc_id, lineId) - 1 AS BIGINT) AS idx FROM sents
+"""
+
+ORACLE["batch_assign"] = with_ctes(SENTS) + """
+SELECT doc_id, lineId, CAST((row_number() OVER (ORDER BY doc_id, lineId) - 1) // 1000 AS BIGINT) AS batch_id FROM sents
+"""

@@ -562,3 +562,110 @@ def q_usage_totals(spark, sf_dir):
     both = prompts.join(replies, "sent").select(F.concat_ws("\n", "prompt", "reply").alias("t"))
     u = usage_totals(both.select(words(F.col("t")).alias("tok")), "tok")
     return u.select(F.col("total_tokens").cast("bigint").alias("total_tokens"), F.col("n_requests").cast("bigint").alias("n_requests"))
+
+
+# ---------------------------------------------------------------------------
+# M5: supervised-example building, numbering and batching
+# ---------------------------------------------------------------------------
+from tuplespark.operators.examples import (build_examples, build_inference_examples, build_vocab,  # noqa: E402
+                                           checksum, encode, pad_batch)
+from tuplespark.operators.indexing import length_buckets, with_batch, with_index  # noqa: E402
+from tuplespark.operators.prompts import render_messages  # noqa: E402
+
+MAX_LENGTH = K.DEFAULT_MAX_LENGTH
+
+
+def example_texts(spark, sf_dir):
+    """Per document: the rendered chat prompt (document text as the sentence)
+    and the target text of its gold tuples, as whitespace tokens."""
+    parsed = _parse(oie_pairs(spark, sf_dir), "gold_str")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    j = parsed.join(docs, "doc_id")
+    msgs = build_messages(j, "text", shots="none")
+    return msgs.select("doc_id", words(render_messages(F.col("messages"))).alias("prompt_tok"),
+                       words(render_target(F.col("triples"))).alias("target_tok"))
+
+
+def _vocab_input(ex):
+    return ex.select(F.concat("prompt_tok", "target_tok").alias("tok"))
+
+
+def encoded_examples(spark, sf_dir, min_count=1):
+    ex = materialize(example_texts(spark, sf_dir))
+    vocab = materialize(build_vocab(_vocab_input(ex), "tok", min_count=min_count))
+    enc = encode(encode(ex, ["doc_id"], "prompt_tok", vocab, "prompt_ids"), ["doc_id"], "target_tok", vocab, "target_ids")
+    return enc
+
+
+@query("build_vocab")
+def q_build_vocab(spark, sf_dir):
+    ex = example_texts(spark, sf_dir)
+    return build_vocab(_vocab_input(ex), "tok", min_count=1)
+
+
+@query("encode_tokens")
+def q_encode_tokens(spark, sf_dir):
+    enc = encoded_examples(spark, sf_dir, min_count=2)
+    return enc.select("doc_id", F.size("prompt_ids").cast("bigint").alias("n_ids"),
+                      F.size(F.filter("prompt_ids", lambda x: x == K.UNK_ID)).cast("bigint").alias("n_unk"),
+                      checksum(F.col("prompt_ids")).alias("id_check"),
+                      checksum(F.col("target_ids")).alias("target_check"))
+
+
+def _examples(spark, sf_dir):
+    return build_examples(encoded_examples(spark, sf_dir), "prompt_ids", "target_ids", MAX_LENGTH)
+
+
+@query("build_examples")
+def q_build_examples(spark, sf_dir):
+    ex = _examples(spark, sf_dir)
+    return ex.select("doc_id", F.col("length").cast("bigint").alias("length"),
+                     F.size(F.filter("labels", lambda x: x == K.IGNORE_INDEX)).cast("bigint").alias("n_ignored"),
+                     checksum(F.col("input_ids")).alias("ids_check"), checksum(F.col("labels")).alias("labels_check"))
+
+
+@query("build_inference_examples")
+def q_build_inference_examples(spark, sf_dir):
+    ex = build_inference_examples(encoded_examples(spark, sf_dir), "prompt_ids", MAX_LENGTH)
+    return ex.select("doc_id", F.col("length").cast("bigint").alias("length"), checksum(F.col("input_ids")).alias("ids_check"))
+
+
+def _padded(spark, sf_dir, method):
+    ex = with_batch(with_index(_examples(spark, sf_dir), ["doc_id"]), 8)
+    p = pad_batch(ex, method)
+    return p.select("doc_id", "batch_id", F.size("input_ids").cast("bigint").alias("padded_len"),
+                    F.col("n_pad").cast("bigint").alias("n_pad"),
+                    checksum(F.col("input_ids")).alias("ids_check"), checksum(F.col("labels")).alias("labels_check"))
+
+
+@query("pad_batch_bos")
+def q_pad_bos(spark, sf_dir):
+    return _padded(spark, sf_dir, "bos")
+
+
+@query("pad_batch_ign")
+def q_pad_ign(spark, sf_dir):
+    return _padded(spark, sf_dir, "ign")
+
+
+@query("pad_batch_pad")
+def q_pad_pad(spark, sf_dir):
+    return _padded(spark, sf_dir, "pad")
+
+
+@query("length_buckets")
+def q_length_buckets(spark, sf_dir):
+    ex = with_index(_examples(spark, sf_dir), ["doc_id"])
+    return length_buckets(ex, size=8, mega=4).select("doc_id", F.col("length").cast("bigint").alias("length"), "batch_id")
+
+
+@query("row_index")
+def q_row_index(spark, sf_dir):
+    s = sentences(spark, sf_dir).select("doc_id", "lineId")
+    return with_index(s, ["doc_id", "lineId"]).select("doc_id", F.col("lineId").cast("bigint").alias("lineId"), "idx")
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    s = with_index(sentences(spark, sf_dir).select("doc_id", "lineId"), ["doc_id", "lineId"])
+    return with_batch(s, 1000).select("doc_id", F.col("lineId").cast("bigint").alias("lineId"), "batch_id")
