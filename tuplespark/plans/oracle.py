@@ -659,3 +659,62 @@ SELECT doc_id, lineId, CAST(row_number() OVER (ORDER BY doc_id, lineId) - 1 AS B
 ORACLE["batch_assign"] = with_ctes(SENTS) + """
 SELECT doc_id, lineId, CAST((row_number() OVER (ORDER BY doc_id, lineId) - 1) // 1000 AS BIGINT) AS batch_id FROM sents
 """
+
+
+# ---------------------------------------------------------------------------
+# M6: plug-ins, stored outputs, class metrics, SQL functions
+# ---------------------------------------------------------------------------
+
+STUB_REPLY = f"""
+gen AS (SELECT doc_id * 100000 + lineId AS doc_id, CAST(doc_id AS VARCHAR) || '_' || lineId AS ident,
+   CASE WHEN len({W('s')}) >= 3 THEN {W('s')}[1] || ' ,, ' || {W('s')}[2] || ' ,, ' || {W('s')}[3] ELSE '' END AS output
+ FROM sents)"""
+
+ORACLE["generate_batch"] = with_ctes(SENTS, STUB_REPLY) + "SELECT ident, output, CAST(NULL AS VARCHAR) AS error FROM gen"
+
+ORACLE["predict_chain"] = with_ctes(SENTS, STUB_REPLY, parse_cte("pt", "gen", "output")) + f"""
+SELECT gen.ident, pt.tidx AS factId, {linearize_sql('pt.')} AS text, pt.subj, pt.pred, array_to_string(pt.auxi, ' ') AS auxi,
+       pt.objs[1].prep AS prep1, pt.objs[1].obj AS obj1, pt.objs[2].prep AS prep2, pt.objs[2].obj AS obj2,
+       CAST(len(pt.objs) AS BIGINT) AS n_objs
+FROM pt JOIN gen ON gen.doc_id = pt.doc_id
+"""
+
+ORACLE["replay_generation"] = with_ctes(OIE_PAIRS) + """
+SELECT o.doc_id, l.doc_id IS NOT NULL AS has_output, CAST(CASE WHEN l.doc_id IS NOT NULL THEN length(o.pred_str) END AS BIGINT) AS n_chars
+FROM oie_pairs o LEFT JOIN labels l ON l.doc_id = o.doc_id
+"""
+
+ORACLE["attach_gold"] = with_ctes(OIE_PAIRS) + """
+SELECT o.doc_id, CAST(length(o.gold_str) AS BIGINT) AS gold_chars, CAST(length(o.pred_str) AS BIGINT) AS pred_chars
+FROM oie_pairs o JOIN labels l ON l.doc_id = o.doc_id
+"""
+
+ORACLE["attach_gold_audit"] = with_ctes(OIE_PAIRS) + """
+SELECT coalesce(o.doc_id, x.doc_id) AS doc_id, o.doc_id IS NOT NULL AS has_gold, x.doc_id IS NOT NULL AS has_pred
+FROM oie_pairs o FULL OUTER JOIN (SELECT l.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id) x
+  ON x.doc_id = o.doc_id
+"""
+
+ORACLE["lemma_lookup"] = with_ctes(*GOLD) + f"""
+SELECT doc_id, tidx, array_to_string(list_transform({W('subj')}, lambda w: CASE WHEN length(w) > 3 AND suffix(w, 's')
+       THEN substr(w, 1, length(w) - 1) ELSE w END), ' ') AS lemmas FROM g
+"""
+
+ORACLE["classification_metrics"] = """
+WITH c AS (SELECT quality AS y, 1 - toxic AS yhat FROM labels),
+cls AS (SELECT y AS k FROM c UNION SELECT yhat FROM c),
+per AS (SELECT k,
+   coalesce((SELECT count(*) FROM c WHERE y = k AND yhat = k) / nullif((SELECT count(*) FROM c WHERE yhat = k), 0), 0.0) AS p,
+   coalesce((SELECT count(*) FROM c WHERE y = k AND yhat = k) / nullif((SELECT count(*) FROM c WHERE y = k), 0), 0.0) AS r
+   FROM cls)
+SELECT round((SELECT avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) FROM c), 6) AS accuracy,
+       round(avg(p), 6) AS macro_precision, round(avg(r), 6) AS macro_recall,
+       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1,
+       CAST(count(*) AS BIGINT) AS n_classes, (SELECT CAST(count(*) AS BIGINT) FROM c) AS n
+FROM per
+"""
+
+ORACLE["sql_parse_tuples"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + """
+SELECT doc_id, tidx, subj, pred, array_to_string(auxi, ' ### ') AS auxi,
+       array_to_string(list_transform(objs, lambda o: o.prep || ' ### ' || o.obj), ' ,, ') AS objs FROM pr
+"""

@@ -669,3 +669,96 @@ def q_row_index(spark, sf_dir):
 def q_batch_assign(spark, sf_dir):
     s = with_index(sentences(spark, sf_dir).select("doc_id", "lineId"), ["doc_id", "lineId"])
     return with_batch(s, 1000).select("doc_id", F.col("lineId").cast("bigint").alias("lineId"), "batch_id")
+
+
+# ---------------------------------------------------------------------------
+# M6: plug-ins, stored outputs, class metrics, SQL functions
+# ---------------------------------------------------------------------------
+from tuplespark.functions.sql import register_sql_functions  # noqa: E402
+from tuplespark.operators.generate import first_words_generator, generate, replay  # noqa: E402
+from tuplespark.operators.metrics import classification_metrics  # noqa: E402
+from tuplespark.operators.scoring import with_lemmas  # noqa: E402
+from tuplespark.plans import predict as P  # noqa: E402
+
+
+def _docs_in(spark, sf_dir):
+    return read_documents(spark, _os.path.join(sf_dir, "documents.parquet"))
+
+
+@query("generate_batch")
+def q_generate_batch(spark, sf_dir):
+    """UDF-1 with the stand-in generator over every sentence prompt."""
+    g = generate(P.prompts(_docs_in(spark, sf_dir)), "prompt", first_words_generator, out="output", batch=64)
+    return g.select("ident", "output", "error")
+
+
+@query("predict_chain")
+def q_predict_chain(spark, sf_dir):
+    f = P.predict(_docs_in(spark, sf_dir), first_words_generator)
+    return f.select("ident", F.col("factId").cast("bigint").alias("factId"), "text", "subj", "pred", "auxi",
+                    "prep1", "obj1", "prep2", "obj2", F.col("n_objs").cast("bigint").alias("n_objs"))
+
+
+def stored_outputs(spark, sf_dir):
+    """Stored generations for the documents that have a ``labels`` row."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    return oie_pairs(spark, sf_dir).join(labelled, "doc_id", "left_semi").select("doc_id", F.col("pred_str").alias("output"))
+
+
+@query("replay_generation")
+def q_replay(spark, sf_dir):
+    r = replay(oie_pairs(spark, sf_dir).select("doc_id"), stored_outputs(spark, sf_dir), "doc_id")
+    return r.select("doc_id", F.col("output").isNotNull().alias("has_output"),
+                    F.length("output").cast("bigint").alias("n_chars"))
+
+
+@query("attach_gold")
+def q_attach_gold(spark, sf_dir):
+    """JON-2: predicted text joined with its gold text by key."""
+    j = stored_outputs(spark, sf_dir).join(oie_pairs(spark, sf_dir).select("doc_id", "gold_str"), "doc_id")
+    return j.select("doc_id", F.length("gold_str").cast("bigint").alias("gold_chars"),
+                    F.length("output").cast("bigint").alias("pred_chars"))
+
+
+@query("attach_gold_audit")
+def q_attach_gold_audit(spark, sf_dir):
+    """JON-2 audit mode: full outer join, every key reported once."""
+    outs = table(spark, sf_dir, "labels").select("doc_id").join(
+        table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("output")), "doc_id")
+    j = oie_pairs(spark, sf_dir).select("doc_id", "gold_str").join(outs, "doc_id", "full_outer")
+    return j.select("doc_id", F.col("gold_str").isNotNull().alias("has_gold"), F.col("output").isNotNull().alias("has_pred"))
+
+
+def lemma_dictionary(spark, sf_dir):
+    """A ``(word, lemma)`` table derived from the gold words: plural-looking
+    words (longer than 3, ending in ``s``) map to the word without the ``s``."""
+    g = gold_tuples(spark, sf_dir)
+    w = explode_rows(g.select(words(render_plain(F.col("t"))).alias("w")), [], "w", "word").distinct()
+    return w.where((F.length("word") > 3) & F.col("word").endswith("s")) \
+            .select("word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma"))
+
+
+@query("lemma_lookup")
+def q_lemma_lookup(spark, sf_dir):
+    g = gold_tuples(spark, sf_dir).select("doc_id", "tidx", words(F.col("t.subj")).alias("w"))
+    lem = with_lemmas(g, "w", lemma_dictionary(spark, sf_dir), ["doc_id", "tidx"], out="lemmas")
+    return lem.select("doc_id", "tidx", F.array_join("lemmas", " ").alias("lemmas"))
+
+
+@query("classification_metrics")
+def q_classification(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select(F.col("quality").alias("y"), (1 - F.col("toxic")).alias("yhat"))
+    m = classification_metrics(lab, "y", "yhat")
+    return m.select(*[_r6(F.col(c)).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")],
+                    F.col("n_classes").cast("bigint").alias("n_classes"), F.col("n").cast("bigint").alias("n"))
+
+
+@query("sql_parse_tuples")
+def q_sql_parse(spark, sf_dir):
+    """UDF-5: the parser as a SQL table function."""
+    register_sql_functions(spark)
+    pairs = oie_pairs(spark, sf_dir)
+    return spark.sql("""
+        SELECT p.doc_id, CAST(t.tidx AS BIGINT) AS tidx, t.subj, t.pred, array_join(t.auxi, ' ### ') AS auxi,
+               array_join(transform(t.objs, o -> concat(o.prep, ' ### ', o.obj)), ' ,, ') AS objs
+        FROM {pairs} p, LATERAL parse_tuples_table(p.pred_str) t""", pairs=pairs)
