@@ -718,3 +718,20 @@ ORACLE["sql_parse_tuples"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "
 SELECT doc_id, tidx, subj, pred, array_to_string(auxi, ' ### ') AS auxi,
        array_to_string(list_transform(objs, lambda o: o.prep || ' ### ' || o.obj), ' ,, ') AS objs FROM pr
 """
+
+
+# ---------------------------------------------------------------------------
+# M7: streaming (stream = batch)
+# ---------------------------------------------------------------------------
+
+ORACLE["stream_facts"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + f"""
+SELECT doc_id || '_0' AS ident, tidx AS factId, {linearize_sql()} AS text, subj, pred, array_to_string(auxi, ' ') AS auxi,
+  objs[1].prep AS prep1, objs[1].obj AS obj1, objs[2].prep AS prep2, objs[2].obj AS obj2,
+  objs[3].prep AS prep3, objs[3].obj AS obj3, CAST(len(objs) AS BIGINT) AS n_objs FROM pr
+"""
+
+ORACLE["stream_micro_totals"] = with_ctes(*SCORE_CTES, GREEDY_P) + SENT_SCORES + """
+SELECT 'run-0' AS run_id, CAST(n AS BIGINT) AS n_sentences, round(p, 6) AS micro_prec, round(r, 6) AS micro_rec,
+       round((1 + 0.25) * p * r / (0.25 * p + r), 6) AS micro_f_beta
+FROM (SELECT count(*) AS n, sum(prec_num) / sum(prec_den) AS p, sum(rec_num) / sum(rec_den) AS r FROM sscore3)
+"""

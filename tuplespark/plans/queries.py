@@ -762,3 +762,38 @@ def q_sql_parse(spark, sf_dir):
         SELECT p.doc_id, CAST(t.tidx AS BIGINT) AS tidx, t.subj, t.pred, array_join(t.auxi, ' ### ') AS auxi,
                array_join(transform(t.objs, o -> concat(o.prep, ' ### ', o.obj)), ' ,, ') AS objs
         FROM {pairs} p, LATERAL parse_tuples_table(p.pred_str) t""", pairs=pairs)
+
+
+# ---------------------------------------------------------------------------
+# M7: streaming (stream = batch)
+# ---------------------------------------------------------------------------
+from tuplespark.streaming import incremental as STR  # noqa: E402
+
+
+@query("stream_facts")
+def q_stream_facts(spark, sf_dir):
+    """STR-1: generated text lands as several files; the stream parses them
+    in micro-batches of one file and appends facts; read back the sink."""
+    base = scratch_path(spark, "stream-facts")
+    outs = oie_pairs(spark, sf_dir).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("_0")).alias("ident"), F.col("pred_str").alias("output"))
+    outs.repartition(4, "ident").write.mode("overwrite").json(base + "/in")
+    STR.stream_facts(spark, base + "/in", base + "/out", base + "/ckpt", max_files=1)
+    f = spark.read.parquet(base + "/out")
+    return f.select("ident", F.col("factId").cast("bigint").alias("factId"), "text", "subj", "pred", "auxi",
+                    "prep1", "obj1", "prep2", "obj2", "prep3", "obj3", F.col("n_objs").cast("bigint").alias("n_objs"))
+
+
+@query("stream_micro_totals")
+def q_stream_totals(spark, sf_dir):
+    """STR-2: running micro totals over micro-batches; final = batch AGG-5."""
+    base = scratch_path(spark, "stream-totals")
+    pairs = oie_pairs(spark, sf_dir).withColumn("run_id", F.lit("run-0"))
+    pairs.repartition(4, "doc_id").write.mode("overwrite").json(base + "/in")
+    STR.stream_totals(spark, base + "/in", base + "/out", base + "/ckpt", max_files=1)
+    t = spark.read.parquet(base + "/out")
+    p = F.try_divide(F.col("prec_num"), F.col("prec_den").cast("double"))
+    r = F.try_divide(F.col("rec_num"), F.col("rec_den").cast("double"))
+    return t.select("run_id", F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                    _r6(p).alias("micro_prec"), _r6(r).alias("micro_rec"),
+                    _r6(F.try_divide(1.25 * p * r, 0.25 * p + r)).alias("micro_f_beta"))
