@@ -68,16 +68,22 @@ def tuple_table(df: DataFrame, key: str, triples: str, idx: str, prefix: str,
 
 
 def candidate_pairs(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
-    """JON-1: ``(key, gidx, pidx)`` pairs whose subjects and predicates share a
-    word: exactly the pairs that can score non-NULL. Blocking keys are
-    ``(key, subject word, predicate word)``, so a hot sentence spreads over
-    many join keys (AQE splits any remaining skewed key)."""
-    def block(df, idx, p):
-        subj = explode_rows(df, [key, idx, f"{p}pred_w"], F.array_distinct(f"{p}subj_w"), "__sw")
-        return explode_rows(subj, [key, idx, "__sw"], F.array_distinct(f"{p}pred_w"), "__pw")
-    ids = block(gold, "gidx", "g_").join(block(pred, "pidx", "p_"), [key, "__sw", "__pw"]) \
-                                   .select(key, "gidx", "pidx").distinct()
-    return ids.join(gold, [key, "gidx"]).join(pred, [key, "pidx"])
+    """JON-1: the (gold, predicted) pairs whose subjects and predicates share a
+    word: exactly the pairs that can score non-NULL, never all pairs.
+
+    Each tuple is replicated once per (subject word, predicate word) of its
+    own, carrying its (small) word arrays, and the two sides are joined on
+    ``(key, subject word, predicate word)``: a hot sentence spreads over many
+    join keys (AQE splits any skewed one). A pair found through several word
+    combinations is kept once; the result is hash-partitioned by
+    ``(key, gidx)``, which the de-duplication and the per-gold window of
+    ``score_pairs`` both reuse (no further exchange)."""
+    def block(df, p):
+        cols = df.columns
+        subj = explode_rows(df, cols, F.array_distinct(f"{p}subj_w"), "__sw")
+        return explode_rows(subj, cols + ["__sw"], F.array_distinct(f"{p}pred_w"), "__pw")
+    joined = block(gold, "g_").join(block(pred, "p_"), [key, "__sw", "__pw"]).drop("__sw", "__pw")
+    return joined.repartition(key, "gidx").dropDuplicates([key, "gidx", "pidx"])
 
 
 def _zip_stats(a: Column, b: Column, n: Column) -> Column:

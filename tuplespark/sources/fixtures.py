@@ -67,7 +67,11 @@ def oie_pairs_rows(docs: DataFrame) -> DataFrame:
 
     first5 = F.slice(F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0)), 1, 5)
     from tuplespark.functions.arrays import explode_rows
-    lines = (explode_rows(docs, ["doc_id"], first5, "line", "i")
+    # The scan task only finds the lines; the one shuffle (by doc_id, at most
+    # five lines per document) happens here, so formatting runs in parallel
+    # and the regrouping by doc_id below needs no second exchange.
+    picked = docs.select("doc_id", first5.alias("first5")).repartition("doc_id")
+    lines = (explode_rows(picked, ["doc_id"], "first5", "line", "i")
                  .select("doc_id", (F.col("i") + 1).alias("k"),
                          F.split(F.trim(F.translate("line", "#,.", "")), " +", -1).alias("w"))
                  .withColumn("n", F.size("w")))
