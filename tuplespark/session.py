@@ -30,6 +30,7 @@ def get_spark(app: str = "tuplespark", master: str | None = None,
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     if shuffle_partitions:
