@@ -16,7 +16,7 @@ transform(
   filter(
     transform(
       filter(
-        transform(array_distinct(filter(split(lower(text), '\n', -1), s -> trim(s) <> '')),
+        transform(array_distinct(filter(split(lower({text}), '\n', -1), s -> trim(s) <> '')),
                   (s, i) -> CASE WHEN i = 0 THEN s
                                  WHEN split(s, '[.]', -1)[0] rlike '^[0-9]+$'
                                  THEN array_join(slice(split(s, '[.]', -1), 2, greatest(size(split(s, '[.]', -1)) - 1, 0)), '.')
@@ -34,14 +34,19 @@ transform(
                                                   'obj', trim(element_at(split(o, '###', -1), -1))) END)))
 """
 
+def parse_expr(column: str) -> str:
+    """The parser applied to ``column`` (a column or parameter name)."""
+    return PARSE_EXPR.replace("{text}", column)
+
+
 TUPLE_DDL = "STRUCT<subj: STRING, pred: STRING, auxi: ARRAY<STRING>, objs: ARRAY<STRUCT<prep: STRING, obj: STRING>>>"
 
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Create the temporary SQL functions in this session."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION parse_tuples(text STRING) "
-              f"RETURNS ARRAY<{TUPLE_DDL}> RETURN {PARSE_EXPR}")
+              f"RETURNS ARRAY<{TUPLE_DDL}> RETURN {parse_expr('text')}")
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION parse_tuples_table(text STRING)
         RETURNS TABLE (tidx INT, subj STRING, pred STRING, auxi ARRAY<STRING>, objs ARRAY<STRUCT<prep: STRING, obj: STRING>>)
         RETURN SELECT pos AS tidx, col.subj AS subj, col.pred AS pred, col.auxi AS auxi, col.objs AS objs
-               FROM (SELECT posexplode({PARSE_EXPR}))""")
+               FROM (SELECT posexplode({parse_expr('text')}))""")
