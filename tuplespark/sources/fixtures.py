@@ -65,48 +65,45 @@ def oie_pairs_rows(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    first5 = F.slice(F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0)), 1, 5)
     from tuplespark.functions.arrays import explode_rows
+
+    first5 = F.slice(F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0)), 1, 5)
     # The scan task only finds the lines; the one shuffle (by doc_id, at most
     # five lines per document) happens here, so formatting runs in parallel
     # and the regrouping by doc_id below needs no second exchange.
     picked = docs.select("doc_id", first5.alias("first5")).repartition("doc_id")
-    lines = (explode_rows(picked, ["doc_id"], "first5", "line", "i")
-                 .select("doc_id", (F.col("i") + 1).alias("k"),
-                         F.split(F.trim(F.translate("line", "#,.", "")), " +", -1).alias("w"))
-                 .withColumn("n", F.size("w")))
-    w, n, k = F.col("w"), F.col("n"), F.col("k")
-    pred = F.when((k % 2 == 0) & (n >= 8), F.concat(F.lit("not ### "), F.get(w, 1))).otherwise(F.get(w, 1))
-    parts = lines.select(
-        "doc_id", "k", ((F.col("doc_id") + k) % 6).alias("v"), F.get(w, 0).alias("subj"), pred.alias("pred"),
-        F.get(w, 2).alias("o1"),
-        F.when(n >= 5, F.concat(F.get(w, 3), F.lit(" ### "), F.get(w, 4))).alias("o2"),
-        F.when(n >= 7, F.concat(F.get(w, 5), F.lit(" ### "), F.get(w, 6))).alias("o3"))
-    s, p, o1, o2, o3, v = (F.col(c) for c in ("subj", "pred", "o1", "o2", "o3", "v"))
-    g = F.concat_ws(" ,, ", s, p, o1, o2, o3)
-    h = (F.when(v == 1, F.concat_ws(" ,, ", s, p, o3, o2, o1))
-          .when(v == 2, F.concat_ws(" ,, ", s, p, F.when(o2.isNotNull(), o1), F.when(o3.isNotNull(), o2)))
-          .when(v == 3, F.concat_ws(" ,, ", s, F.concat(F.lit("not ### "), p), o1, o2, o3))
-          .when(v == 4, F.lit(None).cast("string"))
-          .otherwise(g))
-    per_doc = (parts.select("doc_id", "k", "v", g.alias("g"), h.alias("h"))
-                    .groupBy("doc_id")
-                    .agg(F.array_sort(F.collect_list(F.struct("k", "v", "g", "h"))).alias("r"),
-                         F.min(F.when(F.col("h").isNotNull(), F.col("k"))).alias("k0")))
-
-    def num(x, text):
-        return F.concat(x["k"].cast("string"), F.lit(". "), text)
-
-    gold = F.array_join(F.transform("r", lambda x: F.when(x["k"] == 1, x["g"]).otherwise(num(x, x["g"]))), "\n")
-    items = F.filter(F.transform("r", lambda x: F.when(x["h"].isNull(), F.lit(None).cast("string"))
-                                 .when(x["k"] == F.col("k0"), x["h"])
-                                 .when(x["v"] == 5, F.concat(num(x, x["h"]), F.lit("\n"), num(x, x["h"])))
-                                 .otherwise(num(x, x["h"]))), lambda z: z.isNotNull())
-    pred_str = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("   \n")).otherwise(F.lit("")),
-                        F.array_join(items, "\n"),
-                        F.when(F.col("doc_id") % 3 == 0, F.lit("\nnote without number")).otherwise(F.lit("")),
-                        F.when(F.col("doc_id") % 5 == 0, F.lit("\n9x. bad ,, number")).otherwise(F.lit("")))
-    return per_doc.select("doc_id", gold.alias("gold_str"), pred_str.alias("pred_str"))
+    lines = explode_rows(picked, ["doc_id"], "first5", "line", "i")
+    parts = lines.selectExpr(
+        "doc_id", "i + 1 AS k", "split(trim(translate(line, '#,.', '')), ' +', -1) AS w").selectExpr(
+        "doc_id", "k", "(doc_id + k) % 6 AS v", "get(w, 0) AS subj",
+        "CASE WHEN k % 2 = 0 AND size(w) >= 8 THEN concat('not ### ', get(w, 1)) ELSE get(w, 1) END AS pred",
+        "get(w, 2) AS o1",
+        "CASE WHEN size(w) >= 5 THEN concat(get(w, 3), ' ### ', get(w, 4)) END AS o2",
+        "CASE WHEN size(w) >= 7 THEN concat(get(w, 5), ' ### ', get(w, 6)) END AS o3")
+    per_line = parts.selectExpr(
+        "doc_id", "k", "v", "concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g",
+        """CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
+                  WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END,
+                                        CASE WHEN o3 IS NOT NULL THEN o2 END)
+                  WHEN 3 THEN concat_ws(' ,, ', subj, concat('not ### ', pred), o1, o2, o3)
+                  WHEN 4 THEN CAST(NULL AS STRING)
+                  ELSE concat_ws(' ,, ', subj, pred, o1, o2, o3) END AS h""")
+    per_doc = per_line.groupBy("doc_id").agg(
+        F.expr("array_sort(collect_list(struct(k, v, g, h)))").alias("r"),
+        F.expr("min(CASE WHEN h IS NOT NULL THEN k END)").alias("k0"))
+    return per_doc.selectExpr(
+        "doc_id",
+        r"""array_join(transform(r, x -> CASE WHEN x.k = 1 THEN x.g ELSE concat(CAST(x.k AS STRING), '. ', x.g) END),
+                       '\n') AS gold_str""",
+        r"""concat(CASE WHEN doc_id % 7 = 0 THEN '   \n' ELSE '' END,
+                   array_join(filter(transform(r, x -> CASE WHEN x.h IS NULL THEN CAST(NULL AS STRING)
+                                                           WHEN x.k = k0 THEN x.h
+                                                           WHEN x.v = 5 THEN concat(CAST(x.k AS STRING), '. ', x.h, '\n',
+                                                                                    CAST(x.k AS STRING), '. ', x.h)
+                                                           ELSE concat(CAST(x.k AS STRING), '. ', x.h) END),
+                                     z -> z IS NOT NULL), '\n'),
+                   CASE WHEN doc_id % 3 = 0 THEN '\nnote without number' ELSE '' END,
+                   CASE WHEN doc_id % 5 = 0 THEN '\n9x. bad ,, number' ELSE '' END) AS pred_str""")
 
 
 def oie_pairs_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
