@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
+from tuplespark.functions import sqlexpr as SQL
 from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.text import overlap, render_plain, words
 from tuplespark.operators.matching import greedy_match
@@ -55,9 +56,18 @@ def with_lemmas(df: DataFrame, words_col: str, lemmas: DataFrame, key: list[str]
 def tuple_table(df: DataFrame, key: str, triples: str, idx: str, prefix: str,
                 lemma_map: dict[str, str] | None = None) -> DataFrame:
     """One row per tuple: ``key, idx`` and word arrays of each part."""
+    rows = explode_rows(df, [key], triples, "__t", idx)
+    if not lemma_map:
+        w = SQL.words
+        obj_words = w("concat(o_t.prep, ' ', o_t.obj)")
+        return rows.selectExpr(
+            key, f"CAST({idx} AS BIGINT) AS {idx}", f"{w('__t.subj')} AS {prefix}subj_w",
+            f"{w('__t.pred')} AS {prefix}pred_w", f"transform(__t.auxi, a_t -> {w('a_t')}) AS {prefix}aux_w",
+            f"transform(__t.objs, o_t -> {obj_words}) AS {prefix}obj_w",
+            f"size(__t.objs) AS {prefix}n_objs", f"__t AS {prefix}tuple")
     t = F.col("__t")
     lem = lambda c: lemmatize(words(c), lemma_map)
-    return explode_rows(df, [key], triples, "__t", idx).select(
+    return rows.select(
         key, F.col(idx).cast("bigint").alias(idx),
         lem(t["subj"]).alias(f"{prefix}subj_w"),
         lem(t["pred"]).alias(f"{prefix}pred_w"),
@@ -97,15 +107,14 @@ def _sum(stats: Column, field: str) -> Column:
 
 def score_pairs(pairs: DataFrame, key: str = "doc_id", weights: dict | None = None,
                 gold_truncation: str = "sequential") -> DataFrame:
-    """SCO-2/SCO-3: ``(key, gidx, pidx, prec, rec, n_cmp_objs)``; prec/rec are
-    NULL when the pair is not a match. Also returns ``g_n_cut``: the gold
+    """SCO-2/SCO-3: ``(key, gidx, pidx, prec, rec, n_cmp_objs, g_n_cut)``;
+    prec/rec are NULL when the pair is not a match; ``g_n_cut`` is the gold
     object count after all predictions (for the distance step)."""
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
-    ws, wp, wa, wo = (F.lit(float(w[k])) for k in ("subj", "pred", "auxi", "obj"))
-    ov_s = overlap(F.col("g_subj_w"), F.col("p_subj_w"))
-    ov_p = overlap(F.col("g_pred_w"), F.col("p_pred_w"))
-    df = pairs.withColumn("__ovs", ov_s).withColumn("__ovp", ov_p) \
-              .where((F.col("__ovs") * ws > 0) & (F.col("__ovp") * wp > 0))
+    ws, wp, wa, wo = (SQL.dbl(w[k]) for k in ("subj", "pred", "auxi", "obj"))
+    ov = SQL.overlap
+    df = (pairs.selectExpr("*", f"{ov('g_subj_w', 'p_subj_w')} AS __ovs", f"{ov('g_pred_w', 'p_pred_w')} AS __ovp")
+               .where(f"__ovs * {ws} > 0 AND __ovp * {wp} > 0"))
     n_g, n_p = F.col("g_n_objs"), F.col("p_n_objs")
     if gold_truncation == "sequential":
         before = Window.partitionBy(key, "gidx").orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,21 +126,29 @@ def score_pairs(pairs: DataFrame, key: str = "doc_id", weights: dict | None = No
     else:
         raise ValueError(gold_truncation)
     df = df.withColumn("__ncur", n_cur).withColumn("g_n_cut", n_cut)
-    L = F.when(n_p == 0, F.when(F.col("__ncur") == 0, F.lit(0))).otherwise(F.least(F.col("__ncur"), n_p))
-    df = df.withColumn("n_cmp_objs", L)
-    n_aux = F.least(F.size("g_aux_w"), F.size("p_aux_w"))
-    df = (df.withColumn("__aux", _zip_stats(F.col("g_aux_w"), F.col("p_aux_w"), n_aux))
-            .withColumn("__obj", _zip_stats(F.col("g_obj_w"), F.col("p_obj_w"), F.coalesce(F.col("n_cmp_objs"), F.lit(0)))))
-    ok = F.col("n_cmp_objs").isNotNull() & ~F.exists("__obj", lambda s: s["ov"] * wo == 0)
-    num = ws * F.col("__ovs") + wp * F.col("__ovp") + wa * _sum(F.col("__aux"), "ov") + wo * _sum(F.col("__obj"), "ov")
-    den_p = (ws * F.size("p_subj_w") + wp * F.size("p_pred_w") + wa * _sum(F.col("__aux"), "np")
-             + wo * _sum(F.col("__obj"), "np"))
-    den_g = (ws * F.size("g_subj_w") + wp * F.size("g_pred_w") + wa * _sum(F.col("__aux"), "ng")
-             + wo * _sum(F.col("__obj"), "ng"))
-    return df.select(key, "gidx", "pidx",
-                     F.when(ok, F.try_divide(num, den_p)).alias("prec"),
-                     F.when(ok, F.try_divide(num, den_g)).alias("rec"),
-                     "n_cmp_objs", "g_n_cut")
+
+    def zip_stats(a, b, n):
+        return (f"zip_with(slice({a}, 1, {n}), slice({b}, 1, {n}), (za, zb) -> "
+                f"named_struct('ov', {ov('za', 'zb')}, 'ng', size(za), 'np', size(zb)))")
+
+    def total(stats, f):
+        return f"aggregate({stats}, 0, (sa, sx) -> sa + sx.{f})"
+
+    df = df.selectExpr(
+        "*", "CASE WHEN p_n_objs = 0 THEN CASE WHEN __ncur = 0 THEN 0 END ELSE least(__ncur, p_n_objs) END AS n_cmp_objs")
+    df = df.selectExpr(
+        "*", f"{zip_stats('g_aux_w', 'p_aux_w', 'least(size(g_aux_w), size(p_aux_w))')} AS __aux",
+        f"{zip_stats('g_obj_w', 'p_obj_w', 'coalesce(n_cmp_objs, 0)')} AS __obj")
+    ok = f"n_cmp_objs IS NOT NULL AND NOT exists(__obj, so -> so.ov * {wo} = 0)"
+    num = f"{ws} * __ovs + {wp} * __ovp + {wa} * {total('__aux', 'ov')} + {wo} * {total('__obj', 'ov')}"
+    den_p = (f"{ws} * size(p_subj_w) + {wp} * size(p_pred_w) + {wa} * {total('__aux', 'np')} "
+             f"+ {wo} * {total('__obj', 'np')}")
+    den_g = (f"{ws} * size(g_subj_w) + {wp} * size(g_pred_w) + {wa} * {total('__aux', 'ng')} "
+             f"+ {wo} * {total('__obj', 'ng')}")
+    return df.selectExpr(key, "gidx", "pidx",
+                         f"CASE WHEN {ok} THEN try_divide({num}, {den_p}) END AS prec",
+                         f"CASE WHEN {ok} THEN try_divide({num}, {den_g}) END AS rec",
+                         "n_cmp_objs", "g_n_cut")
 
 
 def f_beta(p: Column, r: Column, beta: float) -> Column:
@@ -277,6 +294,13 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
         n_p, F.lit(0).cast("bigint"), lambda acc, n: acc + F.coalesce(F.get(fact, n), F.lit(0)).cast("bigint"))
     over = (effort > max_effort) | F.exists(n_p, lambda n: n > max_objects)
     df = df.withColumn("__over", over)
+    n_min = F.least(F.size(gold), F.size(pred))
+    if tokenizer is whitespace_tokens:
+        cuts = "__cuts" if gold_cut is not None else None
+        matched = F.expr(_distance_sql(f"`{gold}`", f"`{pred}`", cuts))
+        return df.select(key, F.col("__over").alias("fallback"),
+                         F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
+                          .alias("levenshtein_dists"))
 
     # One expression per sentence row. Intermediates are bound with ``let``
     # (lambda variables), which Catalyst cannot inline into the lambdas that
@@ -325,3 +349,45 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
     return df.select(key, F.col("__over").alias("fallback"),
                      F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
                       .alias("levenshtein_dists"))
+
+
+def _distance_sql(gold: str, pred: str, cuts: str | None) -> str:
+    """SQL text of the per-sentence matched distances (default tokenizer);
+    the same steps as the Column form in ``sentence_distances``."""
+    W, P = SQL.words, SQL.plain
+    alpha = "'" + ALPHABET + "'"
+    if cuts:
+        gold_eff = (f"transform({gold}, (t_g, i_g) -> named_struct('subj', t_g.subj, 'pred', t_g.pred, 'auxi', t_g.auxi, "
+                    f"'objs', slice(t_g.objs, 1, coalesce(element_at({cuts}, CAST(i_g AS BIGINT)), size(t_g.objs)))))")
+    else:
+        gold_eff = gold
+    tokens = (f"named_struct('gt', transform({gold_eff}, t_e -> {W(P('t_e'))}), "
+              f"'po', transform({pred}, t_f -> {SQL.pred_orders('t_f')}))")
+    vocab = "array_distinct(concat(flatten(x_s.gt), flatten(flatten(transform(x_s.po, po_v -> po_v.orders)))))"
+    gc = f"transform(x_s.gt, g_c -> named_struct('t', g_c, 'c', {SQL.code('g_c', 'v_s', alpha)}))"
+    pc = (f"transform(x_s.po, po_c -> named_struct('flat', po_c.flat, "
+          f"'codes', transform(po_c.orders, o_c -> {SQL.code('o_c', 'v_s', alpha)})))")
+    dist = ("CASE WHEN NOT arrays_overlap(g_d.t, p_d.flat) OR size(g_d.t) = 0 OR size(p_d.flat) = 0 "
+            "THEN greatest(size(g_d.t), size(p_d.flat)) "
+            "ELSE array_min(transform(p_d.codes, c_d -> levenshtein(g_d.c, c_d))) END")
+    cells = (f"flatten(transform(y_s.gc, (g_d, gi_d) -> transform(y_s.pc, (p_d, pi_d) -> "
+             f"named_struct('o', {dist}, 'r', CAST(gi_d AS BIGINT), 'c', CAST(pi_d AS BIGINT)))))")
+    per_pair = ("CASE WHEN NOT arrays_overlap(g_e, po_e.flat) OR size(g_e) = 0 OR size(po_e.flat) = 0 "
+                "THEN greatest(size(g_e), size(po_e.flat)) ELSE "
+                + SQL.let("array_distinct(concat(g_e, po_e.flat))", "vv_e",
+                          f"CASE WHEN size(vv_e) <= {_ALPHABET_SIZE} THEN array_min(transform(po_e.orders, o_h -> "
+                          f"levenshtein({SQL.code('g_e', 'vv_e', alpha)}, {SQL.code('o_h', 'vv_e', alpha)}))) END")
+                + " END")
+    cells_big = (f"flatten(transform(x_s.gt, (g_e, gi_e) -> transform(x_s.po, (po_e, pi_e) -> "
+                 f"named_struct('o', {per_pair}, 'r', CAST(gi_e AS BIGINT), 'c', CAST(pi_e AS BIGINT)))))")
+
+    def fold(cs: str) -> str:
+        return (f"aggregate(array_sort({cs}), named_struct('rows', CAST(array() AS ARRAY<BIGINT>), "
+                f"'cols', CAST(array() AS ARRAY<BIGINT>), 'd', CAST(array() AS ARRAY<INT>)), (acc_f, c_f) -> "
+                f"CASE WHEN NOT array_contains(acc_f.rows, c_f.r) AND NOT array_contains(acc_f.cols, c_f.c) "
+                f"THEN named_struct('rows', array_append(acc_f.rows, c_f.r), 'cols', array_append(acc_f.cols, c_f.c), "
+                f"'d', array_append(acc_f.d, CAST(c_f.o AS INT))) ELSE acc_f END).d")
+
+    coded = SQL.let(f"named_struct('gc', {gc}, 'pc', {pc})", "y_s", fold(cells))
+    return SQL.let(tokens, "x_s", SQL.let(vocab, "v_s",
+                   f"CASE WHEN size(v_s) > {_ALPHABET_SIZE} THEN {fold(cells_big)} ELSE {coded} END"))
