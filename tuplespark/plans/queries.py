@@ -592,9 +592,8 @@ def _vocab_input(ex):
 
 def encoded_examples(spark, sf_dir, min_count=1):
     ex = materialize(example_texts(spark, sf_dir))
-    vocab = materialize(build_vocab(_vocab_input(ex), "tok", min_count=min_count))
-    enc = encode(encode(ex, ["doc_id"], "prompt_tok", vocab, "prompt_ids"), ["doc_id"], "target_tok", vocab, "target_ids")
-    return enc
+    vocab = build_vocab(_vocab_input(ex), "tok", min_count=min_count)
+    return encode(ex, ["doc_id"], ["prompt_tok", "target_tok"], vocab, ["prompt_ids", "target_ids"])
 
 
 @query("build_vocab")
