@@ -597,7 +597,7 @@ def ids_cte(name: str, col: str) -> str:
 
 
 def CHK(x: str) -> str:
-    return f"CAST(coalesce(list_sum(list_transform({x}, lambda v, i: v * i)), 0) AS BIGINT)"
+    return f"md5(array_to_string({x}, ','))"
 
 
 ENC = lambda mc: [*EX, vocab_cte(mc), ids_cte("pid", "prompt_tok"), ids_cte("tid", "target_tok"), """

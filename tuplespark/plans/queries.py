@@ -568,7 +568,7 @@ def q_usage_totals(spark, sf_dir):
 # M5: supervised-example building, numbering and batching
 # ---------------------------------------------------------------------------
 from tuplespark.operators.examples import (build_examples, build_inference_examples, build_vocab,  # noqa: E402
-                                           checksum, encode, pad_batch)
+                                           checksum, count_value, encode, pad_batch)
 from tuplespark.operators.indexing import length_buckets, with_batch, with_index  # noqa: E402
 from tuplespark.operators.prompts import render_messages  # noqa: E402
 
@@ -606,7 +606,7 @@ def q_build_vocab(spark, sf_dir):
 def q_encode_tokens(spark, sf_dir):
     enc = encoded_examples(spark, sf_dir, min_count=2)
     return enc.select("doc_id", F.size("prompt_ids").cast("bigint").alias("n_ids"),
-                      F.size(F.filter("prompt_ids", lambda x: x == K.UNK_ID)).cast("bigint").alias("n_unk"),
+                      count_value(F.col("prompt_ids"), K.UNK_ID).cast("bigint").alias("n_unk"),
                       checksum(F.col("prompt_ids")).alias("id_check"),
                       checksum(F.col("target_ids")).alias("target_check"))
 
@@ -619,7 +619,7 @@ def _examples(spark, sf_dir):
 def q_build_examples(spark, sf_dir):
     ex = _examples(spark, sf_dir)
     return ex.select("doc_id", F.col("length").cast("bigint").alias("length"),
-                     F.size(F.filter("labels", lambda x: x == K.IGNORE_INDEX)).cast("bigint").alias("n_ignored"),
+                     count_value(F.col("labels"), K.IGNORE_INDEX).cast("bigint").alias("n_ignored"),
                      checksum(F.col("input_ids")).alias("ids_check"), checksum(F.col("labels")).alias("labels_check"))
 
 
