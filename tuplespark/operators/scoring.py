@@ -372,12 +372,7 @@ def _distance_sql(gold: str, pred: str, cuts: str | None) -> str:
             "ELSE array_min(transform(p_d.codes, c_d -> levenshtein(g_d.c, c_d))) END")
     cells = (f"flatten(transform(y_s.gc, (g_d, gi_d) -> transform(y_s.pc, (p_d, pi_d) -> "
              f"named_struct('o', {dist}, 'r', CAST(gi_d AS BIGINT), 'c', CAST(pi_d AS BIGINT)))))")
-    per_pair = ("CASE WHEN NOT arrays_overlap(g_e, po_e.flat) OR size(g_e) = 0 OR size(po_e.flat) = 0 "
-                "THEN greatest(size(g_e), size(po_e.flat)) ELSE "
-                + SQL.let("array_distinct(concat(g_e, po_e.flat))", "vv_e",
-                          f"CASE WHEN size(vv_e) <= {_ALPHABET_SIZE} THEN array_min(transform(po_e.orders, o_h -> "
-                          f"levenshtein({SQL.code('g_e', 'vv_e', alpha)}, {SQL.code('o_h', 'vv_e', alpha)}))) END")
-                + " END")
+    per_pair = ordered_distance_sql("g_e", "po_e")
     cells_big = (f"flatten(transform(x_s.gt, (g_e, gi_e) -> transform(x_s.po, (po_e, pi_e) -> "
                  f"named_struct('o', {per_pair}, 'r', CAST(gi_e AS BIGINT), 'c', CAST(pi_e AS BIGINT)))))")
 
@@ -391,3 +386,22 @@ def _distance_sql(gold: str, pred: str, cuts: str | None) -> str:
     coded = SQL.let(f"named_struct('gc', {gc}, 'pc', {pc})", "y_s", fold(cells))
     return SQL.let(tokens, "x_s", SQL.let(vocab, "v_s",
                    f"CASE WHEN size(v_s) > {_ALPHABET_SIZE} THEN {fold(cells_big)} ELSE {coded} END"))
+
+
+def ordered_distance_sql(g: str, po: str) -> str:
+    """SQL text of ``ordered_distance`` (gold tokens ``g``, ``po`` from
+    ``SQL.pred_orders``), coding the pair against its own vocabulary."""
+    alpha = "'" + ALPHABET + "'"
+    return (f"CASE WHEN NOT arrays_overlap({g}, {po}.flat) OR size({g}) = 0 OR size({po}.flat) = 0 "
+            f"THEN greatest(size({g}), size({po}.flat)) ELSE "
+            + SQL.let(f"array_distinct(concat({g}, {po}.flat))", "vv_e",
+                      f"CASE WHEN size(vv_e) <= {_ALPHABET_SIZE} THEN "
+                      + SQL.let(SQL.code(g, "vv_e", alpha), "gc_e",
+                                f"array_min(transform({po}.orders, o_h -> levenshtein(gc_e, {SQL.code('o_h', 'vv_e', alpha)})))")
+                      + " END")
+            + " END")
+
+
+def min_perm_distance_sql(gold_tuple: str, pred_tuple: str) -> str:
+    """SCO-5 as SQL text for a (gold tuple, predicted tuple) column pair."""
+    return SQL.let(SQL.pred_orders(pred_tuple), "po_m", ordered_distance_sql(SQL.words(SQL.plain(gold_tuple)), "po_m"))

@@ -339,8 +339,9 @@ def q_token_distance(spark, sf_dir):
 @query("min_perm_distance")
 def q_min_perm_distance(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return p.select("doc_id", "gidx", "pidx", min_perm_distance(
-        whitespace_tokens(render_plain(F.col("g_tuple"))), F.col("p_tuple")).cast("bigint").alias("dist"))
+    from tuplespark.operators.scoring import min_perm_distance_sql
+    return p.select("doc_id", "gidx", "pidx",
+                    F.expr(min_perm_distance_sql("g_tuple", "p_tuple")).cast("bigint").alias("dist"))
 
 
 @query("object_permutations")
