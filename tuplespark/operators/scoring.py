@@ -194,8 +194,9 @@ def all_orders(n: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """UDF-2 default: whitespace tokens (a plug-in tokenizer has the same
-    signature ``Column[str] -> Column[array<str>]``)."""
+    """UDF-2 default: whitespace tokens of one text. A plug-in tokenizer for
+    ``sentence_distances`` maps ``array<string> -> array<array<string>>``
+    (see ``operators.generate.pandas_tokenizer``)."""
     return words(text)
 
 
@@ -302,27 +303,25 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
                          F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
                           .alias("levenshtein_dists"))
 
-    # One expression per sentence row. Intermediates are bound with ``let``
-    # (lambda variables), which Catalyst cannot inline into the lambdas that
-    # use them, so each is computed exactly once:
-    #   tokens of every gold tuple and of every order of every prediction ->
-    #   one vocabulary per sentence -> each token list coded once -> a pair
-    #   costs one native levenshtein per order of its prediction.
-    def cells_coded(y):
-        def dist(g, p):
-            no_share = ~F.arrays_overlap(g["t"], p["flat"]) | (F.size(g["t"]) == 0) | (F.size(p["flat"]) == 0)
-            return F.when(no_share, F.greatest(F.size(g["t"]), F.size(p["flat"]))).otherwise(
-                F.array_min(F.transform(p["codes"], lambda c: F.levenshtein(g["c"], c))))
-        return F.flatten(F.transform(y["gc"], lambda g, gi: F.transform(
-            y["pc"], lambda p, pi: F.struct(dist(g, p).alias("o"), gi.cast("bigint").alias("r"),
-                                            pi.cast("bigint").alias("c")))))
-
-    def cells_per_pair(x):
-        # more than 4,000 distinct tokens in the sentence: code per pair
-        return F.flatten(F.transform(x["gt"], lambda g, gi: F.transform(
-            x["po"], lambda po, pi: F.struct(ordered_distance(g, po).alias("o"), gi.cast("bigint").alias("r"),
-                                             pi.cast("bigint").alias("c")))))
-
+    # Plug-in tokenizer: ``tokenizer`` maps array<string> -> array<array<string>>
+    # (a pandas UDF cannot run inside a lambda). All texts of the sentence are
+    # rendered natively, tokenized in one vectorized call per column, and
+    # re-nested with native slices.
+    g_texts = F.transform(gold_eff, lambda t: render_plain(t))
+    p_texts = F.transform(F.col(pred), lambda t: F.concat(F.array(render_plain(t)), F.transform(
+        all_orders(F.size(t["objs"])), lambda pm: render_plain(_permuted(t, pm)))))
+    df = (df.withColumn("__gtexts", g_texts).withColumn("__pcounts", F.transform(p_texts, lambda a: F.size(a)))
+            .withColumn("__ptexts", F.flatten(p_texts)))
+    df = df.withColumn("__gt", tokenizer(F.col("__gtexts"))).withColumn("__ptok", tokenizer(F.col("__ptexts")))
+    starts = F.transform("__pcounts", lambda c, i: F.aggregate(F.slice(F.col("__pcounts"), 1, i), F.lit(0), lambda a, b: a + b))
+    df = df.withColumn("__pstart", starts)
+    po = F.transform("__pcounts", lambda c, i: F.struct(
+        F.get(F.col("__ptok"), F.get(F.col("__pstart"), i)).alias("flat"),
+        F.slice(F.col("__ptok"), F.get(F.col("__pstart"), i) + 2, c - 1).alias("orders")))
+    df = df.withColumn("__po", po)
+    cells = F.flatten(F.transform(F.col("__gt"), lambda g, gi: F.transform(
+        F.col("__po"), lambda p, pi: F.struct(ordered_distance(g, p).alias("o"), gi.cast("bigint").alias("r"),
+                                              pi.cast("bigint").alias("c")))))
     init = F.struct(F.array().cast("array<bigint>").alias("rows"), F.array().cast("array<bigint>").alias("cols"),
                     F.array().cast("array<int>").alias("d"))
 
@@ -331,21 +330,7 @@ def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold"
         return F.when(free, F.struct(F.array_append(acc["rows"], c["r"]).alias("rows"),
                                      F.array_append(acc["cols"], c["c"]).alias("cols"),
                                      F.array_append(acc["d"], c["o"].cast("int")).alias("d"))).otherwise(acc)
-
-    def fold(cells):
-        return F.aggregate(F.array_sort(cells), init, step)["d"]
-
-    tokens = F.struct(F.transform(gold_eff, lambda t: tokenizer(render_plain(t))).alias("gt"),
-                      F.transform(F.col(pred), lambda t: pred_orders(t, tokenizer)).alias("po"))
-    matched = let(tokens, lambda x: let(
-        F.array_distinct(F.concat(F.flatten(x["gt"]), F.flatten(F.flatten(F.transform(x["po"], lambda po: po["orders"]))))),
-        lambda v: F.when(F.size(v) > _ALPHABET_SIZE, fold(cells_per_pair(x))).otherwise(let(
-            F.struct(F.transform(x["gt"], lambda g: F.struct(g.alias("t"), _code(g, v).alias("c"))).alias("gc"),
-                     F.transform(x["po"], lambda po: F.struct(
-                         po["flat"].alias("flat"),
-                         F.transform(po["orders"], lambda o: _code(o, v)).alias("codes"))).alias("pc")),
-            lambda y: fold(cells_coded(y))))))
-    n_min = F.least(F.size(gold), F.size(pred))
+    matched = F.aggregate(F.array_sort(cells), init, step)["d"]
     return df.select(key, F.col("__over").alias("fallback"),
                      F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
                       .alias("levenshtein_dists"))
