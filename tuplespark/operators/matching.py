@@ -34,22 +34,18 @@ def _order(score: str, higher: bool):
 
 
 def _fold(cells: DataFrame, key: list[str], score: str, higher: bool) -> DataFrame:
-    grouped = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
-        _order(score, higher).alias("k"), F.col(score).alias("s")))).alias("__cells"))
-    init = F.struct(F.array().cast("array<bigint>").alias("rows"),
-                    F.array().cast("array<bigint>").alias("cols"),
-                    F.array().cast("array<struct<r:bigint,c:bigint,s:double>>").alias("picked"))
-
-    def step(acc, c):
-        free = ~F.array_contains(acc["rows"], c["k"]["r"]) & ~F.array_contains(acc["cols"], c["k"]["c"])
-        return F.when(free, F.struct(
-            F.array_append(acc["rows"], c["k"]["r"]).alias("rows"),
-            F.array_append(acc["cols"], c["k"]["c"]).alias("cols"),
-            F.array_append(acc["picked"], F.struct(c["k"]["r"].alias("r"), c["k"]["c"].alias("c"),
-                                                   c["s"].cast("double").alias("s"))).alias("picked"),
-        )).otherwise(acc)
-
-    picked = explode_rows(grouped, key, F.aggregate("__cells", init, step)["picked"], "m")
+    """Per group: sort the cells by (score, row, col) and keep a cell when its
+    row and column are still free (one ``aggregate`` over the sorted array)."""
+    sc = f"CAST(`{score}` AS DOUBLE)"
+    order = f"-{sc}" if higher else sc
+    grouped = cells.groupBy(*key).agg(F.expr(
+        f"array_sort(collect_list(named_struct('o', {order}, 'r', __row, 'c', __col, 's', {sc})))").alias("__cells"))
+    fold = ("aggregate(__cells, named_struct('rows', CAST(array() AS ARRAY<BIGINT>), 'cols', CAST(array() AS ARRAY<BIGINT>), "
+            "'picked', CAST(array() AS ARRAY<STRUCT<r: BIGINT, c: BIGINT, s: DOUBLE>>)), (acc, x) -> "
+            "CASE WHEN NOT array_contains(acc.rows, x.r) AND NOT array_contains(acc.cols, x.c) "
+            "THEN named_struct('rows', array_append(acc.rows, x.r), 'cols', array_append(acc.cols, x.c), "
+            "'picked', array_append(acc.picked, named_struct('r', x.r, 'c', x.c, 's', x.s))) ELSE acc END).picked")
+    picked = explode_rows(grouped, key, F.expr(fold), "m")
     return picked.select(*key, F.col("m.r").alias("__row"), F.col("m.c").alias("__col"), F.col("m.s").alias(score))
 
 
