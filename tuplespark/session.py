@@ -68,3 +68,30 @@ def materialize(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tuplespark`` importable in Python workers (once per context).
+
+    Python-side operators (the generator hook, pandas-UDF plug-ins) refer to
+    module functions by name, so executors must be able to import the
+    package. Clusters usually pass it with ``--py-files``; this does the same
+    with ``SparkContext.addPyFile`` from a zip the driver builds of its own
+    copy of the package (Spark then distributes it to every executor)."""
+    import tempfile as _tf
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tuplespark_shipped", False):
+        return
+    import tuplespark
+    root = os.path.dirname(os.path.abspath(tuplespark.__file__))
+    path = os.path.join(_tf.mkdtemp(prefix="tuplespark-pkg-"), "tuplespark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for dirpath, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tuplespark_shipped = True
