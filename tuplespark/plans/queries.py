@@ -71,7 +71,7 @@ def q_facts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 # M1: text side
 # ---------------------------------------------------------------------------
 from tuplespark import constants as K  # noqa: E402
-from tuplespark.functions.parse import annotation_lines, parse_annotation as _parse_anno  # noqa: E402
+from tuplespark.functions.parse import parse_annotation as _parse_anno  # noqa: E402
 from tuplespark.functions.text import (linearize, obj_text, pred_text, render_plain,  # noqa: E402
                                        render_target, words)
 from tuplespark.operators.corpus import (group_by_sentence, record_violations,  # noqa: E402
@@ -235,7 +235,7 @@ from tuplespark.functions.text import overlap  # noqa: E402
 from tuplespark.operators.matching import greedy_match  # noqa: E402
 from tuplespark.operators.metrics import (distance_histogram, macro_metrics, mean_distance,  # noqa: E402
                                           micro_metrics)
-from tuplespark.operators.scoring import (all_orders, candidate_pairs, min_perm_distance,  # noqa: E402
+from tuplespark.operators.scoring import (all_orders, candidate_pairs,  # noqa: E402
                                           score_pairs, sentence_distances, sentence_scores,
                                           token_distance, tuple_table, whitespace_tokens)
 from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences  # noqa: E402
