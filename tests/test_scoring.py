@@ -8,7 +8,7 @@ from tests.conftest import texts_df
 from tests.reference_loops import greedy as loop_greedy
 from tests.reference_loops import sentence as loop_sentence
 from tuplespark.operators.matching import greedy_match
-from tuplespark.operators.rowscore import score_sentence_row
+from tuplespark.operators.rowscore import score_sentence_row, score_sentence_row_sql
 from tuplespark.plans.evaluate import EvalConfig, evaluate, pair_scores, parse_sentences
 
 U7_GOLD = "ann ,, gave ,, the red book ,, to ### bob smith"
@@ -80,10 +80,12 @@ def test_row_scorer_matches_relational(spark):
     rng = random.Random(11)
     rows = [(i, _random_text(rng, rng.randint(1, 4)), _random_text(rng, rng.randint(0, 4))) for i in range(40)]
     s = parse_sentences(texts_df(spark, rows))
-    got = {r.doc_id: r.x for r in s.select("doc_id", score_sentence_row(F.col("gold"), F.col("pred")).alias("x")).collect()}
+    got = {r.doc_id: (r.x, r.y) for r in s.select("doc_id", score_sentence_row(F.col("gold"), F.col("pred")).alias("x"),
+                                                  F.expr(score_sentence_row_sql("gold", "pred")).alias("y")).collect()}
     for i, g, p in rows:
         want = loop_sentence(g, p)
-        assert abs(got[i].prec_num - want["prec_num"]) < 1e-9 and abs(got[i].rec_num - want["rec_num"]) < 1e-9
+        for v in got[i]:
+            assert abs(v.prec_num - want["prec_num"]) < 1e-9 and abs(v.rec_num - want["rec_num"]) < 1e-9
 
 
 def test_greedy_rounds_equal_fold(spark):

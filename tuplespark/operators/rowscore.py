@@ -94,3 +94,66 @@ def _greedy_sum(cells: Column) -> Column:
                                      F.array_append(acc["cols"], c["c"]).alias("cols"),
                                      (acc["total"] + c["s"]).alias("total"))).otherwise(acc)
     return F.aggregate(F.array_sort(cells), init, step)["total"]
+
+
+def score_sentence_row_sql(gold: str, pred: str, weights: dict | None = None,
+                           gold_truncation: str = "sequential") -> str:
+    """SQL text of ``score_sentence_row`` (built in one client call)."""
+    from tuplespark.functions import sqlexpr as SQL
+
+    w = dict(DEFAULT_WEIGHTS, **(weights or {}))
+    ws, wp, wa, wo = (SQL.dbl(w[k]) for k in ("subj", "pred", "auxi", "obj"))
+    W, OV, let = SQL.words, SQL.overlap, SQL.let
+
+    def wordy(t):
+        obj = W("concat(o_y.prep, ' ', o_y.obj)")
+        return (f"named_struct('s', {W(t + '.subj')}, 'p', {W(t + '.pred')}, "
+                f"'a', transform({t}.auxi, a_y -> {W('a_y')}), 'o', transform({t}.objs, o_y -> {obj}), "
+                f"'n', size({t}.objs))")
+
+    def zip_stats(a, b, n):
+        return (f"zip_with(slice({a}, 1, {n}), slice({b}, 1, {n}), (za, zb) -> "
+                f"named_struct('ov', {OV('za', 'zb')}, 'ng', size(za), 'np', size(zb)))")
+
+    def total(stats, f):
+        return f"aggregate({stats}, 0, (sa, sx) -> sa + sx.{f})"
+
+    def pair(g, p, ncur):
+        num = (f"{ws} * o_v.ovs + {wp} * o_v.ovp + {wa} * {total('z_v.aux', 'ov')} + {wo} * {total('z_v.obj', 'ov')}")
+        den_p = (f"{ws} * size({p}.s) + {wp} * size({p}.p) + {wa} * {total('z_v.aux', 'np')} "
+                 f"+ {wo} * {total('z_v.obj', 'np')}")
+        den_g = (f"{ws} * size({g}.s) + {wp} * size({g}.p) + {wa} * {total('z_v.aux', 'ng')} "
+                 f"+ {wo} * {total('z_v.obj', 'ng')}")
+        inner = (f"named_struct('ok_sp', o_v.ovs * {ws} > 0 AND o_v.ovp * {wp} > 0, "
+                 f"'valid', l_v IS NOT NULL AND NOT exists(z_v.obj, so -> so.ov * {wo} = 0), "
+                 f"'prec', try_divide({num}, {den_p}), 'rec', try_divide({num}, {den_g}))")
+        zips = (f"named_struct('aux', {zip_stats(g + '.a', p + '.a', f'least(size({g}.a), size({p}.a))')}, "
+                f"'obj', {zip_stats(g + '.o', p + '.o', 'coalesce(l_v, 0)')})")
+        length = f"CASE WHEN {p}.n = 0 THEN CASE WHEN {ncur} = 0 THEN 0 END ELSE least({ncur}, {p}.n) END"
+        return let(f"named_struct('ovs', {OV(g + '.s', p + '.s')}, 'ovp', {OV(g + '.p', p + '.p')})", "o_v",
+                   let(length, "l_v", let(zips, "z_v", inner)))
+
+    seq = gold_truncation == "sequential"
+    ncur = "acc_g.ncur" if seq else "g_x.n"
+    step = let(pair("g_x", "pp_g.p", ncur), "r_g",
+               "named_struct('ncur', CASE WHEN r_g.ok_sp AND pp_g.p.n > 0 THEN least(acc_g.ncur, pp_g.p.n) "
+               "ELSE acc_g.ncur END, 'cells', CASE WHEN r_g.ok_sp AND r_g.valid THEN array_append(acc_g.cells, "
+               "named_struct('pi', CAST(pp_g.i AS INT), 'prec', CAST(r_g.prec AS DOUBLE), 'rec', CAST(r_g.rec AS DOUBLE))) "
+               "ELSE acc_g.cells END)")
+    per_gold = (f"aggregate(ps_x, named_struct('ncur', g_x.n, 'cells', "
+                f"CAST(array() AS ARRAY<STRUCT<pi: INT, prec: DOUBLE, rec: DOUBLE>>)), (acc_g, pp_g) -> {step}).cells")
+    greedy = ("aggregate(array_sort(flatten(transform(cs_x, (cs2, gi2) -> transform(cs2, c2 -> "
+              "named_struct('o', -c2.prec, 'r', CAST(gi2 AS INT), 'c', c2.pi, 's', c2.prec))))), "
+              "named_struct('rows', CAST(array() AS ARRAY<INT>), 'cols', CAST(array() AS ARRAY<INT>), "
+              "'total', CAST(0.0 AS DOUBLE)), (acc_h, c_h) -> CASE WHEN NOT array_contains(acc_h.rows, c_h.r) "
+              "AND NOT array_contains(acc_h.cols, c_h.c) THEN named_struct('rows', array_append(acc_h.rows, c_h.r), "
+              "'cols', array_append(acc_h.cols, c_h.c), 'total', acc_h.total + c_h.s) ELSE acc_h END).total")
+    rec = ("aggregate(transform(cs_x, cs1 -> coalesce(array_max(transform(cs1, c1 -> c1.rec)), CAST(0.0 AS DOUBLE))), "
+           "CAST(0.0 AS DOUBLE), (a1, b1) -> a1 + b1)")
+    body = let("transform(x_x.pw, (p_i, i_i) -> named_struct('p', p_i, 'i', i_i))", "ps_x",
+               let(f"transform(x_x.gw, g_x -> {per_gold})", "cs_x",
+                   f"named_struct('rec_num', {rec}, 'prec_num', {greedy})"))
+    r = let(f"named_struct('gw', transform({gold}, t1 -> {wordy('t1')}), 'pw', transform({pred}, t2 -> {wordy('t2')}))",
+            "x_x", body)
+    return (f"named_struct('prec_num', {r}.prec_num, 'prec_den', CAST(size({pred}) AS BIGINT), "
+            f"'rec_num', {r}.rec_num, 'rec_den', CAST(size({gold}) AS BIGINT))")

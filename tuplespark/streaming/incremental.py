@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tuplespark.functions.parse import parse_tuples
 from tuplespark.operators.facts import explode_facts, widen_objects
-from tuplespark.operators.rowscore import score_sentence_row
+from tuplespark.operators.rowscore import score_sentence_row_sql
 
 OUTPUT_SCHEMA = T.StructType([T.StructField("ident", T.StringType()), T.StructField("output", T.StringType())])
 PAIR_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("doc_id", T.LongType()),
@@ -49,8 +49,8 @@ def totals_stream(spark: SparkSession, in_path: str, max_files: int = 1,
     src = spark.readStream.schema(PAIR_SCHEMA).option("maxFilesPerTrigger", max_files).json(in_path)
     g = parse_tuples(src, "gold_str", out="gold")
     both = parse_tuples(g, "pred_str", out="pred")
-    scored = both.select("run_id", score_sentence_row(F.col("gold"), F.col("pred"),
-                                                      gold_truncation=gold_truncation).alias("x"))
+    scored = both.select("run_id", F.expr(score_sentence_row_sql("gold", "pred",
+                                                                 gold_truncation=gold_truncation)).alias("x"))
     return scored.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.sum("x.prec_num").alias("prec_num"),
         F.sum("x.prec_den").alias("prec_den"), F.sum("x.rec_num").alias("rec_num"), F.sum("x.rec_den").alias("rec_den"))
