@@ -37,19 +37,22 @@ def lemmatize(ws: Column, lemma_map: dict[str, str] | None) -> Column:
 
 def with_lemmas(df: DataFrame, words_col: str, lemmas: DataFrame, key: list[str],
                 out: str | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """JON-4 for a dictionary table ``(word, lemma)``: explode the words with
-    their position, left-join the dictionary (broadcast only when its row count
-    is checked to be below ``broadcast_rows``), re-collect in order."""
+    """JON-4 for a dictionary table ``(word, lemma)``: rows are partitioned by
+    ``key`` once, words are exploded with their position and left-joined to
+    the dictionary (broadcast only when its row count is checked to be below
+    ``broadcast_rows``), then re-collected in order without another shuffle of
+    the words."""
     out = out or words_col
     dict_df = lemmas.select("word", "lemma").dropDuplicates(["word"])
     if dict_df.limit(broadcast_rows + 1).count() <= broadcast_rows:
         dict_df = F.broadcast(dict_df)
-    exploded = explode_rows(df, key, words_col, "word", "__pos")
-    joined = exploded.join(dict_df, "word", "left").select(
-        *key, "__pos", F.coalesce("lemma", "word").alias("__lemma"))
-    back = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__pos", "__lemma"))).alias("__l"))
-    back = back.select(*key, F.transform("__l", lambda x: x["__lemma"]).alias(out))
-    return df.drop(out).join(back, key, "left").withColumn(
+    base = df.repartition(*key)
+    exploded = explode_rows(base, key, words_col, "word", "__pos")
+    joined = exploded.join(dict_df, "word", "left")
+    back = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("__pos"), F.coalesce("lemma", "word").alias("__lemma")))).alias("__l"))
+    back = back.select(*key, F.col("__l.__lemma").alias(out))
+    return base.drop(out).join(back, key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<string>")))
 
 
