@@ -393,3 +393,11 @@ def ordered_distance_sql(g: str, po: str) -> str:
 def min_perm_distance_sql(gold_tuple: str, pred_tuple: str) -> str:
     """SCO-5 as SQL text for a (gold tuple, predicted tuple) column pair."""
     return SQL.let(SQL.pred_orders(pred_tuple), "po_m", ordered_distance_sql(SQL.words(SQL.plain(gold_tuple)), "po_m"))
+
+
+def token_distance_sql(a: str, b: str) -> str:
+    """SQL text of ``token_distance`` for two token-array expressions."""
+    alpha = "'" + ALPHABET + "'"
+    return SQL.let(f"array_distinct(concat({a}, {b}))", "vt_d",
+                   f"CASE WHEN size(vt_d) <= {_ALPHABET_SIZE} THEN levenshtein({SQL.code(a, 'vt_d', alpha)}, "
+                   f"{SQL.code(b, 'vt_d', alpha)}) END")

@@ -237,7 +237,7 @@ from tuplespark.operators.metrics import (distance_histogram, macro_metrics, mea
                                           micro_metrics)
 from tuplespark.operators.scoring import (all_orders, candidate_pairs,  # noqa: E402
                                           score_pairs, sentence_distances, sentence_scores,
-                                          token_distance, tuple_table, whitespace_tokens)
+                                          tuple_table)
 from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences  # noqa: E402
 from tuplespark.session import materialize  # noqa: E402
 
@@ -331,9 +331,10 @@ def q_micro(spark, sf_dir):
 @query("token_distance")
 def q_token_distance(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return p.select("doc_id", "gidx", "pidx", token_distance(
-        whitespace_tokens(render_plain(F.col("g_tuple"))),
-        whitespace_tokens(render_plain(F.col("p_tuple")))).cast("bigint").alias("dist"))
+    from tuplespark.functions import sqlexpr as SQL
+    from tuplespark.operators.scoring import token_distance_sql
+    d = token_distance_sql(SQL.words(SQL.plain("g_tuple")), SQL.words(SQL.plain("p_tuple")))
+    return p.select("doc_id", "gidx", "pidx", F.expr(d).cast("bigint").alias("dist"))
 
 
 @query("min_perm_distance")
