@@ -92,24 +92,27 @@ def phrase_starts(docs: DataFrame, phrases: DataFrame, text_col: str = "text", n
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent: int = 5, id_col: str = "doc_id",
-                  text_col: str = "text", broadcast_mb: float = 8) -> DataFrame:
+                  text_col: str = "text", broadcast_mb: float = 8, keep: list[str] | None = None) -> DataFrame:
     """Per row: ``n_words, n_hit, n_items, items_sha256, contaminated`` and
-    ``spans``, the merged hit intervals in words (start, end)."""
+    ``spans``, the merged hit intervals in words (start, end); columns named in
+    ``keep`` come back in the struct ``carried``."""
+    more = [F.struct(*[F.col(c) for c in keep]).alias("carried")] if keep else []
     win = stored(windows(items, window), "windows")
     phrases = win.select("phrase", "words").distinct()
     starts = phrase_starts(docs, phrases, text_col, broadcast_mb=broadcast_mb)
     owners = win.groupBy("phrase").agg(F.collect_set("item_id").alias("items"), F.first(F.size("words")).alias("len"))
     cand = stored(starts.join(owners, "phrase").groupBy("text_key").agg(
         F.collect_set(F.struct("start", "len", "phrase", "items")).alias("cand")), "candidates")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.size(terms("text")).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+    through = ["carried"] if keep else []
+    rows = rows.select(*through, "doc_id", "text", F.xxhash64("text").alias("text_key"), F.size(terms("text")).cast("long").alias("n_words"))
     size = F.expr("16 + aggregate(cand, 0, (s, x) -> s + length(x.phrase) + 24 + 8 * size(x.items))")
     met = rows.join(small(cand, size, broadcast_mb), "text_key", "left")
     true_ones = F.expr(let("w", "t", "filter(cand, c -> c.start + c.len <= size(t) AND array_join(slice(t, c.start + 1, c.len), ' ') = c.phrase)"))
     met = met.withColumn("w", F.when(F.col("cand").isNotNull(), terms("text")))
     met = met.withColumn("true_ones", F.when(F.col("cand").isNotNull(), true_ones))
     out = met.select(
-        "doc_id", "n_words",
+        *through, "doc_id", "n_words",
         F.expr("""aggregate(array_sort(transform(coalesce(true_ones, array()), c -> struct(c.start AS b, c.start + c.len AS e))),
                   CAST(array() AS ARRAY<STRUCT<b: INT, e: INT>>),
                   (a, x) -> CASE WHEN size(a) > 0 AND x.b <= a[greatest(size(a) - 1, 0)].e
@@ -118,12 +121,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
                                  ELSE array_append(a, x) END)""").alias("spans"),
         F.expr("array_distinct(flatten(transform(coalesce(true_ones, array()), c -> c.items)))").alias("ids"))
     return out.select(
-        "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + (s.e - s.b))").alias("n_hit"),
+        *through, "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + (s.e - s.b))").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.expr("array_join(array_sort(transform(ids, x -> CAST(x AS STRING))), ',')"), 256).alias("items_sha256"), "spans"
     ).withColumn("contaminated", F.expr(f"n_hit > 0 AND 100 * n_hit >= {percent} * n_words"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of the rows that are not contaminated."""
+    return contamination(docs, items, keep=keep).where("NOT contaminated").select("carried.*")
+
+
 def proximity(docs: DataFrame, queries: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text",
               broadcast_mb: float = 8) -> DataFrame:
     """``query_id, doc_id, pos``: places of a query's rarest term that have
