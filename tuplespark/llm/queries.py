@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplespark.llm import decontam, lines, minhash, mixing, quality, suffix, toxicity, urls, webpage
+from tuplespark.llm import decontam, lines, minhash, mixing, passages, quality, suffix, toxicity, urls, webpage
 from tuplespark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_decontamination, op4_mixing, op6_suffix_array,
-                            op7_url_filters, op8_line_dedup,
-                            op9_toxicity, op10_html_extraction)}
+    f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_decontamination, op4_mixing, op5_compact_windows,
+                            op6_suffix_array, op7_url_filters, op8_line_dedup, op9_toxicity, op10_html_extraction)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
