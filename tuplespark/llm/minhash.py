@@ -44,7 +44,7 @@ from tuplespark.llm.common import ship_package, stored
 from tuplespark.llm.components import components
 from tuplespark.llm.hashing import U, mix, shingle_hashes, word_hashes
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+SIGNED = "id struct<doc_id: bigint>, n_shingles long, set_key binary, bands array<long>, sig binary"
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def _signer(k: int, bands: int, rows: int):
                 for j in range(rows):
                     band = mix(band * U(0x9FB21C651E98DF25) + grid[:, j])
                 out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band.view(np.int64), (m & np.uint32(255)).astype(np.uint8).tobytes()))
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_shingles": [o[0] for o in out], "set_key": [o[1] for o in out],
+            yield pd.DataFrame({"id": part["id"], "n_shingles": [o[0] for o in out], "set_key": [o[1] for o in out],
                                 "bands": [o[2] for o in out], "sig": [o[3] for o in out]})
     return run
 
@@ -109,8 +109,9 @@ def _verifier(k: int, percent: int, least_equal: int):
 def sign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, bands: int = 28, rows: int = 5) -> DataFrame:
     """Set size, set key, band hashes and signature of every row."""
     ship_package(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        _signer(k, bands, rows), SIGNED)
+    # The id travels in a struct: pandas would turn a column of ids with nulls into floats.
+    src = df.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("id"), F.col(text_col).alias("text"))
+    return src.mapInPandas(_signer(k, bands, rows), SIGNED).select("id.doc_id", "n_shingles", "set_key", "bands", "sig")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
@@ -120,8 +121,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``class_id`` is the least doc_id with the same shingle set; ``n_links``
     counts the verified links found at the class's representative."""
     spark = df.sparkSession
-    signed = stored(sign(df, id_col, text_col, k, bands, rows).withColumn(
-        "doc_id", F.col("doc_id")), "signed")
+    signed = stored(sign(df, id_col, text_col, k, bands, rows), "signed")
     linked = "doc_id IS NOT NULL AND n_shingles > 0"
     classes = stored(signed.where(linked).groupBy("set_key").agg(
         F.min("doc_id").alias("class_id"), F.max_by(F.struct("bands", "sig", "n_shingles"), F.lit(0)).alias("one")), "classes")

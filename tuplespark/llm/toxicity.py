@@ -34,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuplespark.llm.common import ship_package, small, stored
 
@@ -291,8 +292,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row (and ``carried``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # What passes through travels in structs: pandas would turn columns of ids with nulls into floats.
     carried = [F.struct(*[F.col(c) for c in keep]).alias("carried")] if keep else []
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried)
+    src = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("id"), *carried, F.col(text_col).alias("text"))
     names = [c for c in src.columns if c != "text"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,8 +302,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part in parts:
             yield part[names].assign(score=[one(t) for t in part["text"]])
 
-    schema = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in names) + ", score double"
-    out = src.mapInPandas(run, schema)
+    schema = T.StructType([*(src.schema[c] for c in names), T.StructField("score", T.DoubleType())])
+    out = src.mapInPandas(run, schema).select("id.doc_id", *[c for c in names if c != "id"], "score")
     return out.withColumn("held_out", held_out("doc_id")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
 
 

@@ -31,6 +31,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuplespark.llm.common import ship_package
 
@@ -191,10 +192,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     cols = [id_col, *keep]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tuplespark.llm.webpage import main_text
         for part in parts:
-            yield part[cols].assign(text=[main_text(h) for h in part["__html"]])
+            yield part[["page"]].assign(text=[main_text(h) for h in part["html"]])
 
-    src = pages.select(*cols, F.col(html_col).alias("__html"))
-    schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in cols) + ", text string"
-    return src.mapInPandas(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    # The columns travel in a struct: pandas would turn ids with nulls into floats.
+    src = pages.select(F.struct(*cols).alias("page"), F.col(html_col).alias("html"))
+    out = src.mapInPandas(run, T.StructType([src.schema["page"], T.StructField("text", T.StringType())]))
+    return out.select("page.*", "text", F.length("text").cast("long").alias("n_chars"))
