@@ -45,6 +45,8 @@ COVER, PERIOD = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 133
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 PIECE = 1 << 20
+#: Stands for a null id inside the tasks (pandas would turn ids with nulls into floats).
+NO_ID = -(1 << 63)
 
 
 def window_hashes(b: np.ndarray, length: int, which: int = 0) -> np.ndarray:
@@ -102,62 +104,72 @@ def _sample_keys(depth: int, shards: int):
     return keys
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-
-
 def _regions(length: int, depth: int, shards: int):
     """Stretches of text whose suffixes are candidates."""
     def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        shared, out = Shared(found, "<u4"), []
-        for block, doc, key, raw in zip(docs["block"], docs["doc_id"], docs["text_key"], docs["raw"]):
-            n = len(raw) - length + 1
-            if n <= 0 or not shared.by:
-                continue
-            pos, h = _sample(raw, depth)
-            hit = pos[shared.mask(*_split(h, shards))]
-            if not len(hit):
+        out, names = [], ["block", "doc_id", "text_key", "at", "raw"]
+        shared = Shared(found, "<u4")
+        if not len(docs) or not shared.by:
+            return pd.DataFrame(out, columns=names)
+        samples = [_sample(raw, depth) for raw in docs["raw"]]
+        again = shared.mask(*_split(np.concatenate([h for _, h in samples]), shards))
+        parts = np.split(again, np.cumsum([len(h) for _, h in samples])[:-1])
+        for block, doc, key, raw, (pos, _), mask in zip(docs["block"], docs["doc_id"], docs["text_key"], docs["raw"], samples, parts):
+            n, hit = len(raw) - length + 1, pos[mask]
+            if n <= 0 or not len(hit):
                 continue
-            step = np.zeros(len(raw) + 1, np.int32)
-            np.add.at(step, np.maximum(hit - (PERIOD - 1), 0), 1)
-            np.add.at(step, hit + 1, -1)
-            for a, b in _runs(np.cumsum(step)[:n] > 0):
+            # Suffixes up to PERIOD - 1 bytes before a repeated sample string; runs of overlapping reaches.
+            lo, hi = np.maximum(hit - (PERIOD - 1), 0), np.minimum(hit + 1, n)
+            cut = np.flatnonzero(lo[1:] > hi[:-1])
+            for a, b in zip(lo[np.concatenate([[0], cut + 1])].tolist(), hi[np.concatenate([cut, [len(hit) - 1]])].tolist()):
                 for s in range(a, b, PIECE):
                     e = min(s + PIECE, b)
                     out.append((block, doc, key, s, raw[s:e + length - 1]))
-        return pd.DataFrame(out, columns=["block", "doc_id", "text_key", "at", "raw"])
+        return pd.DataFrame(out, columns=names)
     return run
 
 
-def _suffixes(raw: bytes, length: int, bucket: int, buckets: int, shards: int):
-    """Starts, shards and keys of a stretch's suffixes in the bucket."""
-    b = np.frombuffer(raw, np.uint8)
+def _suffixes(raws, length: int, bucket: int, buckets: int, shards: int):
+    """Of the stretches' suffixes in the bucket: stretch, start, shard, key."""
+    raws = list(raws)
+    b = np.frombuffer(b"".join(raws), np.uint8)
+    size = np.array([len(r) for r in raws], np.int64)
+    piece = np.repeat(np.arange(len(raws)), size)[:max(len(b) - length + 1, 0)]
+    at = np.arange(len(piece)) - (np.cumsum(size) - size)[piece]
     second = window_hashes(b, length, 1)
-    own = np.flatnonzero((second % U(buckets)) == U(bucket))
-    return own, ((second[own] >> U(24)) % U(shards)).astype(np.int64), window_hashes(b, length, 0)[own]
+    own = np.flatnonzero((at + length <= size[piece]) & (second % U(buckets) == U(bucket)))
+    return piece[own], at[own], ((second[own] >> U(24)) % U(shards)).astype(np.int64), window_hashes(b, length, 0)[own]
+
+
+def _batches(rows: pd.DataFrame):
+    """Slices of a block's stretches of about PIECE bytes each."""
+    group = (rows["raw"].map(len).cumsum() // PIECE).to_numpy()
+    for _, index in pd.Series(np.arange(len(rows))).groupby(group):
+        yield rows.iloc[index.to_numpy()]
 
 
 def _suffix_keys(length: int, bucket: int, buckets: int, shards: int):
     def keys(rows: pd.DataFrame):
-        parts = [_suffixes(raw, length, bucket, buckets, shards) for raw in rows["raw"]]
-        return np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        parts = [_suffixes(r["raw"], length, bucket, buckets, shards) for r in _batches(rows)]
+        return np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
     return keys
 
 
 def _spans(length: int, bucket: int, buckets: int, shards: int):
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         shared, out = Shared(found, "<u8"), []
-        if shared.by:
-            for doc, key, at, raw in zip(rows["doc_id"], rows["text_key"], rows["at"], rows["raw"]):
-                own, shard, h = _suffixes(raw, length, bucket, buckets, shards)
-                starts = own[shared.mask(shard, h)]
-                if len(starts):
-                    cut = np.flatnonzero(np.diff(starts) > length)
-                    b = starts[np.concatenate([[0], cut + 1])]
-                    e = starts[np.concatenate([cut, [len(starts) - 1]])] + length
-                    out.extend((doc, key, at + x, at + y) for x, y in zip(b.tolist(), e.tolist()))
-        return pd.DataFrame(out, columns=["doc_id", "text_key", "b", "e"])
+        for part in _batches(rows) if shared.by else ():
+            piece, at, shard, h = _suffixes(part["raw"], length, bucket, buckets, shards)
+            hit = shared.mask(shard, h)
+            piece, at = piece[hit], at[hit]
+            if not len(at):
+                continue
+            cut = np.flatnonzero((np.diff(at) > length) | (np.diff(piece) != 0))
+            first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
+            own, base = piece[first], part["at"].to_numpy()
+            out.append(pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[own], "text_key": part["text_key"].to_numpy()[own],
+                                     "b": base[own] + at[first], "e": base[own] + at[last] + length}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "text_key": [], "b": [], "e": []})
     return run
 
 
@@ -181,17 +193,22 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": part["raw"].map(len), "spans": spans, "kept": kept})
 
 
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
+                     F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+
+
 def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_key, spans`` of rows that lose bytes; spans may still
-    overlap across buckets. A row is known by its id and its text's hash."""
+    overlap across buckets. A row is known by its id (``NO_ID`` for null) and
+    its text's hash."""
     if length < PERIOD + 8:
         raise ValueError(f"the cover needs strings of at least {PERIOD + 8} bytes")
     spark = df.sparkSession
     ship_package(spark)
     n, depth = blocks_for(df), length - PERIOD + 1
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
-                     F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_key"))), F.lit(n)).cast("int")
+    docs = _documents(df, id_col, text_col)
+    block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id") == NO_ID, F.col("text_key"))), F.lit(n)).cast("int")
     docs = docs.withColumn("block", block).repartition(n, "block")
     found = shared_keys(docs, _sample_keys(depth, n), "<u4")
     regions = stored(docs.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(
@@ -211,11 +228,10 @@ def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 def suffix_dedup(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, spans, kept`` per row: merged removed byte spans and
     the remaining bytes (which may cut inside a character)."""
-    spans = repeated_spans(df, length, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
-                     F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    met = docs.join(spans, (F.col("text_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "raw", "spans")
-    return met.mapInPandas(_cut, "doc_id long, n_bytes long, spans array<struct<b: bigint, e: bigint>>, kept binary")
+    spans = repeated_spans(df, length, id_col, text_col)
+    met = _documents(df, id_col, text_col).join(spans, ["doc_id", "text_key"], "left").select("doc_id", "raw", "spans")
+    out = met.mapInPandas(_cut, "doc_id long, n_bytes long, spans array<struct<b: bigint, e: bigint>>, kept binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def digest(df: DataFrame) -> DataFrame:
