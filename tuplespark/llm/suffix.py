@@ -12,8 +12,8 @@ somewhere else. The suffixes of the corpus are compared to that depth:
 2. *Suffix buckets.* The remaining suffixes are dealt into buckets, and one
    bucket is sorted at a time over the cluster: its suffixes are packed per
    shard, merged, and those equal to another at depth 200 come back. The number
-   of buckets follows the candidates, so a pass moves about as many bytes as
-   the input has, however repetitive the corpus is.
+   of buckets follows the candidates, so a pass moves at most about twice the
+   input's bytes, however repetitive the corpus is.
 3. Equal suffixes give removed spans, merged per document; the text is cut in
    one join.
 
@@ -214,7 +214,7 @@ def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     regions = stored(docs.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(
         _regions(length, depth, n), "block int, doc_id long, text_key long, at long, raw binary"), "regions")
     suffixes = regions.agg(F.sum(F.length("raw") - (length - 1))).first()[0] or 0
-    buckets = max(1, -(-8 * suffixes // max(int(1e6 * input_mb(spark, df)), 64_000_000)))
+    buckets = max(1, -(-8 * suffixes // max(int(2e6 * input_mb(spark, df)), 64_000_000)))
     spans = None
     for bucket in range(buckets):
         rows = regions.repartition(n, "block")
