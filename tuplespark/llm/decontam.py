@@ -9,7 +9,8 @@ the terms the tests need, answers phrase and proximity queries:
    text_key, pos)`` are stored for these terms only.
 3. The rarest term's postings, moved by the term's offset, give candidate
    starts; the next rarest terms' offset-adjusted postings intersect them.
-4. Candidates meet their texts once and are confirmed word for word.
+4. Candidates meet their texts once (one of each set of copies) and the whole
+   window is confirmed there by its 64-bit hash.
 
 Texts are addressed by a 64-bit hash of the text, so exact copies share their
 postings (a hot group of copies is indexed once) and a chance collision can
@@ -31,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tuplespark.functions.arrays import explode_rows
 from tuplespark.llm.common import ascii_lower, let, small, stored
 
 TERM = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -52,8 +54,8 @@ def windows(items: DataFrame, window: int = 13, id_col: str = "item_id", text_co
 
 def occurrences(docs: DataFrame, wanted: DataFrame, text_col: str = "text", broadcast_mb: float = 8) -> DataFrame:
     """``term, text_key, pos`` of every occurrence of a wanted term."""
-    toks = docs.select(F.xxhash64(text_col).alias("text_key"), terms(text_col).alias("w")).select(
-        "text_key", F.posexplode("w").alias("pos", "term"))
+    # explode_rows: a plain posexplode would run the word pattern a second time to filter empty arrays.
+    toks = explode_rows(docs.select(F.xxhash64(text_col).alias("text_key"), terms(text_col).alias("w")), ["text_key"], "w", "term", "pos")
     return toks.join(small(wanted, F.octet_length("term"), broadcast_mb), "term").select("term", "text_key", "pos")
 
 
@@ -72,7 +74,7 @@ def phrase_starts(docs: DataFrame, phrases: DataFrame, text_col: str = "text", n
                   broadcast_mb: float = 8) -> DataFrame:
     """Candidate ``phrase, text_key, start`` where the anchors agree.
 
-    ``phrases``: distinct ``phrase`` (words joined by a space), ``words``."""
+    ``phrases``: distinct ``phrase`` (any key of it), ``words``."""
     parts = phrases.select("phrase", F.posexplode("words").alias("off", "term"))
     wanted = stored(parts.select("term").distinct(), "terms")
     counts = stored(term_counts(docs, wanted, text_col, broadcast_mb), "counts")
@@ -97,29 +99,35 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, percent:
     ``spans``, the merged hit intervals in words (start, end); columns named in
     ``keep`` come back in the struct ``carried``."""
     more = [F.struct(*[F.col(c) for c in keep]).alias("carried")] if keep else []
-    win = stored(windows(items, window), "windows")
+    win = stored(windows(items, window).withColumn("phrase", F.xxhash64("phrase")), "windows")
     phrases = win.select("phrase", "words").distinct()
     starts = phrase_starts(docs, phrases, text_col, broadcast_mb=broadcast_mb)
     owners = win.groupBy("phrase").agg(F.collect_set("item_id").alias("items"), F.first(F.size("words")).alias("len"))
     cand = stored(starts.join(owners, "phrase").groupBy("text_key").agg(
         F.collect_set(F.struct("start", "len", "phrase", "items")).alias("cand")), "candidates")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
-    through = ["carried"] if keep else []
-    rows = rows.select(*through, "doc_id", "text", F.xxhash64("text").alias("text_key"), F.size(terms("text")).cast("long").alias("n_words"))
-    size = F.expr("16 + aggregate(cand, 0, (s, x) -> s + length(x.phrase) + 24 + 8 * size(x.items))")
-    met = rows.join(small(cand, size, broadcast_mb), "text_key", "left")
-    true_ones = F.expr(let("w", "t", "filter(cand, c -> c.start + c.len <= size(t) AND array_join(slice(t, c.start + 1, c.len), ' ') = c.phrase)"))
-    met = met.withColumn("w", F.when(F.col("cand").isNotNull(), terms("text")))
-    met = met.withColumn("true_ones", F.when(F.col("cand").isNotNull(), true_ones))
-    out = met.select(
-        *through, "doc_id", "n_words",
-        F.expr("""aggregate(array_sort(transform(coalesce(true_ones, array()), c -> struct(c.start AS b, c.start + c.len AS e))),
+    # Only texts with candidates are needed again, one of each set of copies.
+    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = texts.join(small(cand.select("text_key"), F.lit(8), broadcast_mb), "text_key", "left_semi").dropDuplicates(["text_key"])
+    met = texts.join(cand, "text_key").withColumn("w", terms("text"))
+    true_ones = F.expr(let("w", "t", "filter(cand, c -> c.start + c.len <= size(t) AND xxhash64(array_join(slice(t, c.start + 1, c.len), ' ')) = c.phrase)"))
+    met = met.select("text_key", true_ones.alias("true_ones"))
+    hits = met.select(
+        "text_key",
+        F.expr("""aggregate(array_sort(transform(true_ones, c -> struct(c.start AS b, c.start + c.len AS e))),
                   CAST(array() AS ARRAY<STRUCT<b: INT, e: INT>>),
                   (a, x) -> CASE WHEN size(a) > 0 AND x.b <= a[greatest(size(a) - 1, 0)].e
                                  THEN array_append(slice(a, 1, greatest(size(a) - 1, 0)),
                                                    struct(a[greatest(size(a) - 1, 0)].b AS b, greatest(x.e, a[greatest(size(a) - 1, 0)].e) AS e))
                                  ELSE array_append(a, x) END)""").alias("spans"),
-        F.expr("array_distinct(flatten(transform(coalesce(true_ones, array()), c -> c.items)))").alias("ids"))
+        F.expr("array_distinct(flatten(transform(true_ones, c -> c.items)))").alias("ids"))
+    hits = stored(hits.where("size(spans) > 0"), "hits")
+    through = ["carried"] if keep else []
+    rows = docs.select(*more, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"),
+                       F.size(terms(text_col)).cast("long").alias("n_words"))
+    out = rows.join(small(hits, F.expr("8 * size(spans) + 8 * size(ids)"), broadcast_mb), "text_key", "left").select(
+        *through, "doc_id", "n_words",
+        F.expr("coalesce(spans, CAST(array() AS ARRAY<STRUCT<b: INT, e: INT>>))").alias("spans"),
+        F.coalesce("ids", F.array().cast(f"array<{win.schema['item_id'].dataType.simpleString()}>")).alias("ids"))
     return out.select(
         *through, "doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + (s.e - s.b))").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"),

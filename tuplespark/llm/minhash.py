@@ -6,7 +6,7 @@
 2. Rows with equal sets form a class; its least doc_id stands for it. Copies
    never enter the pair search.
 3. Class representatives meet in band buckets. A round picks centres in every
-   bucket that still holds several components (1, 2, 4, .. per bucket) and
+   bucket that still holds several components (1, 4, 16, .. per bucket) and
    tests them against the bucket's members of *other* components only:
    size filter, signature estimate, then exact similarity on the full sets.
    Verified links go through alternating large-star/small-star. A centre has
@@ -162,12 +162,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         side = lambda c: texts.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}"))
         checked = pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_verifier(k, percent, least_equal), "u long, v long")
         fresh = stored(checked.distinct(), "links")
-        found.append(fresh)
-        old = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        labels = components(old.unionByName(fresh))
+        if not fresh.isEmpty():
+            found.append(fresh)
+            old = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
+            labels = components(old.unionByName(fresh))
         members = left.join(centres.select("band", "key", F.col("c_rep").alias("rep")), ["band", "key", "rep"], "left_anti").select(
             "band", "key", "rep", "n_shingles")
-        n_centres *= 2
+        n_centres *= 4
 
     links = reduce(DataFrame.unionByName, found).distinct()
     degree = links.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
