@@ -54,8 +54,13 @@ def small(df: DataFrame, row_bytes: Column, broadcast_mb: float = 8) -> DataFram
 
 
 def input_mb(spark: SparkSession, df: DataFrame) -> float:
-    """The optimizer's size estimate of ``df`` in MB (file sizes; no job)."""
-    return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+    """Size of ``df`` in MB: the optimizer's estimate from file sizes (no job),
+    or, where it has none, the measured bytes of the string columns."""
+    mb = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / 1e6
+    if mb < 1e9:
+        return mb
+    sizes = [F.sum(F.octet_length(F.col(f"`{c}`"))) for c, kind in df.dtypes if kind == "string"]
+    return sum(x or 0 for x in df.agg(*sizes).first()) / 1e6 if sizes else 0.0
 
 
 def blocks_for(df: DataFrame, mb_each: float = 2.0, least: int = 16) -> int:
