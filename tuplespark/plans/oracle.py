@@ -18,7 +18,7 @@ p AS (SELECT doc_id, k, (doc_id + k) % 6 AS v, w[1] AS subj,
         w[3] AS o1,
         CASE WHEN n >= 5 THEN concat(w[4], ' ### ', w[5]) END AS o2,
         CASE WHEN n >= 7 THEN concat(w[6], ' ### ', w[7]) END AS o3
-      FROM k WHERE k <= 5),
+      FROM k),
 r AS (SELECT doc_id, k, v, concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g,
         CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
                WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END, CASE WHEN o3 IS NOT NULL THEN o2 END)

@@ -21,7 +21,7 @@ p AS (SELECT doc_id, k, (doc_id + k) % 6 AS v, w[0] AS subj,
         w[2] AS o1,
         CASE WHEN n >= 5 THEN concat(w[3], ' ### ', w[4]) END AS o2,
         CASE WHEN n >= 7 THEN concat(w[5], ' ### ', w[6]) END AS o3
-      FROM k WHERE k <= 5),
+      FROM k),
 r AS (SELECT doc_id, k, v, concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g,
         CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
                WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END, CASE WHEN o3 IS NOT NULL THEN o2 END)
@@ -59,20 +59,20 @@ def oie_pairs_rows(docs: DataFrame) -> DataFrame:
     """The rule of ``OIE_PAIRS_SQL`` without exploding every line.
 
     A raw line qualifies exactly when it matches ``QUALIFYING``, so one regex
-    scan of the text picks the first five qualifying lines; only those are
+    scan of the text picks the qualifying lines; only those are
     cleaned, split and exploded (code-generated expressions), and the shuffle
-    that reassembles a document moves at most five lines per document.
+    that reassembles a document moves no other lines.
     """
     from pyspark.sql import functions as F
 
     from tuplespark.functions.arrays import explode_rows
 
-    first5 = F.slice(F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0)), 1, 5)
-    # The scan task only finds the lines; the one shuffle (by doc_id, at most
-    # five lines per document) happens here, so formatting runs in parallel
+    every = F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0))
+    # The scan task only finds the lines; the one shuffle (by doc_id, qualifying
+    # lines only) happens here, so formatting runs in parallel
     # and the regrouping by doc_id below needs no second exchange.
-    picked = docs.select("doc_id", first5.alias("first5")).repartition("doc_id")
-    lines = explode_rows(picked, ["doc_id"], "first5", "line", "i")
+    picked = docs.select("doc_id", every.alias("every")).repartition("doc_id")
+    lines = explode_rows(picked, ["doc_id"], "every", "line", "i")
     parts = lines.selectExpr(
         "doc_id", "i + 1 AS k", "split(trim(translate(line, '#,.', '')), ' +', -1) AS w").selectExpr(
         "doc_id", "k", "(doc_id + k) % 6 AS v", "get(w, 0) AS subj",
