@@ -48,6 +48,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 DECORATION = ".,;:!?…'\"“”„«»()[]{}<>*#%&|~^=-–—_/\\¿¡"
 EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 ODD = re.compile(r"[^\W\d_].*[\d\W_]|[\d\W_].*[^\W\d_]|([^\W\d_])\1\1", re.S)
+TRIPLE = re.compile(r"(.)\1\1", re.S)
 SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+][ \t._*-]{1,3}){2,}[\w@$!|+](?!\S)")
 
 # Letter classes of the model: a-z, other letters folded into 24, and the word edge.
@@ -150,26 +151,29 @@ class Restorer:
         if got is None:
             if len(self.known) >= self.remember:
                 self.known.clear()
-            core = EDGE_RUN.sub("", token).strip(DECORATION)
-            if ODD.search(core):
+            core = token.strip(DECORATION)
+            # Among letters alone only a triple is odd, and no run of signs is left at the edges.
+            if not (plain := core.isalpha()):
+                core = EDGE_RUN.sub("", token).strip(DECORATION)
+            if (TRIPLE if plain else ODD).search(core):
                 got = tuple(decode(core, self.logp).split())
             else:
                 got = (core,) if core else ()
             self.known[token] = got
         return got
 
-    def counts(self, text: str | None) -> tuple[Counter, int]:
+    def counts(self, text: str | None) -> tuple[dict[str, int], int]:
         """Restored words of a whole text and its number of tokens."""
         low = (text or "").lower()
         tokens = Counter(low.split())
-        out: Counter = Counter()
+        out: dict[str, int] = {}
         for token, n in tokens.items():
             for w in self.words(token):
-                out[w] += n
+                out[w] = out.get(w, 0) + n
         for m in SPACED.finditer(low):
             for w in decode(m.group(0), self.logp).split():
                 if len(w) > 1:
-                    out[w] += 1
+                    out[w] = out.get(w, 0) + 1
         return out, tokens.total()
 
 
@@ -181,7 +185,7 @@ def forms(word: str) -> list[str]:
 MEASURES = 8
 
 
-def measures(words: Counter, n: int, lexicon: dict[str, float], known: dict[str, float]) -> list[float]:
+def measures(words: dict[str, int], n: int, lexicon: dict[str, float], known: dict[str, float]) -> list[float]:
     """Inputs of the regression from the words' lexicon weights."""
     total = hits = most = 0.0
     for w, k in words.items():
@@ -250,15 +254,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for at in range(0, len(part), 1000):
                 seen: list[Counter] = [Counter(), Counter()]
                 uses: list[Counter] = [Counter(), Counter()]
+                often: list[Counter] = [Counter(), Counter()]
+                known: dict[str, list[str]] = {}
                 for text, y in zip(part["text"][at:at + 1000], part["y"][at:at + 1000]):
                     words, n = restorer.counts(text)
-                    own: Counter = Counter()
+                    own = {""}
                     for w, k in words.items():
-                        for f in forms(w):
-                            own[f] += min(k, 5)
-                    own[""] += n
-                    seen[y > 0].update(own.keys())
-                    uses[y > 0].update(own)
+                        if w not in known:
+                            known[w] = forms(w)
+                        own.update(known[w])
+                        if k > 1:
+                            often[y > 0][w] += min(k, 5) - 1
+                    often[y > 0].update(words.keys())
+                    seen[y > 0].update(own)
+                    uses[y > 0][""] += n
+                # Uses add up over words, so the forms of a word take them once per stretch of rows.
+                for kind in (0, 1):
+                    for w, k in often[kind].items():
+                        for f in known[w]:
+                            uses[kind][f] += k
                 keys = list(seen[0].keys() | seen[1].keys())
                 yield pd.DataFrame({"form": keys, "rows0": [seen[0][k] for k in keys], "rows1": [seen[1][k] for k in keys],
                                     "uses0": [uses[0][k] for k in keys], "uses1": [uses[1][k] for k in keys]})
@@ -283,7 +297,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"y": part["y"], "key": part["key"],
                                 "x": [measures(*restorer.counts(t), words.value, known) for t in part["text"]]})
 
-    picked = train.withColumn("key", F.xxhash64("id", "text")).mapInPandas(rows, "y int, key long, x array<double>")
+    # Only the rows up to the FIT_ROWS-th key are measured.
+    keyed = train.withColumn("key", F.xxhash64("id", "text"))
+    upto = keyed.select("key").orderBy("key").limit(FIT_ROWS).agg(F.max("key")).first()[0]
+    picked = keyed.where(F.col("key") <= F.lit(upto)).mapInPandas(rows, "y int, key long, x array<double>")
     sample = picked.orderBy("key", "y").limit(FIT_ROWS).collect()
     x, y = np.array([r["x"] for r in sample]), np.array([float(r["y"] > 0) for r in sample])
     return Model(logp, lexicon, fit(x, y))
