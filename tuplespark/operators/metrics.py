@@ -35,8 +35,8 @@ def micro_metrics(scores: DataFrame, beta: float = 1.0) -> DataFrame:
 
 
 def distance_histogram(dists: DataFrame, col: str = "levenshtein_dists") -> DataFrame:
-    """AGG-6: count per distance and its share ``"%.2f%%"`` of all matches.
-    The total comes from a one-row aggregate joined on a constant key."""
+    """AGG-6: count per distance and its share ``"%.2f%%"`` of all matches,
+    by distance. The total comes from a one-row aggregate joined on a constant key."""
     # explode_outer + filter: a plain explode makes Catalyst add size(..) > 0
     # below the generator, which would evaluate the distance expression again.
     d = dists.select(F.explode_outer(col).alias("distance")).where(F.col("distance").isNotNull())
@@ -44,7 +44,8 @@ def distance_histogram(dists: DataFrame, col: str = "levenshtein_dists") -> Data
     total = d.agg(F.count(F.lit(1)).alias("__total")).withColumn("__k", F.lit(1))
     return (counts.join(F.broadcast(total), "__k")
                   .select(F.col("distance").cast("bigint").alias("distance"), F.col("n").cast("bigint").alias("n"),
-                          F.format_string("%.2f%%", F.round(100.0 * F.col("n") / F.col("__total"), 10)).alias("share")))
+                          F.format_string("%.2f%%", F.round(100.0 * F.col("n") / F.col("__total"), 10)).alias("share"))
+                  .orderBy("distance"))
 
 
 def mean_distance(dists: DataFrame, col: str = "levenshtein_dists") -> DataFrame:
