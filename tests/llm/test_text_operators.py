@@ -123,3 +123,19 @@ def test_mixing_targets(spark):
     q = [x / sum(p) for x in p]
     assert abs(-sum(x * math.log(x) for x in q) - 2.9) < 1e-3 or alpha in (0.0, 1.0)
     assert {r.doc_id for r in mixing.digest(table(spark, "documents")).collect()} == {i for i, _ in texts(spark)}
+
+
+def test_passages_of_one_class_give_every_pair(spark):
+    base = [f"t{i}" for i in range(120)]
+    rows = [(n, " ".join(base[:n % 60] + [f"n{n}"] + base[n % 60 + 1:])) for n in range(40)]
+    # 100 shares 60 words with both others; 101 and 102 share 20 more on either side of them.
+    hot, more = [f"h{i}" for i in range(60)], [f"m{i}" for i in range(40)]
+    rows += [(100, " ".join([f"x{i}" for i in range(50)] + hot + [f"y{i}" for i in range(50)]))]
+    rows += [(n, " ".join([f"{n}x{i}" for i in range(9)] + more[:20] + hot + more[20:] + [f"{n}y{i}" for i in range(9)])) for n in (101, 102)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = passages.find_passages(df).cache()
+    member = {(p.class_id, i) for r in links.collect() for p in r.passages for i in (r.doc_id, r.partner_id)}
+    assert len({c for c, i in member if i < 40}) == 1 and len({c for c, i in member if i >= 100}) == 1
+    every = {(r.doc_id, r.partner_id): r for r in passages.expand_links(links, df).collect()}
+    assert set(every) == {(i, j) for i in range(40) for j in range(i)} | {(101, 100), (102, 100), (102, 101)}
+    assert [(p.start_word, p.end_word) for p in every[102, 101].passages] == [(9, 109)]
