@@ -139,3 +139,17 @@ def test_passages_of_one_class_give_every_pair(spark):
     every = {(r.doc_id, r.partner_id): r for r in passages.expand_links(links, df).collect()}
     assert set(every) == {(i, j) for i in range(40) for j in range(i)} | {(101, 100), (102, 100), (102, 101)}
     assert [(p.start_word, p.end_word) for p in every[102, 101].passages] == [(9, 109)]
+
+
+def test_changed_passages_are_all_found(spark):
+    rows, want = [], set()
+    for n in range(400):  # one word changed in the middle of 50: 41 of 51 shingles, just above 0.8
+        a = [f"p{n}w{i}" for i in range(50)]
+        b = a[:24] + ["other"] + a[25:]
+        x, y = ({tuple(w[i:i + 5]) for i in range(46)} for w in (a, b))
+        assert len(x & y) / len(x | y) > 0.8
+        for i, w in ((2 * n, a), (2 * n + 1, b)):
+            rows.append((i, " ".join([f"d{i}a{k}" for k in range(n % 40)] + w + [f"d{i}b{k}" for k in range(n % 30)])))
+        want.add((2 * n + 1, 2 * n))
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.partner_id) for r in found} == want
