@@ -153,3 +153,11 @@ def test_changed_passages_are_all_found(spark):
         want.add((2 * n + 1, 2 * n))
     found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.partner_id) for r in found} == want
+
+
+def test_passage_behind_a_partial_repeat_is_found(spark):
+    p = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(p)), (2, " ".join(p[:30] + [f"q{i}" for i in range(20)] + p))]
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.partner_id, [(x.start_word, x.end_word, x.partner_start, x.partner_end) for x in r.passages]) for r in found] == [
+        (2, 1, [(50, 110, 0, 60)])]
