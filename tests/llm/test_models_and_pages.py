@@ -65,3 +65,17 @@ def test_pipeline_stages(spark):
         docs = after
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in mixed.select("doc_id").collect()} == ids
+
+
+def test_html_keeps_all_of_the_content():
+    body = "<p>A long paragraph of the text, with commas, and more than one sentence. It goes on for a while.</p>"
+    text = "A long paragraph of the text, with commas, and more than one sentence. It goes on for a while."
+    page = f"<main><h1>Title</h1><p>Standfirst</p><article>{body * 9}</article><section><p>Short.</p></section></main>"
+    assert webpage.main_text(page) == "\n".join(["Title", "Standfirst", *[text] * 9, "Short."])
+    page = f"<div class='nav'><a href='/'>Home</a></div><h1>Title</h1><p>By me</p><article>{body * 3}</article>"
+    assert webpage.main_text(page) == "\n".join(["Title", "By me", *[text] * 3])
+    page = f"<div>{body * 9}<ul><li>Tea</li><li>Milk</li></ul><div class='side-effects'><p>Few.</p></div>{body}</div>"
+    assert webpage.main_text(page) == "\n".join([*[text] * 9, "Tea", "Milk", "Few.", text])
+    page = f"<body><div><h2>Head</h2><p>{text * 20}</p><ul><li>Tea</li><li>Milk</li></ul></div></body>"
+    assert webpage.main_text(page) == "\n".join(["Head", text * 20, "Tea", "Milk"])
+    assert webpage.main_text(f"<p>Out</p><article>{text * 9}</article>") == text * 9

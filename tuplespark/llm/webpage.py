@@ -5,14 +5,16 @@ classes) from the root. Per path the operator aggregates the number of blocks,
 text length, punctuation and linked characters; a block's path score fuses
 text per block with punctuation per block and is damped by the linked share.
 Scores are smoothed over the blocks in page order and paths whose smoothed
-mean reaches the page's threshold are content. The threshold is a share of the
-length-weighted mean, so it follows the page. The content root is the deepest
-``article``/``main`` element where the page has one, else the common ancestor
-of the content paths' best one; headings directly above content and short
-blocks that share a content path are kept with it.
+mean reaches the page's threshold are high. The threshold is a share of the
+length-weighted mean, so it follows the page. The content root is the common
+ancestor of the blocks on high paths, raised to the outermost ``article`` or
+``main`` around it. Everything in the root is kept, short blocks and
+headings too, and so are the page's last h1 before the root and what stands
+between the two; only paths that are nothing but links go (link lists).
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are cut by tag or by class, id and role.
+scripts, styles and reader comments are cut by tag or role, and containers by
+a whole class name or id.
 White space inside a block becomes one space, blocks are trimmed and joined by
 one newline; character references are decoded.
 
@@ -46,8 +48,10 @@ FURNITURE = re.compile(
     r"^(ad|ads|adv|advert\w*|adbox|adsense|banner|cookie\w*|consent|gdpr|notice|notices|popup|modal|overlay|promo\w*|sponsor\w*|"
     r"sidebar|side|menu|menus|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|reply|"
     r"replies|respond|share|sharing|social|related|recommended|widget|newsletter|subscribe|subscription|login|signup|search|"
-    r"toolbar|pagination|pager|hidden)$")
-HEADINGS = {f"h{i}" for i in range(1, 7)}
+    r"toolbar|pagination|pager|hidden|(site|page|main|top|bottom|left|right|global|primary|secondary)[-_]?(nav|navbar|navigation|"
+    r"menu|header|footer|sidebar|banner)|(cookie|consent|gdpr|newsletter|social|share|sharing|related|ad|comments?)[-_]"
+    r"(banner|bar|box|notice|popup|modal|form|links?|buttons?|posts?|list|section|area|container|slot|wrapper|unit))$")
+CONTAINERS = set("div section ul ol dl table tr td th header footer nav aside figure details fieldset center".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
                "pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -56,7 +60,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
 class _Blocks(HTMLParser):
-    """Collects ``[path, text parts, linked characters, root]`` per block."""
+    """Collects ``[path, text parts, linked characters, elements, tag]`` per
+    block; elements are the ids of the open ones and whether each is marked as
+    main content, from the root down."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -64,7 +70,7 @@ class _Blocks(HTMLParser):
         self.blocks: list[list] = []
         self.open: list | None = None
         self.serial = 0
-        self.roots: list[int] = []
+        self.roots: list[tuple[int, bool]] = []
 
     def _end(self):
         self.open = None
@@ -83,17 +89,17 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         at = dict(attrs)
-        names = re.split(r"[^a-z0-9]+", f"{at.get('class') or ''} {at.get('id') or ''}".lower())
+        names = f"{at.get('class') or ''} {at.get('id') or ''}".lower().split()
         inner = any(t in ("article", "main") for t, _, _ in self.stack)
         cut = (tag in SKIP or tag == "header" and not inner or (at.get("role") or "").lower() in SKIP_ROLE
-               or "hidden" in at or tag not in ("html", "body", "article", "main") and any(map(FURNITURE.match, names)))
+               or "hidden" in at or tag in CONTAINERS and any(map(FURNITURE.match, names)))
         if tag not in INLINE:
             self._end()
         self.serial += 1
         step = tag if not at.get("class") else tag + "." + ".".join(sorted((at["class"] or "").split()))
         main = tag in ("article", "main") or (at.get("role") or "").lower() in ("main", "article")
         self.stack.append((tag, step, cut))
-        self.roots.append(self.serial if main and not cut else (self.roots[-1] if self.roots else 0))
+        self.roots.append((self.serial, main))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -129,7 +135,7 @@ class _Blocks(HTMLParser):
                 return
             path = tuple(step for t, step, _ in self.stack if t not in INLINE)
             tag = next((t for t, _, _ in reversed(self.stack) if t not in INLINE), "")
-            self.open = [path, [], 0, self.roots[-1] if self.roots else 0, tag]
+            self.open = [path, [], 0, tuple(r for r, (t, _, _) in zip(self.roots, self.stack) if t not in INLINE), tag]
             self.blocks.append(self.open)
         self.open[1].append(data)
         if any(t == "a" for t, _, _ in self.stack):
@@ -143,7 +149,7 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 def tag_path_content(blocks: list[tuple], share: float = 0.1) -> list[bool]:
-    """Which blocks are content. ``blocks``: (path, text, linked chars, root, tag)."""
+    """Which blocks are content. ``blocks``: (path, text, linked chars, elements, tag)."""
     if not blocks:
         return []
     stat: dict[tuple, list[float]] = {}
@@ -163,19 +169,21 @@ def tag_path_content(blocks: list[tuple], share: float = 0.1) -> list[bool]:
     fused = {p: (m[0] / m[1] * score[p]) ** 0.5 for p, m in mean.items()}
     total = sum(len(b[1]) for b in blocks)
     threshold = share * sum(fused[b[0]] * len(b[1]) for b in blocks) / max(total, 1)
-    content = [fused[b[0]] >= threshold and fused[b[0]] > 0 for b in blocks]
-    weight: dict[int, float] = {}
-    for b in blocks:
-        if b[3]:
-            weight[b[3]] = weight.get(b[3], 0) + len(b[1])
-    if weight:  # inside the marked element the markup itself says what is content; only link lists go
-        best = max(weight.values())
-        roots = {r for r, w in weight.items() if w >= share * best}
-        content = [b[3] in roots and (score[b[0]] > 0 or c) for b, c in zip(blocks, content)]
-    for i in range(len(blocks) - 2, -1, -1):
-        if blocks[i][4] in HEADINGS and content[i + 1] and blocks[i][3] == blocks[i + 1][3]:
-            content[i] = True
-    return content
+    # A paragraph or the like is no root itself.
+    high = [b[3] if b[4] in CONTAINERS or b[3] and b[3][-1][1] else b[3][:-1]
+            for b in blocks if fused[b[0]] >= threshold and fused[b[0]] > 0]
+    if not high:
+        return [False] * len(blocks)
+    depth = next((k for k, level in enumerate(zip(*high)) if len(set(level)) > 1), min(map(len, high)))
+    root = high[0][:depth]
+    outer = next((k + 1 for k, (_, main) in enumerate(root) if main), depth)
+    root = root[:outer]
+    content = [b[3][:len(root)] == root for b in blocks]
+    start = content.index(True)
+    if not any(b[4] == "h1" for b, c in zip(blocks, content) if c):
+        title = max((i for i in range(start) if blocks[i][4] == "h1"), default=start)
+        content[title:start] = [True] * (start - title)
+    return [c and score[b[0]] > 0 for b, c in zip(blocks, content)]
 
 
 def main_text(html: str | None) -> str:
