@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplespark.llm import decontam, lines, minhash, mixing, passages, quality, suffix, toxicity, urls, webpage
+from tuplespark.llm import (audit, credentials, decontam, lines, minhash, mixing, passages, quality, runs, suffix,
+                            toxicity, urls, webpage)
 from tuplespark.llm.common import table
 
 
@@ -55,9 +56,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webpage.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_decontamination, op4_mixing, op5_compact_windows,
-                            op6_suffix_array, op7_url_filters, op8_line_dedup, op9_toxicity, op10_html_extraction)}
+                            op6_suffix_array, op7_url_filters, op8_line_dedup, op9_toxicity, op10_html_extraction,
+                            op11_periodic_runs, op12_secret_scan, op13_filter_audit)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -152,3 +166,98 @@ j AS (SELECT doc_id, i, line, top IS NULL OR top = doc_id AS stay FROM k LEFT JO
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stay)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stay), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
+
+# CRC-32 of a list of byte values {0}; t is the table of the reflected polynomial, from ``_CRC_TABLE``.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"""
+_CRC = "xor(list_reduce({0}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_BYTES = "list_transform(string_split({0}, ''), lambda x: ord(x)::BIGINT)"
+
+ORACLE["op11_periodic_runs"] = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w0,
+        coalesce({_CRC.format(_BYTES.format("doc_id::VARCHAR"))}, 1) AS h FROM documents, crc),
+g AS (SELECT *, len(w0) AS n, h // 10 AS g, (h // 10) % greatest(len(w0), 1) AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+w AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN w0[a + (i - a) % p + 1] ELSE w0[i + 1] END) ELSE w0 END AS w FROM p),
+x AS (SELECT rid, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM w),
+-- Places where a word recurs q words on, for every q of which four fit into the text; neighbours form islands.
+eq AS (SELECT rid, b.i - a.i AS q, a.i FROM x a JOIN x b USING (rid, x) WHERE b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isl AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM eq)
+        GROUP BY rid, q, k),
+run AS (SELECT rid, s, len, min(q) AS q FROM isl WHERE len >= greatest(6, 4 * q) GROUP BY rid, s, len),
+sums AS (SELECT rid, count(*) AS n_runs, arg_min({{'s': s, 'len': len, 'q': q}}, [-len, s, q]) AS b,
+           string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM run GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT rid, string_agg(x.x, ' ' ORDER BY i) AS txt FROM x ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.q::BIGINT AS period,
+  (1000 * b.len // b.q)::BIGINT AS exponent_milli, sha256(coalesce(sums.txt, '')) AS runs_sha256,
+  sha256(coalesce(kept.txt, '')) AS collapsed_sha256
+FROM w LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
+
+# Letters in either case, A-Z only (the engine's own flag would fold more).
+_ANY_CASE = {w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in
+             ("password", "passwd", "secret", "token", "api", "key")}
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_ASSIGN = ("(?:{password}|{passwd}|{secret}|{token}|{api}_?{key})[\"'']?\\x20*[:=]\\x20*[\"'']?".format(**_ANY_CASE)
+           + "(" + _VALUE + ")")
+_TOKEN = "(?:gh[opusr]|npm)_"
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _matches(kind: str, pattern: str, keep: str) -> str:
+    """Spans of ``pattern`` by the lengths of the pieces between its matches."""
+    return rf"""{kind} AS (SELECT rid, '{kind}' AS kind, s, s + length(m) AS e FROM (
+        SELECT rid, m, v, sum(length(piece)) OVER w + sum(length(m)) OVER w - length(m) AS s FROM (
+          SELECT rid, unnest(range(0, len(ms))) AS k, unnest(ms) AS m, unnest(vs) AS v, unnest(pieces[1:len(ms)]) AS piece FROM (
+            SELECT rid, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {1 if kind == "assign_" else 0}) AS vs,
+              string_split_regex(text, '{pattern}') AS pieces FROM d))
+        WINDOW w AS (PARTITION BY rid ORDER BY k)) WHERE {keep})"""
+
+
+ORACLE["op12_secret_scan"] = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{_matches("assign_", _ASSIGN, "length(v) >= 6")},
+{_matches("access_", "AKIA[A-Z0-9]+", "length(m) >= 20")},
+{_matches("hex_", "[0-9a-f]+", "length(m) >= 24")},
+{_matches("at_", _TOKEN, "true")},
+tok AS (SELECT rid, s, regexp_extract(substr(text, (s + 1)::BIGINT), '^{_TOKEN}[A-Za-z0-9]{{36}}') AS m FROM at_ JOIN d USING (rid)),
+good AS (SELECT rid, CASE WHEN starts_with(m, 'npm') THEN 'npm_' ELSE 'github_' END AS kind, s, s + length(m) AS e FROM tok, crc WHERE m <> ''
+   AND list_reduce(list_transform(string_split(m[-6:], ''), lambda c: (instr('{_BASE62}', c) - 1)::BIGINT), lambda v, c: v * 62 + c)
+     = {_CRC.format(_BYTES.format("m[5:-7]"))}),
+f AS (SELECT rid, rtrim(kind, '_') AS kind, s::BIGINT AS s, e::BIGINT AS e, CASE kind WHEN 'assign_' THEN 0 WHEN 'access_' THEN 1 WHEN 'hex_' THEN 2
+        WHEN 'github_' THEN 3 ELSE 4 END AS rank FROM (FROM assign_ UNION ALL FROM access_ UNION ALL FROM hex_ UNION ALL FROM good)),
+a AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)"""
+
+ORACLE["op13_filter_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, ['A', 'B', 'C', 'D', 'E'] AS letters,
+        [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS bad
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+f AS (SELECT part, good, toxic, list_filter(letters, lambda c, i: bad[i]) AS fails FROM m),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o AS filter_order, step, o[step] AS letter, string_split(o[1:step - 1], '') AS earlier FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, letter,
+        sum(CASE WHEN NOT list_has_any(fails, earlier) AND NOT list_contains(fails, letter) THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN NOT list_has_any(fails, earlier) AND list_contains(fails, letter) THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN list_has_any(fails, earlier) AND list_contains(fails, letter) THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN fails = [letter] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN NOT list_has_any(fails, earlier) AND list_contains(fails, letter) THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN NOT list_has_any(fails, earlier) AND list_contains(fails, letter) THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r"""
