@@ -11,7 +11,7 @@ from tests.reference_loops import sentence as loop_sentence
 from tuplespark.operators.corpus import to_template
 from tuplespark.operators.generate import (first_words_generator, generate, pandas_lemmatizer, pandas_splitter,
                                            pandas_tokenizer, replay)
-from tuplespark.operators.scoring import lemmatize, sentence_distances
+from tuplespark.operators.distance import sentence_distances
 from tuplespark.operators.sentences import split_sentences
 from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences
 from tuplespark.session import scratch_path
@@ -84,11 +84,12 @@ def test_plugin_splitter(spark):
 def test_lemmas_change_matching(spark):
     rows = [(1, "dogs ,, runs ,, home", "dog ,, run ,, home")]
     plain = evaluate(texts_df(spark, rows)).first()
-    lem = evaluate(texts_df(spark, rows), cfg=EvalConfig(lemma_map={"dogs": "dog", "runs": "run"})).first()
-    assert plain.prec == 0.0 and lem.prec == 1.0
+    table = spark.createDataFrame([("dogs", "dog"), ("runs", "run"), ("dog", None), (None, "x"), ("dogs", "dog")], "word string, lemma string")
+    lem = evaluate(texts_df(spark, rows), cfg=EvalConfig(lemmas=table)).first()
+    plug = evaluate(texts_df(spark, rows), cfg=EvalConfig(lemmatizer=pandas_lemmatizer(lambda w: w.rstrip("s")))).first()
+    assert plain.prec == 0.0 and lem.prec == 1.0 and plug.prec == 1.0
     df = spark.createDataFrame([(["dogs", "cat"],)], "w array<string>")
     assert list(df.select(pandas_lemmatizer(lambda w: w.rstrip("s"))(F.col("w")).alias("x")).first().x) == ["dog", "cat"]
-    assert list(df.select(lemmatize(F.col("w"), {"dogs": "dog"}).alias("x")).first().x) == ["dog", "cat"]
 
 
 def test_stand_in_generator_reply(spark):

@@ -31,24 +31,6 @@ def _after_first_dot(s: Column) -> Column:
     return F.array_join(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), ".")
 
 
-def _gen_object(o: Column) -> Column:
-    pieces = F.split(o, K.INNER_SPLIT, -1)
-    n = F.size(pieces)
-    return F.when(n == 1, F.struct(F.lit("").alias("prep"), strip_spaces(o).alias("obj"))).otherwise(
-        F.struct(strip_spaces(F.get(pieces, n - 2)).alias("prep"),
-                 strip_spaces(F.get(pieces, n - 1)).alias("obj")))
-
-
-def _gen_tuple(parts: Column) -> Column:
-    pred_pieces = F.transform(F.split(F.get(parts, 1), K.INNER_SPLIT, -1), strip_spaces)
-    return F.struct(
-        strip_spaces(F.get(parts, 0)).alias("subj"),
-        _last(pred_pieces).alias("pred"),
-        _but_last(pred_pieces).alias("auxi"),
-        F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), _gen_object).alias("objs"),
-    )
-
-
 def parse_tuples(df: DataFrame, col: str, out: str = "triples") -> DataFrame:
     """PAR-1: generated text -> ``array<struct<subj,pred,auxi,objs>>``.
 
@@ -66,15 +48,6 @@ def parse_tuples(df: DataFrame, col: str, out: str = "triples") -> DataFrame:
     return df.withColumn(out, F.expr(parse_expr("`" + col.replace("`", "``") + "`")))
 
 
-def parse_tuples_col(text: Column) -> Column:
-    """PAR-1 as a single column expression (for use inside other projections)."""
-    lines = F.array_distinct(F.filter(F.split(F.lower(text), "\n", -1), lambda s: strip_spaces(s) != ""))
-    body = F.filter(F.transform(lines, lambda s, i: F.when(i == 0, s).when(
-        F.get(F.split(s, "[.]", -1), 0).rlike(DIGITS), _after_first_dot(s))), lambda b: b.isNotNull())
-    parts = F.filter(F.transform(body, lambda b: F.split(b, K.PART_SPLIT, -1)), lambda p: F.size(p) >= 2)
-    return F.transform(parts, _gen_tuple)
-
-
 # --- annotation replies (PAR-2) --------------------------------------------
 
 def _anno_object(o: Column) -> Column:

@@ -2,8 +2,6 @@
 
 Higher-order functions written with Python lambdas cost thousands of client
 calls to build; the same expressions as SQL text are parsed once in the JVM.
-These are the default paths (whitespace tokens, identity lemmas); plug-in
-tokenizers and lemma maps use the Column builders in ``operators.scoring``.
 Lambda variable names are unique per nesting level.
 """
 
@@ -41,19 +39,6 @@ def all_orders(n: str) -> str:
             f"ELSE array(CAST(array() AS ARRAY<INT>)) END")
 
 
-def pred_orders(t: str) -> str:
-    """struct(flat tokens, tokens of every order of the objects)."""
-    return (f"named_struct('flat', {words(plain(t))}, 'orders', transform({all_orders(f'size({t}.objs)')}, "
-            f"pm_r -> {words(plain(t, f'transform(pm_r, k_r -> get({t}.objs, k_r))'))}))")
-
-
-ALPHABET_SIZE = 4000
-
-
-def code(tokens: str, vocab: str, alphabet_lit: str) -> str:
-    return f"array_join(transform({tokens}, t_c -> substring({alphabet_lit}, CAST(array_position({vocab}, t_c) AS INT), 1)), '')"
-
-
 def let(value: str, var: str, body: str) -> str:
     """Evaluate ``value`` once as ``var`` inside ``body``."""
     return f"get(transform(array({value}), {var} -> {body}), 0)"

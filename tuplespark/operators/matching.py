@@ -1,106 +1,109 @@
-"""Greedy one-to-one assignment (JON-7).
+"""Greedy one-to-one assignment (JON-7) and folds over groups of any size.
 
 Semantics (G1-G4): repeatedly take the best remaining cell whose row and
 column are both free; ties go to the lowest row, then the lowest column. This
 equals one pass over the cells sorted by (score, row, col) that accepts a cell
 when its row and column are free.
 
-Two exact execution paths:
-
-* groups with at most ``fold_cells`` cells: the sorted cells of the group are
-  folded in one row with ``aggregate`` (no Python, one shuffle by key);
-* larger groups: rounds of *locally dominant* cells. A cell that is the first
-  (in the sort order) of all remaining cells of its row and of its column is in
-  the greedy matching; accept all of them, drop every cell touching a matched
-  row or column, repeat. Each round is a distributed aggregation over
-  ``(key, row)`` and ``(key, col)``, so a hot group is spread over many tasks.
-  Once a group has at most ``fold_cells`` cells left it joins the fold path
-  (greedy on the remaining cells continues the same matching). Rounds are cut
-  from the lineage with reliable checkpoints.
+``banded_fold`` runs such a pass: a group's items, in their order, are cut
+into bands of at most ``fold_cells`` items; one band of every group is folded
+in a row (``aggregate``), and the state goes on to the next band through a
+written table. A group with few items is one band. The number of rounds is
+that of bands in the largest group, whatever the items hold.
+
+Large groups first go through rounds of *locally dominant* cells: a cell that
+is first of all remaining cells of its row and of its column belongs to the
+matching, so all of them are accepted at once, spread over ``(key, row)`` and
+``(key, col)``. As soon as a round takes away less than half of the cells (a
+long chain of dependent cells), the rest is folded in bands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tuplespark.functions.arrays import explode_rows
-
-from tuplespark.session import checkpoint_dir
-
 
-def _order(score: str, higher: bool):
-    return F.struct((-F.col(score) if higher else F.col(score)).alias("o"),
-                    F.col("__row").alias("r"), F.col("__col").alias("c"))
-
-
-def _fold(cells: DataFrame, key: list[str], score: str, higher: bool) -> DataFrame:
-    """Per group: sort the cells by (score, row, col) and keep a cell when its
-    row and column are still free (one ``aggregate`` over the sorted array)."""
-    sc = f"CAST(`{score}` AS DOUBLE)"
-    order = f"-{sc}" if higher else sc
-    grouped = cells.groupBy(*key).agg(F.expr(
-        f"array_sort(collect_list(named_struct('o', {order}, 'r', __row, 'c', __col, 's', {sc})))").alias("__cells"))
-    fold = ("aggregate(__cells, named_struct('rows', CAST(array() AS ARRAY<BIGINT>), 'cols', CAST(array() AS ARRAY<BIGINT>), "
-            "'picked', CAST(array() AS ARRAY<STRUCT<r: BIGINT, c: BIGINT, s: DOUBLE>>)), (acc, x) -> "
-            "CASE WHEN NOT array_contains(acc.rows, x.r) AND NOT array_contains(acc.cols, x.c) "
-            "THEN named_struct('rows', array_append(acc.rows, x.r), 'cols', array_append(acc.cols, x.c), "
-            "'picked', array_append(acc.picked, named_struct('r', x.r, 'c', x.c, 's', x.s))) ELSE acc END).picked")
-    picked = explode_rows(grouped, key, F.expr(fold), "m")
-    return picked.select(*key, F.col("m.r").alias("__row"), F.col("m.c").alias("__col"), F.col("m.s").alias(score))
+from tuplespark.functions.arrays import explode_rows
+from tuplespark.operators.indexing import with_index
+from tuplespark.session import materialize
+
+FOLD_CELLS = 20000
+
+
+def _fold(items: DataFrame, key: list[str], fields: list[str], step: str, start: DataFrame) -> DataFrame:
+    """One ``aggregate`` per group over its items sorted by ``fields``."""
+    listed = items.groupBy(*key).agg(F.expr(f"array_sort(collect_list(struct({', '.join(fields)})))").alias("__items"))
+    return listed.join(start, key).select(*key, F.expr(f"aggregate(__items, state, (acc, x) -> {step})").alias("state"))
+
+
+def banded_fold(items: DataFrame, key: list[str], fields: list[str], step: str, start: DataFrame,
+                fold_cells: int = FOLD_CELLS) -> DataFrame:
+    """``(key.., state)`` after folding each group's items in the order of
+    ``fields``: ``step`` is SQL text over ``acc`` (the state so far) and ``x``
+    (an item). ``start`` holds ``(key.., state)`` for every group. No row ever
+    holds more than ``fold_cells`` items. ``items`` should be a written table."""
+    sizes = items.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    large = materialize(sizes.where(F.col("__n") > fold_cells))
+    if large.isEmpty():
+        return _fold(items, key, fields, step, start)
+    small = _fold(items.join(large, key, "left_anti"), key, fields, step, start)
+    ranked = with_index(items.join(large, key, "left_semi").select(*key, *fields), key + fields, out="__rank")
+    lowest = ranked.groupBy(*key).agg(F.min("__rank").alias("__first"))
+    bands = materialize(ranked.join(lowest, key).withColumn("__band", F.floor((F.col("__rank") - F.col("__first")) / fold_cells))
+                        .select(*key, *fields, "__band"), partition_by=["__band"])
+    state = materialize(start.join(large, key).withColumn("__bands", F.ceil(F.col("__n") / fold_cells)).select(*key, "state", "__bands"))
+    rounds = state.agg(F.max("__bands")).first()[0]
+    done = [small]
+    for band in range(rounds):
+        folded = _fold(bands.where(F.col("__band") == band), key, fields, step, state.drop("__bands"))
+        after = materialize(folded.join(state.drop("state"), key))
+        done.append(after.where(F.col("__bands") == band + 1).select(*key, "state"))
+        state = after.where(F.col("__bands") > band + 1)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _dominant(cells: DataFrame, key: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """Accepted cells of the rounds that at least halve what is left, and the rest."""
+    accepted, left, n = [], cells, cells.count()
+    while n:
+        first = F.min(F.struct("__o", "__row", "__col")).alias("__best")
+        by_row = left.groupBy(*key, "__row").agg(first).select(*key, "__best")
+        by_col = left.groupBy(*key, "__col").agg(first).select(*key, "__best")
+        taken = materialize(by_row.join(by_col, key + ["__best"]).select(*key, "__best.*"))
+        accepted.append(taken)
+        left = materialize(left.join(taken.select(*key, "__row"), key + ["__row"], "left_anti")
+                           .join(taken.select(*key, "__col"), key + ["__col"], "left_anti"))
+        before, n = n, left.count()
+        if 2 * n > before:
+            break
+    return accepted, left
 
 
 def greedy_match(cells: DataFrame, key: list[str] | str, row: str, col: str, score: str,
-                 higher: bool = True, fold_cells: int = 20000, max_rounds: int = 64) -> DataFrame:
+                 higher: bool = True, fold_cells: int = FOLD_CELLS) -> DataFrame:
     """Accepted cells ``(key.., row, col, score)`` of the greedy assignment.
 
     ``cells`` holds one row per non-NULL cell; ``(key, row, col)`` is unique.
     """
     key = [key] if isinstance(key, str) else list(key)
-    base = cells.select(*key, F.col(row).cast("bigint").alias("__row"), F.col(col).cast("bigint").alias("__col"),
-                        F.col(score).cast("double").alias(score))
-    sizes = base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    small = base.join(sizes.where(F.col("__n") <= fold_cells).select(*key), key, "left_semi")
-    large = base.join(sizes.where(F.col("__n") > fold_cells).select(*key), key, "left_semi")
-    results = [_fold(small, key, score, higher)]
-
-    if not large.take(1):
-        return _rename(results[0], row, col)
-    checkpoint_dir(large.sparkSession)
-    remaining = large.checkpoint()
-    for _ in range(max_rounds):
-        if not remaining.take(1):
-            break
-        o = _order(score, higher)
-        ranked = remaining.withColumn("__o", o)
-        best_row = ranked.groupBy(*key, "__row").agg(F.min("__o").alias("__o"))
-        best_col = ranked.groupBy(*key, "__col").agg(F.min("__o").alias("__o"))
-        dominant = (best_row.join(best_col, key + ["__o"])
-                            .select(*key, F.col("__o.r").alias("__row"), F.col("__o.c").alias("__col")))
-        dominant = dominant.join(remaining, key + ["__row", "__col"]).checkpoint()
-        results.append(dominant)
-        left = (remaining.join(dominant.select(*key, "__row"), key + ["__row"], "left_anti")
-                         .join(dominant.select(*key, "__col"), key + ["__col"], "left_anti"))
-        n_left = left.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-        done = left.join(n_left.where(F.col("__n") <= fold_cells).select(*key), key, "left_semi")
-        results.append(_fold(done, key, score, higher).checkpoint())
-        remaining = left.join(n_left.where(F.col("__n") > fold_cells).select(*key), key, "left_semi").checkpoint()
-    else:
-        # Exact finish for whatever is still left after max_rounds.
-        results.append(_fold(remaining, key, score, higher))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r.select(*key, "__row", "__col", score))
-    return _rename(out, row, col)
-
-
-def _rename(df: DataFrame, row: str, col: str) -> DataFrame:
-    return df.withColumnRenamed("__row", row).withColumnRenamed("__col", col)
-
-
-def greedy_total(matched: DataFrame, key: list[str] | str, score: str, out: str = "total") -> DataFrame:
-    """Sum of accepted scores per group."""
-    key = [key] if isinstance(key, str) else list(key)
-    return matched.groupBy(*key).agg(F.sum(score).alias(out), F.count(F.lit(1)).alias("n_matches"))
-
-
-__all__ = ["greedy_match", "greedy_total", "Window"]
+    sign = -1.0 if higher else 1.0
+    base = cells.select(*key, (F.col(score).cast("double") * sign).alias("__o"), F.col(row).cast("bigint").alias("__row"),
+                        F.col(col).cast("bigint").alias("__col"))
+    step = ("CASE WHEN array_contains(acc.rows, x.__row) OR array_contains(acc.cols, x.__col) THEN acc ELSE "
+            "named_struct('rows', array_append(acc.rows, x.__row), 'cols', array_append(acc.cols, x.__col), "
+            "'picked', array_append(acc.picked, x)) END")
+    none = F.expr("named_struct('rows', CAST(array() AS ARRAY<BIGINT>), 'cols', CAST(array() AS ARRAY<BIGINT>), "
+                  "'picked', CAST(array() AS ARRAY<STRUCT<__o: DOUBLE, __row: BIGINT, __col: BIGINT>>)) AS state")
+    large = materialize(base.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > fold_cells))
+    accepted: list[DataFrame] = []
+    if not large.isEmpty():
+        accepted, left = _dominant(materialize(base.join(large, key, "left_semi")), key)
+        base = base.join(large, key, "left_anti").unionByName(left)
+    folded = banded_fold(base, key, ["__o", "__row", "__col"], step, base.select(*key).distinct().select(*key, none), fold_cells)
+    out = explode_rows(folded, key, "state.picked", "m").select(*key, "m.*")
+    for a in accepted:
+        out = out.unionByName(a)
+    return out.select(*key, F.col("__row").alias(row), F.col("__col").alias(col), (F.col("__o") * sign).alias(score))

@@ -10,97 +10,13 @@ or window, so it also runs inside Structured Streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tuplespark.functions.text import overlap, words
-from tuplespark.operators.scoring import DEFAULT_WEIGHTS, let
-
-
-def _wordy(t: Column) -> Column:
-    return F.struct(words(t["subj"]).alias("s"), words(t["pred"]).alias("p"),
-                    F.transform(t["auxi"], words).alias("a"),
-                    F.transform(t["objs"], lambda o: words(F.concat(o["prep"], F.lit(" "), o["obj"]))).alias("o"),
-                    F.size(t["objs"]).alias("n"))
-
-
-def _zip(a: Column, b: Column, n: Column) -> Column:
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(
-        overlap(x, y).alias("ov"), F.size(x).alias("ng"), F.size(y).alias("np")))
-
-
-def _total(stats: Column, f: str) -> Column:
-    return F.aggregate(stats, F.lit(0), lambda acc, s: acc + s[f])
-
-
-def score_sentence_row(gold: Column, pred: Column, weights: dict | None = None,
-                       gold_truncation: str = "sequential") -> Column:
-    """``struct(prec_num, prec_den, rec_num, rec_den)`` of one sentence."""
-    w = dict(DEFAULT_WEIGHTS, **(weights or {}))
-    ws, wp, wa, wo = (F.lit(float(w[k])) for k in ("subj", "pred", "auxi", "obj"))
-    seq = gold_truncation == "sequential"
-
-    def pair(g, p, ncur):
-        """struct(ok_sp, valid, prec, rec) for gold g, prediction p, current cut."""
-        return let(F.struct(overlap(g["s"], p["s"]).alias("ovs"), overlap(g["p"], p["p"]).alias("ovp")), lambda o: let(
-            F.when(p["n"] == 0, F.when(ncur == 0, F.lit(0))).otherwise(F.least(ncur, p["n"])),
-            lambda L: let(F.struct(_zip(g["a"], p["a"], F.least(F.size(g["a"]), F.size(p["a"]))).alias("aux"),
-                                   _zip(g["o"], p["o"], F.coalesce(L, F.lit(0))).alias("obj")), lambda z: F.struct(
-                ((o["ovs"] * ws > 0) & (o["ovp"] * wp > 0)).alias("ok_sp"),
-                (L.isNotNull() & ~F.exists(z["obj"], lambda s: s["ov"] * wo == 0)).alias("valid"),
-                F.try_divide(ws * o["ovs"] + wp * o["ovp"] + wa * _total(z["aux"], "ov") + wo * _total(z["obj"], "ov"),
-                             ws * F.size(p["s"]) + wp * F.size(p["p"]) + wa * _total(z["aux"], "np")
-                             + wo * _total(z["obj"], "np")).alias("prec"),
-                F.try_divide(ws * o["ovs"] + wp * o["ovp"] + wa * _total(z["aux"], "ov") + wo * _total(z["obj"], "ov"),
-                             ws * F.size(g["s"]) + wp * F.size(g["p"]) + wa * _total(z["aux"], "ng")
-                             + wo * _total(z["obj"], "ng")).alias("rec")))))
-
-    cell_t = "array<struct<pi:int,prec:double,rec:double>>"
-
-    def per_gold(g, preds):
-        init = F.struct(g["n"].alias("ncur"), F.array().cast(cell_t).alias("cells"))
-
-        def step(acc, pp):
-            p, pi = pp["p"], pp["i"]
-            ncur = acc["ncur"] if seq else g["n"]
-            return let(pair(g, p, ncur), lambda r: F.struct(
-                F.when(r["ok_sp"] & (p["n"] > 0), F.least(acc["ncur"], p["n"])).otherwise(acc["ncur"]).alias("ncur"),
-                F.when(r["ok_sp"] & r["valid"], F.array_append(acc["cells"], F.struct(
-                    pi.cast("int").alias("pi"), r["prec"].cast("double").alias("prec"),
-                    r["rec"].cast("double").alias("rec")))).otherwise(acc["cells"]).alias("cells")))
-        return F.aggregate(preds, init, step)["cells"]
-
-    def body(x):
-        preds = F.transform(x["pw"], lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-        per = F.transform(x["gw"], lambda g: per_gold(g, preds))
-        return let(per, lambda cells: F.struct(
-            F.aggregate(F.transform(cells, lambda cs: F.coalesce(F.array_max(F.transform(cs, lambda c: c["rec"])), F.lit(0.0))),
-                        F.lit(0.0), lambda a, b: a + b).alias("rec_num"),
-            _greedy_sum(F.flatten(F.transform(cells, lambda cs, gi: F.transform(cs, lambda c: F.struct(
-                (-c["prec"]).alias("o"), gi.cast("int").alias("r"), c["pi"].alias("c"), c["prec"].alias("s")))))).alias("prec_num")))
-
-    r = let(F.struct(F.transform(gold, _wordy).alias("gw"), F.transform(pred, _wordy).alias("pw")), body)
-    return F.struct(r["prec_num"].alias("prec_num"), F.size(pred).cast("bigint").alias("prec_den"),
-                    r["rec_num"].alias("rec_num"), F.size(gold).cast("bigint").alias("rec_den"))
-
-
-def _greedy_sum(cells: Column) -> Column:
-    init = F.struct(F.array().cast("array<int>").alias("rows"), F.array().cast("array<int>").alias("cols"),
-                    F.lit(0.0).alias("total"))
-
-    def step(acc, c):
-        free = ~F.array_contains(acc["rows"], c["r"]) & ~F.array_contains(acc["cols"], c["c"])
-        return F.when(free, F.struct(F.array_append(acc["rows"], c["r"]).alias("rows"),
-                                     F.array_append(acc["cols"], c["c"]).alias("cols"),
-                                     (acc["total"] + c["s"]).alias("total"))).otherwise(acc)
-    return F.aggregate(F.array_sort(cells), init, step)["total"]
+from tuplespark.functions import sqlexpr as SQL
+from tuplespark.operators.scoring import DEFAULT_WEIGHTS
 
 
 def score_sentence_row_sql(gold: str, pred: str, weights: dict | None = None,
                            gold_truncation: str = "sequential") -> str:
-    """SQL text of ``score_sentence_row`` (built in one client call)."""
-    from tuplespark.functions import sqlexpr as SQL
-
+    """SQL text: ``struct(prec_num, prec_den, rec_num, rec_den)`` of one sentence."""
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
     ws, wp, wa, wo = (SQL.dbl(w[k]) for k in ("subj", "pred", "auxi", "obj"))
     W, OV, let = SQL.words, SQL.overlap, SQL.let

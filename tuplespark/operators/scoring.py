@@ -1,111 +1,101 @@
-"""Tuple scoring: candidate pairs, pair precision/recall, sentence scores,
-token edit distances (JON-1, JON-6, JON-8, SCO-1..7, AGG-2, AGG-3).
+"""Tuple scoring: candidate pairs, pair precision/recall, sentence scores
+(JON-1, JON-4, JON-6, SCO-1..3, SCO-7, AGG-2, AGG-3).
 
 Pair scores (M1-M7): a pair is a match only when subject and predicate share a
 (lemmatized) word, so candidates are found with an *exact* blocking join on
-``(key, subject word, predicate word)``; pairs outside it are NULL by
-definition and never materialised. Gold objects shortened by earlier
-predictions (M5, ``sequential``) is a running minimum over a window
-partitioned by ``(key, gold)``.
+``(key, subject word, predicate word)`` that moves ids only; pairs outside it
+are NULL by definition and never materialised. Gold objects shortened by
+earlier predictions (M5, ``sequential``) is a running minimum over a window
+partitioned by ``(key, gold)``, also on ids. The tuples' words join last.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tuplespark import constants as K
 from tuplespark.functions import sqlexpr as SQL
 from tuplespark.functions.arrays import explode_rows
-from tuplespark.functions.text import overlap, render_plain, words
-from tuplespark.operators.matching import greedy_match
+from tuplespark.operators.matching import FOLD_CELLS, greedy_match
 
 DEFAULT_WEIGHTS = {"subj": 1.0, "pred": 1.0, "auxi": 1.0, "obj": 1.0}
 
 
-def lemmatize(ws: Column, lemma_map: dict[str, str] | None) -> Column:
-    """Word -> lemma by a literal map (JON-4 for a bounded dictionary); identity
-    when no map is given. Large dictionaries go through ``with_lemmas``."""
-    if not lemma_map:
-        return ws
-    m = F.create_map(*[F.lit(x) for kv in sorted(lemma_map.items()) for x in kv])
-    return F.transform(ws, lambda w: F.coalesce(F.element_at(m, w), w))
+def lemma_table(words: DataFrame, column: str, lemmatizer: Callable[[Column], Column]) -> DataFrame:
+    """UDF-3: dictionary ``(word, lemma)`` of the distinct words of ``column``
+    (an array of words), from a plug-in ``array<string> -> array<string>``
+    (``operators.generate.pandas_lemmatizer``); each word is looked up once."""
+    distinct = explode_rows(words, [], F.array_distinct(column), "word").distinct()
+    return distinct.select("word", lemmatizer(F.array("word"))[0].alias("lemma")).where("lemma IS NOT NULL")
 
 
-def with_lemmas(df: DataFrame, words_col: str, lemmas: DataFrame, key: list[str],
-                out: str | None = None, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """JON-4 for a dictionary table ``(word, lemma)``: rows are partitioned by
-    ``key`` once, words are exploded with their position and left-joined to
-    the dictionary (broadcast only when its row count is checked to be below
-    ``broadcast_rows``), then re-collected in order without another shuffle of
-    the words."""
-    out = out or words_col
-    dict_df = lemmas.select("word", "lemma").dropDuplicates(["word"])
-    if dict_df.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        dict_df = F.broadcast(dict_df)
-    base = df.repartition(*key)
-    exploded = explode_rows(base, key, words_col, "word", "__pos")
-    joined = exploded.join(dict_df, "word", "left")
-    back = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("__pos"), F.coalesce("lemma", "word").alias("__lemma")))).alias("__l"))
-    back = back.select(*key, F.col("__l.__lemma").alias(out))
-    return base.drop(out).join(back, key, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+def with_lemmas(df: DataFrame, columns: dict[str, int], lemmas: DataFrame, key: list[str]) -> DataFrame:
+    """JON-4: words replaced by their lemmas from a table ``(word, lemma)``;
+    words without an entry stay. ``columns`` names word arrays and their depth
+    (1: array of words, 2: array of arrays).
+
+    The distinct words of each row meet the dictionary in a shuffle join that
+    AQE broadcasts or splits by measured bytes; a row gets back only its own
+    words' entries. ``key`` identifies a row."""
+    table = lemmas.where("word IS NOT NULL AND lemma IS NOT NULL").groupBy("word").agg(F.min("lemma").alias("lemma"))
+    flat = F.array_distinct(F.concat(*[F.flatten(c) if depth == 2 else F.col(c) for c, depth in columns.items()]))
+    found = explode_rows(df, key, flat, "word").join(table.where("word <> lemma"), "word")
+    maps = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("__lemmas"))
+    joined = df.join(maps, key, "left")
+    one = "transform({0}, w_l -> coalesce(element_at(__lemmas, w_l), w_l))"
+    for c, depth in columns.items():
+        body = one.format(f"`{c}`") if depth == 1 else f"transform(`{c}`, a_l -> {one.format('a_l')})"
+        joined = joined.withColumn(c, F.expr(f"IF(__lemmas IS NULL, `{c}`, {body})"))
+    return joined.drop("__lemmas")
 
 
 def tuple_table(df: DataFrame, key: str, triples: str, idx: str, prefix: str,
-                lemma_map: dict[str, str] | None = None) -> DataFrame:
+                lemmas: DataFrame | None = None) -> DataFrame:
     """One row per tuple: ``key, idx`` and word arrays of each part."""
-    rows = explode_rows(df, [key], triples, "__t", idx)
-    if not lemma_map:
-        w = SQL.words
-        obj_words = w("concat(o_t.prep, ' ', o_t.obj)")
-        return rows.selectExpr(
-            key, f"CAST({idx} AS BIGINT) AS {idx}", f"{w('__t.subj')} AS {prefix}subj_w",
-            f"{w('__t.pred')} AS {prefix}pred_w", f"transform(__t.auxi, a_t -> {w('a_t')}) AS {prefix}aux_w",
-            f"transform(__t.objs, o_t -> {obj_words}) AS {prefix}obj_w",
-            f"size(__t.objs) AS {prefix}n_objs", f"__t AS {prefix}tuple")
-    t = F.col("__t")
-    lem = lambda c: lemmatize(words(c), lemma_map)
-    return rows.select(
-        key, F.col(idx).cast("bigint").alias(idx),
-        lem(t["subj"]).alias(f"{prefix}subj_w"),
-        lem(t["pred"]).alias(f"{prefix}pred_w"),
-        F.transform(t["auxi"], lem).alias(f"{prefix}aux_w"),
-        F.transform(t["objs"], lambda o: lem(F.concat(o["prep"], F.lit(" "), o["obj"]))).alias(f"{prefix}obj_w"),
-        F.size(t["objs"]).alias(f"{prefix}n_objs"),
-        t.alias(f"{prefix}tuple"))
-
-
-def candidate_pairs(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
-    """JON-1: the (gold, predicted) pairs whose subjects and predicates share a
-    word: exactly the pairs that can score non-NULL, never all pairs.
-
-    Each tuple is replicated once per (subject word, predicate word) of its
-    own, carrying its (small) word arrays, and the two sides are joined on
-    ``(key, subject word, predicate word)``: a hot sentence spreads over many
-    join keys (AQE splits any skewed one). A pair found through several word
-    combinations is kept once; the result is hash-partitioned by
-    ``(key, gidx)``, which the de-duplication and the per-gold window of
-    ``score_pairs`` both reuse (no further exchange)."""
-    def block(df, p):
-        cols = df.columns
-        subj = explode_rows(df, cols, F.array_distinct(f"{p}subj_w"), "__sw")
-        return explode_rows(subj, cols + ["__sw"], F.array_distinct(f"{p}pred_w"), "__pw")
-    joined = block(gold, "g_").join(block(pred, "p_"), [key, "__sw", "__pw"]).drop("__sw", "__pw")
+    w = SQL.words
+    obj_words = w("concat(o_t.prep, ' ', o_t.obj)")
+    rows = explode_rows(df, [key], triples, "__t", idx).selectExpr(
+        key, f"CAST({idx} AS BIGINT) AS {idx}", f"{w('__t.subj')} AS {prefix}subj_w",
+        f"{w('__t.pred')} AS {prefix}pred_w", f"transform(__t.auxi, a_t -> {w('a_t')}) AS {prefix}aux_w",
+        f"transform(__t.objs, o_t -> {obj_words}) AS {prefix}obj_w",
+        f"size(__t.objs) AS {prefix}n_objs", f"__t AS {prefix}tuple")
+    if lemmas is None:
+        return rows
+    return with_lemmas(rows, {f"{prefix}subj_w": 1, f"{prefix}pred_w": 1, f"{prefix}aux_w": 2, f"{prefix}obj_w": 2},
+                       lemmas, [key, idx])
+
+
+def candidate_ids(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
+    """JON-1: ``key, gidx, pidx, g_n_objs, p_n_objs`` of the (gold, predicted)
+    pairs whose subjects and predicates share a word: exactly the pairs that
+    can score non-NULL, never all pairs.
+
+    Each tuple's ids are replicated once per (subject word, predicate word) of
+    its own, and the two sides are joined on ``(key, subject word, predicate
+    word)``: a hot sentence spreads over many join keys (AQE splits any skewed
+    one). A pair found through several word combinations is kept once; the
+    result is hash-partitioned by ``(key, gidx)``."""
+    def block(df, p, idx):
+        ids = [key, idx, f"{p}n_objs"]
+        subj = explode_rows(df, ids + [f"{p}pred_w"], F.array_distinct(f"{p}subj_w"), "__sw")
+        return explode_rows(subj, ids + ["__sw"], F.array_distinct(f"{p}pred_w"), "__pw")
+    joined = block(gold, "g_", "gidx").join(block(pred, "p_", "pidx"), [key, "__sw", "__pw"]).drop("__sw", "__pw")
     return joined.repartition(key, "gidx").dropDuplicates([key, "gidx", "pidx"])
 
 
-def _zip_stats(a: Column, b: Column, n: Column) -> Column:
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(
-        overlap(x, y).alias("ov"), F.size(x).alias("ng"), F.size(y).alias("np")))
-
-
-def _sum(stats: Column, field: str) -> Column:
-    return F.aggregate(stats, F.lit(0), lambda acc, s: acc + s[field])
+def candidate_pairs(gold: DataFrame, pred: DataFrame, key: str = "doc_id") -> DataFrame:
+    """JON-1 with the words of both tuples attached, once per pair. Also
+    ``g_n_before`` and ``g_n_cut``: objects that earlier predictions, and all
+    predictions, leave to the gold tuple (SCO-3)."""
+    ids = candidate_ids(gold, pred, key)
+    every = Window.partitionBy(key, "gidx")
+    before = every.orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
+    shortest = F.when(F.col("p_n_objs") > 0, F.col("p_n_objs"))
+    ids = (ids.withColumn("g_n_before", F.least("g_n_objs", F.min(shortest).over(before)))
+              .withColumn("g_n_cut", F.least("g_n_objs", F.min(shortest).over(every))))
+    return (ids.join(gold.drop("g_n_objs"), [key, "gidx"]).join(pred.drop("p_n_objs"), [key, "pidx"]))
 
 
 def score_pairs(pairs: DataFrame, key: str = "doc_id", weights: dict | None = None,
@@ -116,19 +106,12 @@ def score_pairs(pairs: DataFrame, key: str = "doc_id", weights: dict | None = No
     w = dict(DEFAULT_WEIGHTS, **(weights or {}))
     ws, wp, wa, wo = (SQL.dbl(w[k]) for k in ("subj", "pred", "auxi", "obj"))
     ov = SQL.overlap
-    df = (pairs.selectExpr("*", f"{ov('g_subj_w', 'p_subj_w')} AS __ovs", f"{ov('g_pred_w', 'p_pred_w')} AS __ovp")
-               .where(f"__ovs * {ws} > 0 AND __ovp * {wp} > 0"))
-    n_g, n_p = F.col("g_n_objs"), F.col("p_n_objs")
-    if gold_truncation == "sequential":
-        before = Window.partitionBy(key, "gidx").orderBy("pidx").rowsBetween(Window.unboundedPreceding, -1)
-        n_cur = F.least(n_g, F.min(F.when(n_p > 0, n_p)).over(before))
-        every = Window.partitionBy(key, "gidx")
-        n_cut = F.least(n_g, F.min(F.when(n_p > 0, n_p)).over(every))
-    elif gold_truncation == "pairwise":
-        n_cur, n_cut = n_g, n_g
-    else:
+    if gold_truncation not in ("sequential", "pairwise"):
         raise ValueError(gold_truncation)
-    df = df.withColumn("__ncur", n_cur).withColumn("g_n_cut", n_cut)
+    current, cut = ("g_n_before", "g_n_cut") if gold_truncation == "sequential" else ("g_n_objs", "g_n_objs")
+    df = (pairs.selectExpr("*", f"{ov('g_subj_w', 'p_subj_w')} AS __ovs", f"{ov('g_pred_w', 'p_pred_w')} AS __ovp")
+               .where(f"__ovs * {ws} > 0 AND __ovp * {wp} > 0")
+               .withColumn("__ncur", F.col(current)).withColumn("g_n_cut", F.col(cut)))
 
     def zip_stats(a, b, n):
         return (f"zip_with(slice({a}, 1, {n}), slice({b}, 1, {n}), (za, zb) -> "
@@ -162,7 +145,7 @@ def f_beta(p: Column, r: Column, beta: float) -> Column:
 
 def sentence_scores(sents: DataFrame, scores: DataFrame, key: str = "doc_id",
                     gold: str = "gold", pred: str = "pred", beta: float = 1.0,
-                    fold_cells: int = 20000) -> DataFrame:
+                    fold_cells: int = FOLD_CELLS) -> DataFrame:
     """AGG-2/AGG-3 + E1/E2: per sentence precision (greedy one-to-one) and
     recall (best prediction per gold, several gold may share one)."""
     valid = scores.where(F.col("prec").isNotNull())
@@ -180,224 +163,3 @@ def sentence_scores(sents: DataFrame, scores: DataFrame, key: str = "doc_id",
     return (out.withColumn("prec", p).withColumn("rec", r)
                .withColumn("f_score", f_beta(F.col("prec"), F.col("rec"), beta))
                .withColumn("f_beta", F.lit(float(beta))))
-
-
-# ---------------------------------------------------------------------------
-# Token edit distance (SCO-4..6, JON-8)
-# ---------------------------------------------------------------------------
-
-def all_orders(n: Column) -> Column:
-    """JON-8: every order of ``0..n-1`` (n! arrays), built natively: start from
-    ``[[]]`` and ``n`` times extend each partial order by each unused index."""
-    idx = F.sequence(F.lit(0), n - 1)
-    grown = F.aggregate(F.sequence(F.lit(1), n), F.array(F.array().cast("array<int>")),
-                        lambda acc, _: F.flatten(F.transform(acc, lambda p: F.transform(
-                            F.filter(idx, lambda k: ~F.array_contains(p, k)), lambda k: F.array_append(p, k)))))
-    return F.when(n > 0, grown).otherwise(F.array(F.array().cast("array<int>")))
-
-
-def whitespace_tokens(text: Column) -> Column:
-    """UDF-2 default: whitespace tokens of one text. A plug-in tokenizer for
-    ``sentence_distances`` maps ``array<string> -> array<array<string>>``
-    (see ``operators.generate.pandas_tokenizer``)."""
-    return words(text)
-
-
-# Alphabet for coding tokens as characters: code points from U+0100 upward
-# (never surrogates), so the built-in character Levenshtein counts tokens.
-_ALPHABET_SIZE = 4000
-ALPHABET = "".join(chr(0x100 + i) for i in range(_ALPHABET_SIZE))
-
-
-def _code(tokens: Column, vocab: Column) -> Column:
-    return F.array_join(F.transform(tokens, lambda t: F.substring(
-        F.lit(ALPHABET), F.array_position(vocab, t).cast("int"), 1)), "")
-
-
-def token_distance(a: Column, b: Column) -> Column:
-    """SCO-4: edit distance between two token arrays (tokens as units); NULL
-    above 4,000 distinct tokens in the pair."""
-    vocab = F.array_distinct(F.concat(a, b))
-    return F.when(F.size(vocab) <= _ALPHABET_SIZE, F.levenshtein(_code(a, vocab), _code(b, vocab)))
-
-
-def _permuted(t: Column, perm: Column) -> Column:
-    return F.struct(t["subj"].alias("subj"), t["pred"].alias("pred"), t["auxi"].alias("auxi"),
-                    F.transform(perm, lambda k: F.get(t["objs"], k)).alias("objs"))
-
-
-def _cut(t: Column, n: Column) -> Column:
-    return F.struct(t["subj"].alias("subj"), t["pred"].alias("pred"), t["auxi"].alias("auxi"),
-                    F.slice(t["objs"], 1, n).alias("objs"))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` (lambda bodies get no
-    common-subexpression elimination)."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def pred_orders(p: Column, tokenizer: Callable = whitespace_tokens) -> Column:
-    """``struct(flat, orders)``: tokens of the predicted tuple and of every
-    order of its objects (computed once per prediction, not per pair)."""
-    return F.struct(tokenizer(render_plain(p)).alias("flat"),
-                    F.transform(all_orders(F.size(p["objs"])),
-                                lambda pm: tokenizer(render_plain(_permuted(p, pm)))).alias("orders"))
-
-
-def ordered_distance(g: Column, po: Column) -> Column:
-    """Smallest edit distance between gold tokens ``g`` and any order in
-    ``po = pred_orders(..)``. Pairs sharing no token need no search: their
-    distance is the longer length; otherwise the pair's vocabulary and the gold
-    code are built once and every order is coded against them."""
-    flat = po["flat"]
-    search = let(F.array_distinct(F.concat(g, flat)), lambda vocab: F.when(
-        F.size(vocab) <= _ALPHABET_SIZE,
-        let(_code(g, vocab), lambda gc: F.array_min(F.transform(
-            po["orders"], lambda o: F.levenshtein(gc, _code(o, vocab)))))))
-    return F.when(~F.arrays_overlap(g, flat) | (F.size(g) == 0) | (F.size(flat) == 0),
-                  F.greatest(F.size(g), F.size(flat))).otherwise(search)
-
-
-def min_perm_distance(g: Column, p: Column, tokenizer: Callable = whitespace_tokens) -> Column:
-    """SCO-5: smallest distance between gold tokens ``g`` and any order of the
-    predicted tuple ``p``'s objects (gold order fixed, E7)."""
-    return ordered_distance(g, pred_orders(p, tokenizer))
-
-
-def sentence_distances(sents: DataFrame, key: str = "doc_id", gold: str = "gold", pred: str = "pred",
-                       gold_cut: DataFrame | None = None, tokenizer: Callable = whitespace_tokens,
-                       max_objects: int = 7, max_effort: int = 1_000_000,
-                       fallback: int = K.DISTANCE_FALLBACK) -> DataFrame:
-    """SCO-4..6 + E5-E7: per sentence the list of greedy-matched distances
-    (lower is better), ``levenshtein_dists``, and whether the fallback applied.
-
-    Distances are taken over all (gold, prediction) pairs of a sentence,
-    including pairs rejected by scoring (E5); only predicted objects are
-    permuted (E7). A sentence costs ``G * sum(n_p!)`` edit distances; above
-    ``max_effort`` (or with a prediction of more than ``max_objects`` objects)
-    it gets the reference's over-limit result, ``fallback`` for each of
-    ``min(G, P)`` matches (SCO-6). The work is a projection of the sentence row:
-    no shuffle, and the row's work is bounded by the limit.
-
-    ``gold_cut``: ``(key, gidx, g_n_cut)`` from ``score_pairs`` in
-    ``sequential`` mode (gold objects shortened by scoring, M5).
-    """
-    df = sents.select(key, gold, pred)
-    if gold_cut is not None:
-        cuts = (gold_cut.select(key, "gidx", "g_n_cut").dropDuplicates([key, "gidx"])
-                        .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("gidx", "g_n_cut"))).alias("__cuts")))
-        df = df.join(cuts, key, "left")
-        gold_eff = F.transform(gold, lambda t, i: _cut(t, F.coalesce(
-            F.element_at(F.col("__cuts"), i.cast("bigint")), F.size(t["objs"]))))
-    else:
-        gold_eff = F.col(gold)
-    fact = F.array(*[F.lit(math.factorial(n)) for n in range(max_objects + 1)])
-    n_p = F.transform(pred, lambda t: F.size(t["objs"]))
-    effort = F.size(gold).cast("bigint") * F.aggregate(
-        n_p, F.lit(0).cast("bigint"), lambda acc, n: acc + F.coalesce(F.get(fact, n), F.lit(0)).cast("bigint"))
-    over = (effort > max_effort) | F.exists(n_p, lambda n: n > max_objects)
-    df = df.withColumn("__over", over)
-    n_min = F.least(F.size(gold), F.size(pred))
-    if tokenizer is whitespace_tokens:
-        cuts = "__cuts" if gold_cut is not None else None
-        matched = F.expr(_distance_sql(f"`{gold}`", f"`{pred}`", cuts))
-        return df.select(key, F.col("__over").alias("fallback"),
-                         F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
-                          .alias("levenshtein_dists"))
-
-    # Plug-in tokenizer: ``tokenizer`` maps array<string> -> array<array<string>>
-    # (a pandas UDF cannot run inside a lambda). All texts of the sentence are
-    # rendered natively, tokenized in one vectorized call per column, and
-    # re-nested with native slices.
-    g_texts = F.transform(gold_eff, lambda t: render_plain(t))
-    p_texts = F.transform(F.col(pred), lambda t: F.concat(F.array(render_plain(t)), F.transform(
-        all_orders(F.size(t["objs"])), lambda pm: render_plain(_permuted(t, pm)))))
-    df = (df.withColumn("__gtexts", g_texts).withColumn("__pcounts", F.transform(p_texts, lambda a: F.size(a)))
-            .withColumn("__ptexts", F.flatten(p_texts)))
-    df = df.withColumn("__gt", tokenizer(F.col("__gtexts"))).withColumn("__ptok", tokenizer(F.col("__ptexts")))
-    starts = F.transform("__pcounts", lambda c, i: F.aggregate(F.slice(F.col("__pcounts"), 1, i), F.lit(0), lambda a, b: a + b))
-    df = df.withColumn("__pstart", starts)
-    po = F.transform("__pcounts", lambda c, i: F.struct(
-        F.get(F.col("__ptok"), F.get(F.col("__pstart"), i)).alias("flat"),
-        F.slice(F.col("__ptok"), F.get(F.col("__pstart"), i) + 2, c - 1).alias("orders")))
-    df = df.withColumn("__po", po)
-    cells = F.flatten(F.transform(F.col("__gt"), lambda g, gi: F.transform(
-        F.col("__po"), lambda p, pi: F.struct(ordered_distance(g, p).alias("o"), gi.cast("bigint").alias("r"),
-                                              pi.cast("bigint").alias("c")))))
-    init = F.struct(F.array().cast("array<bigint>").alias("rows"), F.array().cast("array<bigint>").alias("cols"),
-                    F.array().cast("array<int>").alias("d"))
-
-    def step(acc, c):
-        free = ~F.array_contains(acc["rows"], c["r"]) & ~F.array_contains(acc["cols"], c["c"])
-        return F.when(free, F.struct(F.array_append(acc["rows"], c["r"]).alias("rows"),
-                                     F.array_append(acc["cols"], c["c"]).alias("cols"),
-                                     F.array_append(acc["d"], c["o"].cast("int")).alias("d"))).otherwise(acc)
-    matched = F.aggregate(F.array_sort(cells), init, step)["d"]
-    return df.select(key, F.col("__over").alias("fallback"),
-                     F.when(F.col("__over"), F.array_repeat(F.lit(fallback), n_min)).otherwise(matched)
-                      .alias("levenshtein_dists"))
-
-
-def _distance_sql(gold: str, pred: str, cuts: str | None) -> str:
-    """SQL text of the per-sentence matched distances (default tokenizer);
-    the same steps as the Column form in ``sentence_distances``."""
-    W, P = SQL.words, SQL.plain
-    alpha = "'" + ALPHABET + "'"
-    if cuts:
-        gold_eff = (f"transform({gold}, (t_g, i_g) -> named_struct('subj', t_g.subj, 'pred', t_g.pred, 'auxi', t_g.auxi, "
-                    f"'objs', slice(t_g.objs, 1, coalesce(element_at({cuts}, CAST(i_g AS BIGINT)), size(t_g.objs)))))")
-    else:
-        gold_eff = gold
-    tokens = (f"named_struct('gt', transform({gold_eff}, t_e -> {W(P('t_e'))}), "
-              f"'po', transform({pred}, t_f -> {SQL.pred_orders('t_f')}))")
-    vocab = "array_distinct(concat(flatten(x_s.gt), flatten(flatten(transform(x_s.po, po_v -> po_v.orders)))))"
-    gc = f"transform(x_s.gt, g_c -> named_struct('t', g_c, 'c', {SQL.code('g_c', 'v_s', alpha)}))"
-    pc = (f"transform(x_s.po, po_c -> named_struct('flat', po_c.flat, "
-          f"'codes', transform(po_c.orders, o_c -> {SQL.code('o_c', 'v_s', alpha)})))")
-    dist = ("CASE WHEN NOT arrays_overlap(g_d.t, p_d.flat) OR size(g_d.t) = 0 OR size(p_d.flat) = 0 "
-            "THEN greatest(size(g_d.t), size(p_d.flat)) "
-            "ELSE array_min(transform(p_d.codes, c_d -> levenshtein(g_d.c, c_d))) END")
-    cells = (f"flatten(transform(y_s.gc, (g_d, gi_d) -> transform(y_s.pc, (p_d, pi_d) -> "
-             f"named_struct('o', {dist}, 'r', CAST(gi_d AS BIGINT), 'c', CAST(pi_d AS BIGINT)))))")
-    per_pair = ordered_distance_sql("g_e", "po_e")
-    cells_big = (f"flatten(transform(x_s.gt, (g_e, gi_e) -> transform(x_s.po, (po_e, pi_e) -> "
-                 f"named_struct('o', {per_pair}, 'r', CAST(gi_e AS BIGINT), 'c', CAST(pi_e AS BIGINT)))))")
-
-    def fold(cs: str) -> str:
-        return (f"aggregate(array_sort({cs}), named_struct('rows', CAST(array() AS ARRAY<BIGINT>), "
-                f"'cols', CAST(array() AS ARRAY<BIGINT>), 'd', CAST(array() AS ARRAY<INT>)), (acc_f, c_f) -> "
-                f"CASE WHEN NOT array_contains(acc_f.rows, c_f.r) AND NOT array_contains(acc_f.cols, c_f.c) "
-                f"THEN named_struct('rows', array_append(acc_f.rows, c_f.r), 'cols', array_append(acc_f.cols, c_f.c), "
-                f"'d', array_append(acc_f.d, CAST(c_f.o AS INT))) ELSE acc_f END).d")
-
-    coded = SQL.let(f"named_struct('gc', {gc}, 'pc', {pc})", "y_s", fold(cells))
-    return SQL.let(tokens, "x_s", SQL.let(vocab, "v_s",
-                   f"CASE WHEN size(v_s) > {_ALPHABET_SIZE} THEN {fold(cells_big)} ELSE {coded} END"))
-
-
-def ordered_distance_sql(g: str, po: str) -> str:
-    """SQL text of ``ordered_distance`` (gold tokens ``g``, ``po`` from
-    ``SQL.pred_orders``), coding the pair against its own vocabulary."""
-    alpha = "'" + ALPHABET + "'"
-    return (f"CASE WHEN NOT arrays_overlap({g}, {po}.flat) OR size({g}) = 0 OR size({po}.flat) = 0 "
-            f"THEN greatest(size({g}), size({po}.flat)) ELSE "
-            + SQL.let(f"array_distinct(concat({g}, {po}.flat))", "vv_e",
-                      f"CASE WHEN size(vv_e) <= {_ALPHABET_SIZE} THEN "
-                      + SQL.let(SQL.code(g, "vv_e", alpha), "gc_e",
-                                f"array_min(transform({po}.orders, o_h -> levenshtein(gc_e, {SQL.code('o_h', 'vv_e', alpha)})))")
-                      + " END")
-            + " END")
-
-
-def min_perm_distance_sql(gold_tuple: str, pred_tuple: str) -> str:
-    """SCO-5 as SQL text for a (gold tuple, predicted tuple) column pair."""
-    return SQL.let(SQL.pred_orders(pred_tuple), "po_m", ordered_distance_sql(SQL.words(SQL.plain(gold_tuple)), "po_m"))
-
-
-def token_distance_sql(a: str, b: str) -> str:
-    """SQL text of ``token_distance`` for two token-array expressions."""
-    alpha = "'" + ALPHABET + "'"
-    return SQL.let(f"array_distinct(concat({a}, {b}))", "vt_d",
-                   f"CASE WHEN size(vt_d) <= {_ALPHABET_SIZE} THEN levenshtein({SQL.code(a, 'vt_d', alpha)}, "
-                   f"{SQL.code(b, 'vt_d', alpha)}) END")

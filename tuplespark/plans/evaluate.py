@@ -1,8 +1,8 @@
 """Chain A, evaluate: parse both texts of each sentence, score, match, sum up.
 
-Shuffles: the blocking join and the per-(sentence, gold) window of the
-scoring step, one aggregation per sentence for matching and recall, and the
-final global aggregates. Distances are a projection of the sentence row.
+Shuffles: the blocking join on ids and the per-(sentence, gold) window of the
+scoring step, the join of the tuples' words, one aggregation per sentence for
+matching and recall, the blocks and events of the distances.
 """
 
 from __future__ import annotations
@@ -13,21 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark.functions.parse import parse_tuples
+from tuplespark.operators.distance import sentence_distances, whitespace_tokens
+from tuplespark.operators.matching import FOLD_CELLS
+from tuplespark.operators.scoring import candidate_pairs, lemma_table, score_pairs, sentence_scores, tuple_table
 from tuplespark.session import materialize
-from tuplespark.operators.scoring import (candidate_pairs, score_pairs, sentence_distances,
-                                          sentence_scores, tuple_table, whitespace_tokens)
 
 
 @dataclass
 class EvalConfig:
+    """``lemmas``: a table ``(word, lemma)``; or ``lemmatizer``: a plug-in over
+    arrays of words, called once per distinct word. ``max_effort`` is the
+    over-limit rule of the distances (SCO-6), off by default."""
     beta: float = 1.0
     weights: dict | None = None
     gold_truncation: str = "sequential"
-    lemma_map: dict | None = None
+    lemmas: DataFrame | None = None
+    lemmatizer: object = None
     tokenizer: object = whitespace_tokens
-    max_objects: int = 7
-    max_effort: int = 1_000_000
-    fold_cells: int = 20000
+    max_effort: int | None = None
+    fold_cells: int = FOLD_CELLS
 
 
 def parse_sentences(df: DataFrame, key: str = "doc_id", gold: str = "gold_str", pred: str = "pred_str") -> DataFrame:
@@ -38,8 +42,16 @@ def parse_sentences(df: DataFrame, key: str = "doc_id", gold: str = "gold_str",
 
 def pair_scores(sents: DataFrame, key: str = "doc_id", cfg: EvalConfig | None = None) -> DataFrame:
     cfg = cfg or EvalConfig()
-    gold_t = tuple_table(sents, key, "gold", "gidx", "g_", cfg.lemma_map)
-    pred_t = tuple_table(sents, key, "pred", "pidx", "p_", cfg.lemma_map)
+    gold_t = tuple_table(sents, key, "gold", "gidx", "g_")
+    pred_t = tuple_table(sents, key, "pred", "pidx", "p_")
+    lemmas = cfg.lemmas
+    if cfg.lemmatizer is not None:
+        both = [t.select(F.concat(f"{p}subj_w", f"{p}pred_w", F.flatten(f"{p}aux_w"), F.flatten(f"{p}obj_w")).alias("w"))
+                for t, p in ((gold_t, "g_"), (pred_t, "p_"))]
+        lemmas = materialize(lemma_table(both[0].unionByName(both[1]), "w", cfg.lemmatizer))
+    if lemmas is not None:
+        gold_t = materialize(tuple_table(sents, key, "gold", "gidx", "g_", lemmas))
+        pred_t = materialize(tuple_table(sents, key, "pred", "pidx", "p_", lemmas))
     return score_pairs(candidate_pairs(gold_t, pred_t, key), key, cfg.weights, cfg.gold_truncation)
 
 
@@ -47,14 +59,16 @@ def evaluate(df: DataFrame, key: str = "doc_id", gold: str = "gold_str", pred: s
              cfg: EvalConfig | None = None) -> DataFrame:
     """Per sentence: ``prec_num, prec_den, prec, rec_num, rec_den, rec,
     f_score, f_beta, levenshtein_dists, fallback``."""
+    return evaluate_tuples(materialize(parse_sentences(df, key, gold, pred)), key, cfg)
+
+
+def evaluate_tuples(sents: DataFrame, key: str = "doc_id", cfg: EvalConfig | None = None) -> DataFrame:
+    """``evaluate`` for sentences whose tuples are parsed: ``key, gold, pred``
+    (a written table: it is read several times)."""
     cfg = cfg or EvalConfig()
-    sents = materialize(parse_sentences(df, key, gold, pred))
     scores = materialize(pair_scores(sents, key, cfg))
     per_sent = sentence_scores(sents, scores, key, beta=cfg.beta, fold_cells=cfg.fold_cells)
     cut = scores if cfg.gold_truncation == "sequential" else None
-    dists = sentence_distances(sents, key, gold_cut=cut, tokenizer=cfg.tokenizer,
-                               max_objects=cfg.max_objects, max_effort=cfg.max_effort)
+    dists = sentence_distances(sents, key, gold_cut=cut, tokenizer=cfg.tokenizer, max_effort=cfg.max_effort,
+                               fold_cells=cfg.fold_cells)
     return per_sent.join(dists, key)
-
-
-__all__ = ["EvalConfig", "evaluate", "pair_scores", "parse_sentences", "F"]

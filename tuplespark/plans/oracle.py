@@ -11,28 +11,35 @@ from __future__ import annotations
 OIE_PAIRS = r"""
 oie_pairs AS (
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, trim(regexp_replace(unnest(string_split(text, chr(10))), '[#,.]', '', 'g'), ' ') AS line FROM documents),
-w AS (SELECT doc_id, pos, regexp_split_to_array(line, ' +') AS w FROM l WHERE len(regexp_split_to_array(line, ' +')) >= 3),
-k AS (SELECT doc_id, w, len(w) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS k FROM w),
-p AS (SELECT doc_id, k, (doc_id + k) % 6 AS v, w[1] AS subj,
-        CASE WHEN k % 2 = 0 AND n >= 8 THEN concat('not ### ', w[2]) ELSE w[2] END AS pred,
-        w[3] AS o1,
-        CASE WHEN n >= 5 THEN concat(w[4], ' ### ', w[5]) END AS o2,
-        CASE WHEN n >= 7 THEN concat(w[6], ' ### ', w[7]) END AS o3
-      FROM k),
-r AS (SELECT doc_id, k, v, concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g,
-        CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
-               WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END, CASE WHEN o3 IS NOT NULL THEN o2 END)
-               WHEN 3 THEN concat_ws(' ,, ', subj, concat('not ### ', pred), o1, o2, o3)
+f AS (SELECT doc_id, pos, regexp_split_to_array(line, ' +') AS f FROM l WHERE len(regexp_split_to_array(line, ' +')) >= 3),
+c0 AS (SELECT *, (len(f) + 99) // 100 AS s, unnest(range(0, (len(f) + 99) // 100)) AS j FROM f),
+w AS (SELECT doc_id, pos, j, f[j * len(f) // s + 1:(j + 1) * len(f) // s] AS w FROM c0),
+k AS (SELECT doc_id, w, len(w) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, j) AS INT) AS k,
+        max(len(w)) OVER (PARTITION BY doc_id) AS widest FROM w),
+c AS (SELECT *, (doc_id + k) % 6 AS v, CASE WHEN n >= 8 THEN 1 + (doc_id + k) % 3 ELSE 1 END AS ns,
+        CASE WHEN n >= 8 THEN 1 + k % 3 ELSE 1 END AS np FROM k),
+b AS (SELECT *, w[ns + np + 1:] AS b, n - ns - np AS r FROM c),
+m AS (SELECT *, CASE WHEN k % 7 = 0 AND r >= 8 AND widest <= 64 THEN 4 + k % 5 WHEN r >= 5 THEN 1 + k % 3
+                     WHEN r >= 3 THEN 2 ELSE 1 END AS m FROM b),
+e AS (SELECT *, CASE WHEN m = 3 THEN 4 ELSE m END AS z FROM m),
+p AS (SELECT doc_id, k, v, array_to_string(w[1:ns], ' ') AS subj,
+        CASE WHEN k % 2 = 0 AND n >= 8 THEN 'not ### ' ELSE '' END || array_to_string(w[ns + 1:ns + np], ' ') AS pred,
+        list_append(CASE WHEN m = 3 THEN [b[1], b[2] || ' ### ' || b[3]] ELSE b[1:m - 1] END,
+                    CASE WHEN r > z THEN b[z] || ' ### ' || array_to_string(b[z + 1:], ' ') ELSE b[z] END) AS o FROM e),
+r AS (SELECT doc_id, k, v, array_to_string(list_concat([subj, pred], o), ' ,, ') AS g,
+        CASE v WHEN 1 THEN array_to_string(list_concat([subj, pred], list_reverse(o)), ' ,, ')
+               WHEN 2 THEN array_to_string(list_concat([subj, pred], o[1:len(o) - 1]), ' ,, ')
+               WHEN 3 THEN array_to_string(list_concat([subj, 'not ### ' || pred], o), ' ,, ')
                WHEN 4 THEN NULL
-               ELSE concat_ws(' ,, ', subj, pred, o1, o2, o3) END AS h FROM p),
+               ELSE array_to_string(list_concat([subj, pred], o), ' ,, ') END AS h FROM p),
 s AS (SELECT *, min(CASE WHEN h IS NOT NULL THEN k END) OVER (PARTITION BY doc_id) AS k0 FROM r)
-SELECT doc_id,
-  string_agg(CASE WHEN k = 1 THEN g ELSE k || '. ' || g END, chr(10) ORDER BY k) AS gold_str,
-  concat(CASE WHEN doc_id % 7 = 0 THEN '   ' || chr(10) ELSE '' END,
+SELECT d.doc_id,
+  coalesce(string_agg(CASE WHEN k = 1 THEN g ELSE k || '. ' || g END, chr(10) ORDER BY k), '') AS gold_str,
+  concat(CASE WHEN d.doc_id % 7 = 0 THEN '   ' || chr(10) ELSE '' END,
     coalesce(string_agg(CASE WHEN h IS NULL THEN NULL WHEN k = k0 THEN h WHEN v = 5 THEN k || '. ' || h || chr(10) || k || '. ' || h ELSE k || '. ' || h END, chr(10) ORDER BY k), ''),
-    CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'note without number' ELSE '' END,
-    CASE WHEN doc_id % 5 = 0 THEN chr(10) || '9x. bad ,, number' ELSE '' END) AS pred_str
-FROM s GROUP BY doc_id)
+    CASE WHEN d.doc_id % 3 = 0 THEN chr(10) || 'note without number' ELSE '' END,
+    CASE WHEN d.doc_id % 5 = 0 THEN chr(10) || '9x. bad ,, number' ELSE '' END) AS pred_str
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id)
 """
 
 
@@ -282,7 +289,9 @@ def _words_cte(name: str, src: str, idx: str) -> str:
 {name} AS (SELECT doc_id, tidx AS {idx}, subj, pred, auxi, objs, {W('subj')} AS subj_w, {W('pred')} AS pred_w,
    list_transform(auxi, lambda a: {W('a')}) AS aux_w,
    list_transform(objs, lambda o: {W("o.prep || ' ' || o.obj")}) AS obj_w,
-   len(objs) AS n_objs, {W(PLAIN.format(objs='objs'))} AS tok FROM {src})"""
+   len(objs) AS n_objs, {W(PLAIN.format(objs='objs'))} AS tok,
+   {W("concat_ws(' ', subj, array_to_string(auxi, ' '), pred)")} AS h,
+   list_transform(objs, lambda o: {W("o.prep || ' ' || o.obj")}) AS os FROM {src})"""
 
 
 SCORE_CTES = [
@@ -394,33 +403,40 @@ FROM (SELECT sum(prec_num) / sum(prec_den) AS p, sum(rec_num) / sum(rec_den) AS
 """
 
 
-def LEV(a: str, b: str) -> str:
-    """Token edit distance: code each distinct token of the pair as one ASCII
-    character (DuckDB's levenshtein counts bytes)."""
-    return (f"levenshtein(array_to_string(list_transform({a}, lambda t: chr(32 + list_position(list_distinct(list_concat({a}, {b})), t))), ''), "
-            f"array_to_string(list_transform({b}, lambda t: chr(32 + list_position(list_distinct(list_concat({a}, {b})), t))), ''))")
+def dist_sql(name: str, pairs: str, orders: str) -> str:
+    """``name(doc_id, gidx, pidx, d)``: least edit distance of gold tokens ``a``
+    and head ``h`` plus objects ``os`` of ``pairs`` over the orders in the list
+    ``orders``. Common tokens of a pair become single bytes for the built-in
+    function, which counts bytes (a tuple of the fixture has at most 101 words)."""
+    def code(x: str, other: int) -> str:
+        return (f"array_to_string(list_transform({x}, lambda t: CASE WHEN list_contains(c, t) "
+                f"THEN chr((2 + list_position(c, t))::INT) ELSE chr({other}) END), '')")
+    order = "list_transform(p, lambda k: {0}[k + 1])"
+    return f"""
+{name}_c AS (SELECT *, list_intersect(a, list_concat(h, flatten(os))) AS c FROM ({pairs}) JOIN ({orders}) USING (n)),
+{name}_k AS (SELECT *, {code('a', 1)} AS ac, {code('h', 2)} AS hc, list_transform(os, lambda o: {code('o', 2)}) AS oc FROM {name}_c),
+{name} AS (SELECT doc_id, gidx, pidx,
+    list_min(list_transform(ps, lambda p: levenshtein(ac, hc || array_to_string({order.format('oc')}, '')))) AS d FROM {name}_k)"""
 
 
-ORACLE["token_distance"] = with_ctes(*SCORE_CTES) + f"""
-SELECT c.doc_id, c.gidx, c.pidx, CAST({LEV('gw.tok', 'pw.tok')} AS BIGINT) AS dist
-FROM cand c JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx JOIN pw ON pw.doc_id = c.doc_id AND pw.pidx = c.pidx
+GIVEN = "SELECT n, [range(n)] AS ps FROM range(10) t(n)"
+EVERY = "SELECT n, list(p) AS ps FROM perms GROUP BY n"
+CAND = """SELECT c.doc_id, c.gidx, c.pidx, gw.tok AS a, pw.h, pw.os, len(pw.os) AS n FROM cand c
+  JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx JOIN pw ON pw.doc_id = c.doc_id AND pw.pidx = c.pidx"""
+
+ORACLE["token_distance"] = with_ctes(*SCORE_CTES, dist_sql("td", CAND, GIVEN)) + """
+SELECT doc_id, gidx, pidx, CAST(d AS BIGINT) AS dist FROM td
 """
 
 PERMS = """
-perm(n, p) AS (SELECT n, []::BIGINT[] FROM range(0, 8) t(n)
-               UNION ALL SELECT n, list_append(p, k) FROM perm, range(0, 8) r(k)
+perm(n, p) AS (SELECT n, []::BIGINT[] FROM range(0, 9) t(n)
+               UNION ALL SELECT n, list_append(p, k) FROM perm, range(0, 9) r(k)
                WHERE k < n AND len(p) < n AND NOT list_contains(p, k)),
-perms AS (SELECT n, p, row_number() OVER (PARTITION BY n ORDER BY p) - 1 AS perm_idx FROM perm WHERE len(p) = n),
-ptok AS (SELECT pw.doc_id, pw.pidx, perms.perm_idx,
-   """ + W(PLAIN.format(objs="list_transform(perms.p, lambda k: objs[k + 1])")) + """ AS tok
- FROM pw JOIN perms ON perms.n = pw.n_objs)
+perms AS (SELECT n, p, row_number() OVER (PARTITION BY n ORDER BY p) - 1 AS perm_idx FROM perm WHERE len(p) = n)
 """
 
-ORACLE["min_perm_distance"] = with_ctes(*SCORE_CTES, PERMS) + f"""
-SELECT c.doc_id, c.gidx, c.pidx, CAST(min({LEV('gw.tok', 'ptok.tok')}) AS BIGINT) AS dist
-FROM cand c JOIN gw ON gw.doc_id = c.doc_id AND gw.gidx = c.gidx
-JOIN ptok ON ptok.doc_id = c.doc_id AND ptok.pidx = c.pidx
-GROUP BY c.doc_id, c.gidx, c.pidx
+ORACLE["min_perm_distance"] = with_ctes(*SCORE_CTES, PERMS, dist_sql("md", CAND, EVERY)) + """
+SELECT doc_id, gidx, pidx, CAST(d AS BIGINT) AS dist FROM md
 """
 
 ORACLE["object_permutations"] = with_ctes(*SCORE_CTES, PERMS) + """
@@ -438,10 +454,9 @@ gcut AS (SELECT gw.doc_id, gw.gidx, """ + W(PLAIN.format(objs="objs[1:coalesce(c
   FROM gw LEFT JOIN (SELECT DISTINCT doc_id, gidx, ncut FROM cand) c ON c.doc_id = gw.doc_id AND c.gidx = gw.gidx)"""
     else:
         gcut = "gcut AS (SELECT doc_id, gidx, tok FROM gw)"
-    return [gcut, f"""
-dcell AS (SELECT gcut.doc_id, gcut.gidx, ptok.pidx, min({LEV('gcut.tok', 'ptok.tok')}) AS d
-  FROM gcut JOIN ptok ON ptok.doc_id = gcut.doc_id GROUP BY gcut.doc_id, gcut.gidx, ptok.pidx)""",
-            greedy_cte("gd", "dcell", "d", False)]
+    pairs = ("SELECT gcut.doc_id, gidx, pidx, gcut.tok AS a, pw.h, pw.os, len(pw.os) AS n "
+             "FROM gcut JOIN pw ON pw.doc_id = gcut.doc_id")
+    return [gcut, dist_sql("dcell", pairs, EVERY), greedy_cte("gd", "dcell", "d", False)]
 
 
 ORACLE["greedy_distance"] = with_ctes(*SCORE_CTES, PERMS, *dist_ctes("sequential")) + """

@@ -231,13 +231,14 @@ def q_long_outputs(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # M2 / M3: scoring, matching, distances, corpus metrics
 # ---------------------------------------------------------------------------
-from tuplespark.functions.text import overlap  # noqa: E402
 from tuplespark.operators.matching import greedy_match  # noqa: E402
 from tuplespark.operators.metrics import (distance_histogram, macro_metrics, mean_distance,  # noqa: E402
                                           micro_metrics)
-from tuplespark.operators.scoring import (all_orders, candidate_pairs,  # noqa: E402
-                                          score_pairs, sentence_distances, sentence_scores,
-                                          tuple_table)
+from tuplespark.operators.distance import (pair_distances, sentence_distances,  # noqa: E402
+                                           token_distance_sql)
+from tuplespark.operators.scoring import (candidate_ids, candidate_pairs, score_pairs,  # noqa: E402
+                                          sentence_scores, tuple_table)
+from tuplespark.functions import sqlexpr as SQL  # noqa: E402
 from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences  # noqa: E402
 from tuplespark.session import materialize  # noqa: E402
 
@@ -267,17 +268,18 @@ def _scored(spark, sf_dir):
 
 @query("candidate_pairs")
 def q_candidate_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", "gidx", "pidx")
+    s = _sents(spark, sf_dir)
+    ids = candidate_ids(tuple_table(s, "doc_id", "gold", "gidx", "g_"), tuple_table(s, "doc_id", "pred", "pidx", "p_"))
+    return ids.select("doc_id", "gidx", "pidx")
 
 
 @query("word_overlap")
 def q_word_overlap(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    return p.select("doc_id", "gidx", "pidx",
-                    overlap(F.col("g_subj_w"), F.col("p_subj_w")).cast("bigint").alias("ov_subj"),
-                    overlap(F.col("g_pred_w"), F.col("p_pred_w")).cast("bigint").alias("ov_pred"),
-                    overlap(words(render_plain(F.col("g_tuple"))), words(render_plain(F.col("p_tuple"))))
-                    .cast("bigint").alias("ov_text"))
+    """SCO-1 by the expression that scoring uses."""
+    text = [SQL.words(SQL.plain(t)) for t in ("g_tuple", "p_tuple")]
+    return _pairs(spark, sf_dir).selectExpr(
+        "doc_id", "gidx", "pidx", f"CAST({SQL.overlap('g_subj_w', 'p_subj_w')} AS BIGINT) AS ov_subj",
+        f"CAST({SQL.overlap('g_pred_w', 'p_pred_w')} AS BIGINT) AS ov_pred", f"CAST({SQL.overlap(*text)} AS BIGINT) AS ov_text")
 
 
 @query("pair_scores")
@@ -330,26 +332,22 @@ def q_micro(spark, sf_dir):
 
 @query("token_distance")
 def q_token_distance(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    from tuplespark.functions import sqlexpr as SQL
-    from tuplespark.operators.scoring import token_distance_sql
     d = token_distance_sql(SQL.words(SQL.plain("g_tuple")), SQL.words(SQL.plain("p_tuple")))
-    return p.select("doc_id", "gidx", "pidx", F.expr(d).cast("bigint").alias("dist"))
+    return _pairs(spark, sf_dir).select("doc_id", "gidx", "pidx", F.expr(d).cast("bigint").alias("dist"))
 
 
 @query("min_perm_distance")
 def q_min_perm_distance(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    from tuplespark.operators.scoring import min_perm_distance_sql
-    return p.select("doc_id", "gidx", "pidx",
-                    F.expr(min_perm_distance_sql("g_tuple", "p_tuple")).cast("bigint").alias("dist"))
+    d = pair_distances(_pairs(spark, sf_dir), ["doc_id", "gidx", "pidx"], "g_tuple", "p_tuple")
+    return d.withColumn("dist", F.col("dist").cast("bigint"))
 
 
 @query("object_permutations")
 def q_object_permutations(spark, sf_dir):
+    """JON-8 as rows, by the expression that the distances use."""
     s = _sents(spark, sf_dir)
     t = explode_rows(s, ["doc_id"], "pred", "t", "pidx").withColumn("pidx", F.col("pidx").cast("bigint"))
-    per = explode_rows(t, ["doc_id", "pidx", "t"], all_orders(F.size("t.objs")), "perm", "perm_idx")
+    per = explode_rows(t, ["doc_id", "pidx", "t"], F.expr(SQL.all_orders("size(t.objs)")), "perm", "perm_idx")
     return per.select("doc_id", "pidx", F.col("perm_idx").cast("bigint").alias("perm_idx"),
                       F.array_join(F.transform("perm", lambda k: F.get(F.col("t.objs"), k)["obj"]), " | ").alias("objs"))
 
@@ -742,8 +740,8 @@ def lemma_dictionary(spark, sf_dir):
 @query("lemma_lookup")
 def q_lemma_lookup(spark, sf_dir):
     g = gold_tuples(spark, sf_dir).select("doc_id", "tidx", words(F.col("t.subj")).alias("w"))
-    lem = with_lemmas(g, "w", lemma_dictionary(spark, sf_dir), ["doc_id", "tidx"], out="lemmas")
-    return lem.select("doc_id", "tidx", F.array_join("lemmas", " ").alias("lemmas"))
+    lem = with_lemmas(g, {"w": 1}, lemma_dictionary(spark, sf_dir), ["doc_id", "tidx"])
+    return lem.select("doc_id", "tidx", F.array_join("w", " ").alias("lemmas"))
 
 
 @query("classification_metrics")

@@ -64,12 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tuplespark", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the
-    written copy: later stages neither recompute it nor re-plan its lineage,
-    and a lost executor costs a re-read, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared folder and continue from
+    the written copy: later stages neither recompute it nor re-plan its
+    lineage, read only the columns they need, and a lost executor costs a
+    re-read, not a recomputation. With ``partition_by`` a filter on those
+    columns reads only their files."""
+    path = scratch_path(df.sparkSession, "table")
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

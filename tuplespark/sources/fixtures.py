@@ -11,36 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tuplespark.sources.tables import table
 
+# Lines of at least three words give tuples; a line of more than 100 words gives several, cut into even parts.
+# Rule, per part (k: its number in the document, n: its words, v = (doc_id + k) % 6):
+# subject and predicate take one word each, or one to three where the part has eight words; the rest are objects,
+# one to three, or four to eight in every seventh part of documents whose parts all have at most 64 words. An object
+# has one word, the second one of three has two; the last takes the rest of the part. Two words or more begin with a preposition.
 OIE_PAIRS_SQL = r"""
 WITH l AS (SELECT doc_id, pos, trim(regexp_replace(line, '[#,.]', '')) AS line
            FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) t AS pos, line),
-w AS (SELECT doc_id, pos, split(line, ' +') AS w FROM l WHERE size(split(line, ' +')) >= 3),
-k AS (SELECT doc_id, w, size(w) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS k FROM w),
-p AS (SELECT doc_id, k, (doc_id + k) % 6 AS v, w[0] AS subj,
-        CASE WHEN k % 2 = 0 AND n >= 8 THEN concat('not ### ', w[1]) ELSE w[1] END AS pred,
-        w[2] AS o1,
-        CASE WHEN n >= 5 THEN concat(w[3], ' ### ', w[4]) END AS o2,
-        CASE WHEN n >= 7 THEN concat(w[5], ' ### ', w[6]) END AS o3
-      FROM k),
-r AS (SELECT doc_id, k, v, concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g,
-        CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
-               WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END, CASE WHEN o3 IS NOT NULL THEN o2 END)
-               WHEN 3 THEN concat_ws(' ,, ', subj, concat('not ### ', pred), o1, o2, o3)
+f AS (SELECT doc_id, pos, split(line, ' +') AS f FROM l WHERE size(split(line, ' +')) >= 3),
+w AS (SELECT doc_id, pos, j, slice(f, CAST(j * size(f) DIV s AS INT) + 1, CAST((j + 1) * size(f) DIV s - j * size(f) DIV s AS INT)) AS w
+      FROM (SELECT *, CAST((size(f) + 99) DIV 100 AS INT) AS s FROM f) LATERAL VIEW explode(sequence(0, s - 1)) t AS j),
+k AS (SELECT doc_id, w, size(w) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, j) AS INT) AS k,
+        max(size(w)) OVER (PARTITION BY doc_id) AS widest FROM w),
+c AS (SELECT *, (doc_id + k) % 6 AS v, CASE WHEN n >= 8 THEN CAST(1 + (doc_id + k) % 3 AS INT) ELSE 1 END AS ns,
+        CASE WHEN n >= 8 THEN 1 + k % 3 ELSE 1 END AS np FROM k),
+b AS (SELECT *, slice(w, ns + np + 1, n) AS b, n - ns - np AS r FROM c),
+m AS (SELECT *, CASE WHEN k % 7 = 0 AND r >= 8 AND widest <= 64 THEN 4 + k % 5 WHEN r >= 5 THEN 1 + k % 3
+                     WHEN r >= 3 THEN 2 ELSE 1 END AS m FROM b),
+o AS (SELECT doc_id, k, v, array_join(slice(w, 1, ns), ' ') AS subj,
+        concat(CASE WHEN k % 2 = 0 AND n >= 8 THEN 'not ### ' ELSE '' END, array_join(slice(w, ns + 1, np), ' ')) AS pred,
+        concat(CASE WHEN m = 3 THEN array(b[0], concat(b[1], ' ### ', b[2])) ELSE slice(b, 1, m - 1) END,
+               array(CASE WHEN r - m - IF(m = 3, 1, 0) >= 1
+                     THEN concat(get(b, m - 1 + IF(m = 3, 1, 0)), ' ### ', array_join(slice(b, m + 1 + IF(m = 3, 1, 0), n), ' '))
+                     ELSE get(b, m - 1 + IF(m = 3, 1, 0)) END)) AS o FROM m),
+r AS (SELECT doc_id, k, v, array_join(concat(array(subj, pred), o), ' ,, ') AS g,
+        CASE v WHEN 1 THEN array_join(concat(array(subj, pred), reverse(o)), ' ,, ')
+               WHEN 2 THEN array_join(concat(array(subj, pred), slice(o, 1, size(o) - 1)), ' ,, ')
+               WHEN 3 THEN array_join(concat(array(subj, concat('not ### ', pred)), o), ' ,, ')
                WHEN 4 THEN NULL
-               ELSE concat_ws(' ,, ', subj, pred, o1, o2, o3) END AS h FROM p),
+               ELSE array_join(concat(array(subj, pred), o), ' ,, ') END AS h FROM o),
 s AS (SELECT *, min(CASE WHEN h IS NOT NULL THEN k END) OVER (PARTITION BY doc_id) AS k0 FROM r)
-SELECT doc_id,
-  array_join(transform(array_sort(collect_list(struct(k, CASE WHEN k = 1 THEN g ELSE concat(CAST(k AS STRING), '. ', g) END AS t))), x -> x.t), '\n') AS gold_str,
-  concat(CASE WHEN doc_id % 7 = 0 THEN '   \n' ELSE '' END,
-    array_join(transform(filter(array_sort(collect_list(struct(k, CASE WHEN h IS NULL THEN NULL WHEN k = k0 THEN h WHEN v = 5 THEN concat(CAST(k AS STRING), '. ', h, '\n', CAST(k AS STRING), '. ', h) ELSE concat(CAST(k AS STRING), '. ', h) END AS t))), x -> x.t IS NOT NULL), x -> x.t), '\n'),
-    CASE WHEN doc_id % 3 = 0 THEN '\nnote without number' ELSE '' END,
-    CASE WHEN doc_id % 5 = 0 THEN '\n9x. bad ,, number' ELSE '' END) AS pred_str
-FROM s GROUP BY doc_id
+SELECT d.doc_id,
+  coalesce(array_join(transform(array_sort(collect_list(CASE WHEN k IS NOT NULL THEN struct(k, CASE WHEN k = 1 THEN g ELSE concat(CAST(k AS STRING), '. ', g) END AS t) END)), x -> x.t), '\n'), '') AS gold_str,
+  concat(CASE WHEN d.doc_id % 7 = 0 THEN '   \n' ELSE '' END,
+    array_join(transform(filter(array_sort(collect_list(CASE WHEN k IS NOT NULL THEN struct(k, CASE WHEN h IS NULL THEN NULL WHEN k = k0 THEN h WHEN v = 5 THEN concat(CAST(k AS STRING), '. ', h, '\n', CAST(k AS STRING), '. ', h) ELSE concat(CAST(k AS STRING), '. ', h) END AS t) END)), x -> x.t IS NOT NULL), x -> x.t), '\n'),
+    CASE WHEN d.doc_id % 3 = 0 THEN '\nnote without number' ELSE '' END,
+    CASE WHEN d.doc_id % 5 = 0 THEN '\n9x. bad ,, number' ELSE '' END) AS pred_str
+FROM {documents} d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
 
 
 def oie_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, gold_str, pred_str``: one row per document with a 3-word line."""
+    """``doc_id, gold_str, pred_str``: one row per document; both texts are
+    empty of tuples where no line has three words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return oie_pairs_rows(docs)
 
@@ -67,30 +81,39 @@ def oie_pairs_rows(docs: DataFrame) -> DataFrame:
 
     from tuplespark.functions.arrays import explode_rows
 
-    every = F.regexp_extract_all(F.col("text"), F.lit(QUALIFYING), F.lit(0))
+    every = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(QUALIFYING), F.lit(0))
     # The scan task only finds the lines; the one shuffle (by doc_id, qualifying
     # lines only) happens here, so formatting runs in parallel
     # and the regrouping by doc_id below needs no second exchange.
     picked = docs.select("doc_id", every.alias("every")).repartition("doc_id")
-    lines = explode_rows(picked, ["doc_id"], "every", "line", "i")
-    parts = lines.selectExpr(
-        "doc_id", "i + 1 AS k", "split(trim(translate(line, '#,.', '')), ' +', -1) AS w").selectExpr(
-        "doc_id", "k", "(doc_id + k) % 6 AS v", "get(w, 0) AS subj",
-        "CASE WHEN k % 2 = 0 AND size(w) >= 8 THEN concat('not ### ', get(w, 1)) ELSE get(w, 1) END AS pred",
-        "get(w, 2) AS o1",
-        "CASE WHEN size(w) >= 5 THEN concat(get(w, 3), ' ### ', get(w, 4)) END AS o2",
-        "CASE WHEN size(w) >= 7 THEN concat(get(w, 5), ' ### ', get(w, 6)) END AS o3")
-    per_line = parts.selectExpr(
-        "doc_id", "k", "v", "concat_ws(' ,, ', subj, pred, o1, o2, o3) AS g",
-        """CASE v WHEN 1 THEN concat_ws(' ,, ', subj, pred, o3, o2, o1)
-                  WHEN 2 THEN concat_ws(' ,, ', subj, pred, CASE WHEN o2 IS NOT NULL THEN o1 END,
-                                        CASE WHEN o3 IS NOT NULL THEN o2 END)
-                  WHEN 3 THEN concat_ws(' ,, ', subj, concat('not ### ', pred), o1, o2, o3)
+    split = ("flatten(transform(every, x -> transform(array(split(trim(translate(x, '#,.', '')), ' +', -1)), f -> transform("
+             "sequence(0, CAST((size(f) + 99) DIV 100 AS INT) - 1), j -> slice(f, CAST(j * size(f) DIV ((size(f) + 99) DIV 100) AS INT) + 1, "
+             "CAST((j + 1) * size(f) DIV ((size(f) + 99) DIV 100) - j * size(f) DIV ((size(f) + 99) DIV 100) AS INT))))[0]))")
+    # A document without a qualifying line keeps one row, without words (k = 0).
+    lines = (picked.selectExpr("doc_id", f"{split} AS ws")
+             .selectExpr("doc_id", "array_max(transform(ws, x -> size(x))) AS widest", "posexplode_outer(ws) AS (i, w)"))
+    parts = (lines.selectExpr("doc_id", "widest", "coalesce(i + 1, 0) AS k", "coalesce(w, array()) AS w")
+             .selectExpr("*", "size(w) AS n", "(doc_id + k) % 6 AS v")
+             .selectExpr("*", "IF(n >= 8, CAST(1 + (doc_id + k) % 3 AS INT), 1) AS ns", "IF(n >= 8, 1 + k % 3, 1) AS np")
+             .selectExpr("*", "slice(w, ns + np + 1, n) AS b", "n - ns - np AS r")
+             .selectExpr("*", """CASE WHEN k % 7 = 0 AND r >= 8 AND widest <= 64 THEN 4 + k % 5
+                                      WHEN r >= 5 THEN 1 + k % 3 WHEN r >= 3 THEN 2 ELSE 1 END AS m""")
+             .selectExpr("*", "m + IF(m = 3, 1, 0) AS last"))
+    objects = """concat(IF(m = 3, array(get(b, 0), concat(get(b, 1), ' ### ', get(b, 2))), slice(b, 1, m - 1)),
+                        array(IF(r > last, concat(get(b, last - 1), ' ### ', array_join(slice(b, last + 1, n), ' ')), get(b, last - 1))))"""
+    tuples = parts.selectExpr(
+        "doc_id", "k", "v", "array_join(slice(w, 1, ns), ' ') AS subj",
+        "concat(IF(k % 2 = 0 AND n >= 8, 'not ### ', ''), array_join(slice(w, ns + 1, np), ' ')) AS pred", f"{objects} AS o")
+    per_line = tuples.selectExpr(
+        "doc_id", "k", "v", "array_join(concat(array(subj, pred), o), ' ,, ') AS g",
+        """CASE v WHEN 1 THEN array_join(concat(array(subj, pred), reverse(o)), ' ,, ')
+                  WHEN 2 THEN array_join(concat(array(subj, pred), slice(o, 1, size(o) - 1)), ' ,, ')
+                  WHEN 3 THEN array_join(concat(array(subj, concat('not ### ', pred)), o), ' ,, ')
                   WHEN 4 THEN CAST(NULL AS STRING)
-                  ELSE concat_ws(' ,, ', subj, pred, o1, o2, o3) END AS h""")
+                  ELSE array_join(concat(array(subj, pred), o), ' ,, ') END AS h""")
     per_doc = per_line.groupBy("doc_id").agg(
-        F.expr("array_sort(collect_list(struct(k, v, g, h)))").alias("r"),
-        F.expr("min(CASE WHEN h IS NOT NULL THEN k END)").alias("k0"))
+        F.expr("array_sort(collect_list(CASE WHEN k > 0 THEN struct(k, v, g, h) END))").alias("r"),
+        F.expr("min(CASE WHEN k > 0 AND h IS NOT NULL THEN k END)").alias("k0"))
     return per_doc.selectExpr(
         "doc_id",
         r"""array_join(transform(r, x -> CASE WHEN x.k = 1 THEN x.g ELSE concat(CAST(x.k AS STRING), '. ', x.g) END),
