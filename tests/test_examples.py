@@ -33,7 +33,7 @@ def test_u17_u18_idents(spark):
 
 def test_global_index_is_consecutive_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(13)
-    got = with_index(df, ["k"], num_partitions=7).orderBy("idx").collect()
+    got = with_index(df, ["k"]).orderBy("idx").collect()
     assert [r.idx for r in got] == list(range(5000))
     assert [r.k for r in got] == sorted(r.k for r in got)
 

@@ -2,13 +2,10 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from tests.conftest import texts_df
 from tests.reference_loops import greedy as loop_greedy
 from tests.reference_loops import sentence as loop_sentence
 from tuplespark.operators.matching import greedy_match
-from tuplespark.operators.rowscore import score_sentence_row_sql
 from tuplespark.plans.evaluate import EvalConfig, evaluate, pair_scores, parse_sentences
 
 U7_GOLD = "ann ,, gave ,, the red book ,, to ### bob smith"
@@ -76,16 +73,6 @@ def test_evaluate_matches_brute_force(spark):
             assert sorted(r.levenshtein_dists) == want["dists"], (i, mode, g, p)
 
 
-def test_row_scorer_matches_relational(spark):
-    rng = random.Random(11)
-    rows = [(i, _random_text(rng, rng.randint(1, 4)), _random_text(rng, rng.randint(0, 4))) for i in range(40)]
-    s = parse_sentences(texts_df(spark, rows))
-    got = {r.doc_id: r.y for r in s.select("doc_id", F.expr(score_sentence_row_sql("gold", "pred")).alias("y")).collect()}
-    for i, g, p in rows:
-        want = loop_sentence(g, p)
-        assert abs(got[i].prec_num - want["prec_num"]) < 1e-9 and abs(got[i].rec_num - want["rec_num"]) < 1e-9
-
-
 def test_greedy_rounds_equal_fold(spark):
     """Hot groups go through locally-dominant rounds; result equals the fold."""
     rng = random.Random(3)

@@ -12,8 +12,11 @@ from tuplespark.operators.corpus import to_template
 from tuplespark.operators.generate import (first_words_generator, generate, pandas_lemmatizer, pandas_splitter,
                                            pandas_tokenizer, replay)
 from tuplespark.operators.distance import sentence_distances
-from tuplespark.operators.sentences import split_sentences
+from tuplespark.operators.sentences import read_chunks, split_sentences, write_chunks
+from tuplespark.operators.indexing import with_index
 from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences
+from tuplespark.plans.predict import predict_chunks
+from tuplespark.plans.queries import QUERIES
 from tuplespark.session import scratch_path
 from tuplespark.sources import corpus as C
 
@@ -94,4 +97,51 @@ def test_lemmas_change_matching(spark):
 
 def test_stand_in_generator_reply(spark):
     fn = first_words_generator()
-    assert fn(["...Extract a list of open relation triples from the following sentence: A b c d\n<|assistant|>"]) == ["A ,, b ,, c"]
+    assert fn(["...Extract a list of open relation triples from the following sentence: A b c d\n<|assistant|>"]) == ["A ,, b ,, c d"]
+
+
+def test_line_numbers_follow_files_and_split_files(spark, tmp_path):
+    sizes = [400, 3, 0, 77]
+    for k, n in enumerate(sizes):
+        (tmp_path / f"part-{k}.tsv").write_text("".join(f"s{k}-{i}\tp\ta\n" for i in range(n)))
+    want = [f"s{k}-{i}" for k, n in enumerate(sizes) for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        df = C.read_gold_tsv(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > len(sizes)
+        assert [r.sent for r in sorted(df.collect(), key=lambda r: r.line_no)] == want
+        assert sorted(r.line_no for r in df.collect()) == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_chunks_are_pruned_and_rerun_alone(spark):
+    base = scratch_path(spark, "test-chunks")
+    docs = spark.range(25).selectExpr("id", "concat('One two three four ', id, '.') AS text")
+    write_chunks(docs, base + "/c", ["id"], size=10)
+    plan = read_chunks(spark, base + "/c", 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chunk_id" in plan and read_chunks(spark, base + "/c", 1, 1).count() == 10
+    predict_chunks(spark, base + "/c", base + "/f", first_words_generator, last=1)
+    predict_chunks(spark, base + "/c", base + "/f", first_words_generator, first=2)
+    predict_chunks(spark, base + "/c", base + "/f", first_words_generator, first=2)
+    facts = spark.read.parquet(base + "/f")
+    assert {r.chunk_id: r["count"] for r in facts.groupBy("chunk_id").count().collect()} == {0: 10, 1: 10, 2: 5}
+
+
+def test_index_moves_keys_only_and_numbers_repeats(spark):
+    df = spark.createDataFrame([(i % 7 if i % 7 else None, "payload" * 3) for i in range(50)], "k long, payload string")
+    got = [(r.idx, r.k) for r in with_index(df, ["k"]).collect()]
+    order = sorted(((r.k is not None, r.k or 0) for r in df.collect()))
+    assert [(k is not None, k or 0) for _, k in sorted(got, key=lambda x: x[0])] == order and sorted(i for i, _ in got) == list(range(50))
+    keys = [(r.idx, r.k) for r in with_index(df.select("k"), ["k"]).collect()]
+    assert sorted(i for i, _ in keys) == list(range(50))
+    wide = spark.range(30).selectExpr("id", "repeat('x', 50) AS payload")
+    assert {r.id: r.idx for r in with_index(wide, ["id"]).collect()} == {i: i for i in range(30)}
+
+
+def test_blocking_join_moves_no_arrays(spark, sf001):
+    plan = QUERIES["candidate_pairs"](spark, sf001)._jdf.queryExecution().optimizedPlan().toString()
+    join = [line for line in plan.split("\n") if "Join Inner" in line]
+    scan = [line for line in plan.split("\n") if line.strip(" :+-").startswith("Project") and "__pw" in line]
+    assert join and scan and not any("tuple" in line.split("[", 1)[1] for line in scan)

@@ -26,4 +26,4 @@ def test_generator_runs_from_another_directory():
     cwd = tempfile.mkdtemp(prefix="tuplespark-cwd-")
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     res = subprocess.run([sys.executable, "-c", SCRIPT], cwd=cwd, env=env, capture_output=True, text=True, timeout=300)
-    assert "RESULT ['', 'a ,, b ,, c']" in res.stdout, res.stderr[-2000:]
+    assert "RESULT ['', 'a ,, b ,, c d']" in res.stdout, res.stderr[-2000:]

@@ -15,9 +15,10 @@ def words(x: str) -> str:
 
 
 def overlap(a: str, b: str) -> str:
-    """Size of the multiset intersection of two word arrays."""
-    return (f"aggregate(array_distinct({a}), 0, (acc_o, u_o) -> acc_o + least("
-            f"size(filter({a}, x_o -> x_o = u_o)), size(filter({b}, y_o -> y_o = u_o))))")
+    """Size of the multiset intersection of two word arrays: per common word,
+    the smaller of its two counts (what ``array_remove`` takes away)."""
+    return (f"aggregate(array_intersect({a}, {b}), 0, (acc_o, u_o) -> acc_o + least("
+            f"size({a}) - size(array_remove({a}, u_o)), size({b}) - size(array_remove({b}, u_o))))")
 
 
 def dbl(v: float) -> str:

@@ -47,7 +47,7 @@ def with_index(df: DataFrame, order: list[str], out: str = "idx", partition: lis
     named = [F.col(k).alias(c) for c, k in zip(order, keys, strict=True)]
     if set(df.columns) == set(order):
         number = F.explode(F.sequence("__first", F.col("__first") + F.col("__n") - 1)) if repeats else F.col("__first")
-        return first.select(*named, number.cast("bigint").alias(out)).select(*df.columns, out)
+        return first.select(*named, number.alias(out)).select(*df.columns, out)
     same = [df[c].eqNullSafe(first[k]) for c, k in zip(order, keys, strict=True)]
     joined = df.join(first, same)
     if repeats:

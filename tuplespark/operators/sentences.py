@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuplespark import constants as K
@@ -44,3 +44,20 @@ def chunk_slice(df: DataFrame, order: list[str], chunk: int | None = None,
     if chunk is not None:
         out = out.where(F.col("chunk_id") == chunk)
     return out
+
+
+def write_chunks(df: DataFrame, path: str, order: list[str], size: int = K.CHUNK_SIZE, mode: str = "overwrite") -> None:
+    """SRC-5: the corpus in chunks of ``size`` rows, one folder per chunk, so
+    that reading some chunks opens only their files. Numbering moves the order
+    keys only; rows move once, to the task that writes their chunk."""
+    chunks = chunk_slice(df, order, size=size)
+    chunks.repartition("chunk_id").write.mode(mode).partitionBy("chunk_id").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Chunks ``first .. last`` of a corpus written by ``write_chunks`` (a
+    partition filter: other chunks are not opened)."""
+    df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where(F.col("chunk_id") >= first)
+    return df if last is None else df.where(F.col("chunk_id") <= last)

@@ -133,7 +133,7 @@ PRED_FIRST = f"array_to_string(list_concat([{PRED_TEXT}, subj], list_transform(o
 GREC = f"""
 grec AS (SELECT 'sentence ' || doc_id AS sent, {PRED_TEXT} AS pred,
                 list_concat([subj], list_transform(objs, {OBJ_TEXT})) AS args,
-                doc_id * 100 + tidx AS line_no FROM g)
+                doc_id * 1000000 + tidx AS line_no FROM g)
 """
 
 GOLD_REPLIES = f"""
@@ -284,11 +284,17 @@ PLAIN = ("trim(subj || ' ' || CASE WHEN len(auxi) > 0 THEN array_to_string(auxi,
          "|| ' ' || array_to_string(list_transform({objs}, lambda o: o.prep || ' ' || o.obj), ' '), ' ')")
 
 
-def _words_cte(name: str, src: str, idx: str) -> str:
+def LEM(x: str) -> str:
+    """Whitespace words without the last ``s`` of the longer ones."""
+    return (f"list_transform({W(x)}, lambda v: CASE WHEN length(v) > 3 AND suffix(v, 's') "
+            f"THEN substr(v, 1, length(v) - 1) ELSE v END)")
+
+
+def _words_cte(name: str, src: str, idx: str, W1=W) -> str:
     return f"""
-{name} AS (SELECT doc_id, tidx AS {idx}, subj, pred, auxi, objs, {W('subj')} AS subj_w, {W('pred')} AS pred_w,
-   list_transform(auxi, lambda a: {W('a')}) AS aux_w,
-   list_transform(objs, lambda o: {W("o.prep || ' ' || o.obj")}) AS obj_w,
+{name} AS (SELECT doc_id, tidx AS {idx}, subj, pred, auxi, objs, {W1('subj')} AS subj_w, {W1('pred')} AS pred_w,
+   list_transform(auxi, lambda a: {W1('a')}) AS aux_w,
+   list_transform(objs, lambda o: {W1("o.prep || ' ' || o.obj")}) AS obj_w,
    len(objs) AS n_objs, {W(PLAIN.format(objs='objs'))} AS tok,
    {W("concat_ws(' ', subj, array_to_string(auxi, ' '), pred)")} AS h,
    list_transform(objs, lambda o: {W("o.prep || ' ' || o.obj")}) AS os FROM {src})"""
@@ -511,7 +517,8 @@ SELECT CAST(doc_id AS BIGINT) AS sidx, 'sentence ' || doc_id AS sent, tidx, {FLA
 """
 
 ORACLE["src_gold_tsv"] = with_ctes(*GOLD, GREC) + """
-SELECT sent, pred, array_to_string(args, ' | ') AS args, CAST(len(args) AS BIGINT) AS n_args FROM grec
+SELECT sent, pred, array_to_string(args, ' | ') AS args, CAST(len(args) AS BIGINT) AS n_args,
+       row_number() OVER (ORDER BY line_no) - 1 AS line_no FROM grec
 """
 
 ORACLE["src_sentences"] = with_ctes(SENTS) + "SELECT CAST(doc_id AS VARCHAR) AS articleId, lineId, s FROM sents"
@@ -682,8 +689,8 @@ SELECT doc_id, lineId, CAST((row_number() OVER (ORDER BY doc_id, lineId) - 1) //
 
 STUB_REPLY = f"""
 gen AS (SELECT doc_id * 100000 + lineId AS doc_id, CAST(doc_id AS VARCHAR) || '_' || lineId AS ident,
-   CASE WHEN len({W('s')}) >= 3 THEN {W('s')}[1] || ' ,, ' || {W('s')}[2] || ' ,, ' || {W('s')}[3] ELSE '' END AS output
- FROM sents)"""
+   CASE WHEN len({W('s')}) >= 3 THEN {W('s')}[1] || ' ,, ' || {W('s')}[2] || ' ,, ' || array_to_string({W('s')}[3:], ' ') ELSE '' END AS output,
+   len({W('s')}) AS n_words, doc_id AS article FROM sents)"""
 
 ORACLE["generate_batch"] = with_ctes(SENTS, STUB_REPLY) + "SELECT ident, output, CAST(NULL AS VARCHAR) AS error FROM gen"
 
@@ -750,3 +757,62 @@ SELECT 'run-0' AS run_id, CAST(n AS BIGINT) AS n_sentences, round(p, 6) AS micro
        round((1 + 0.25) * p * r / (0.25 * p + r), 6) AS micro_f_beta
 FROM (SELECT count(*) AS n, sum(prec_num) / sum(prec_den) AS p, sum(rec_num) / sum(rec_den) AS r FROM sscore3)
 """
+
+
+# ---------------------------------------------------------------------------
+# M8: lemmas in scoring, chunked runs, failing generators, few-shot prompts, further sinks
+# ---------------------------------------------------------------------------
+
+LEMMA_CTES = [*SCORE_CTES[:3], _words_cte("gw", "g", "gidx", LEM), _words_cte("pw", "pr", "pidx", LEM), *SCORE_CTES[5:]]
+
+for _name in ("evaluate_lemmas", "evaluate_lemmatizer"):
+    ORACLE[_name] = with_ctes(*LEMMA_CTES, GREEDY_P) + SENT_SCORES + """
+SELECT doc_id, round(prec, 6) AS prec, round(rec, 6) AS rec, round(f_score, 6) AS f_score FROM sscore3
+"""
+
+ORACLE["evaluate_tokenizer"] = ORACLE["distance_histogram_pairwise"]
+
+ORACLE["split_plugin"] = """
+SELECT doc_id, CAST(generate_subscripts(ss, 1) - 1 AS BIGINT) AS lineId, unnest(ss) AS s
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM documents)
+"""
+
+ORACLE["predict_chunk"] = with_ctes(SENTS, STUB_REPLY, parse_cte("pt", "gen", "output")) + f"""
+SELECT c.chunk_id, gen.ident, pt.tidx AS factId, {linearize_sql('pt.')} AS text
+FROM pt JOIN gen ON gen.doc_id = pt.doc_id
+JOIN (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS chunk_id FROM documents) c ON c.doc_id = gen.article
+"""
+
+ORACLE["generate_errors"] = with_ctes(SENTS, STUB_REPLY) + """
+SELECT ident, CASE WHEN n_words <= 20 THEN output END AS output,
+       CASE WHEN n_words > 20 THEN 'ValueError: sentence too long' END AS error FROM gen
+"""
+
+
+def _shots_sql(examples: list) -> str:
+    turns = [("system", lit(K.SYSTEM_INSTRUCTION))]
+    for s, o in examples:
+        turns += [("user", lit(K.USER_PREFIX + s)), ("assistant", lit(o))]
+    turns.append(("user", f"{lit(K.USER_PREFIX)} || s"))
+    text = " || ".join(f"'<|{role}|>' || chr(10) || {content} || chr(10)" for role, content in turns)
+    return with_ctes(SENTS) + f"""
+SELECT doc_id, lineId, CAST({len(turns)} AS BIGINT) AS n_messages, md5({text} || '<|assistant|>' || chr(10) || '1. ') AS prompt_check FROM sents
+"""
+
+
+ORACLE["build_messages_train"] = _shots_sql(K.FEW_SHOT_TRAIN)
+ORACLE["build_messages_test"] = _shots_sql(K.FEW_SHOT_TEST)
+
+ORACLE["sink_template"] = with_ctes(*GOLD, GREC) + """
+SELECT sent, pred, args[1] AS subj, '' AS obj0_prep, coalesce(args[2], '') AS obj0_obj, '' AS obj1_prep, coalesce(args[3], '') AS obj1_obj,
+  '' AS obj2_prep, coalesce(args[4], '') AS obj2_obj, '' AS auxilliary FROM grec
+"""
+
+ORACLE["sink_facts"] = with_ctes(OIE_PAIRS, parse_cte("pr", "oie_pairs", "pred_str")) + f"""
+SELECT CASE WHEN {BUCKET.format(k='doc_id')} = 0 THEN 'test1' ELSE 'test2' END AS subset, CAST(doc_id AS VARCHAR) AS articleId,
+  tidx AS factId, {linearize_sql()} AS text, subj, objs[1].obj AS obj1, CAST(len(objs) AS BIGINT) AS n_objs FROM pr
+"""
+
+ORACLE["sink_ordered"] = with_ctes(OIE_PAIRS) + """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, doc_id || '_0' AS idents FROM oie_pairs
+"""

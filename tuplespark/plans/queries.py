@@ -102,7 +102,7 @@ def gold_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"),
         pred_text(t).alias("pred"),
         F.concat(F.array(t["subj"]), F.transform(t["objs"], obj_text)).alias("args"),
-        (F.col("doc_id") * 100 + F.col("tidx")).alias("line_no"))
+        (F.col("doc_id") * 1000000 + F.col("tidx")).alias("line_no"))
 
 
 def gold_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,11 +439,12 @@ def q_src_annotated(spark, sf_dir):
 
 @query("src_gold_tsv")
 def q_src_gold_tsv(spark, sf_dir):
+    """Records over several files, read back with their place in file order."""
     path = scratch_path(spark, "gold-tsv")
-    C.write_gold_tsv(gold_records(spark, sf_dir), path)
+    C.write_gold_tsv(gold_records(spark, sf_dir), path, order_by=["line_no"])
     back = C.read_gold_tsv(spark, path, drop_empty=True)
     return back.select("sent", "pred", F.array_join("args", " | ").alias("args"),
-                       F.size("args").cast("bigint").alias("n_args"))
+                       F.size("args").cast("bigint").alias("n_args"), "line_no")
 
 
 @query("src_sentences")
@@ -590,10 +591,10 @@ def _vocab_input(ex):
     return ex.select(F.concat("prompt_tok", "target_tok").alias("tok"))
 
 
-def encoded_examples(spark, sf_dir, min_count=1):
+def encoded_examples(spark, sf_dir, min_count=1, max_length=MAX_LENGTH):
     ex = materialize(example_texts(spark, sf_dir))
     vocab = build_vocab(_vocab_input(ex), "tok", min_count=min_count)
-    return encode(ex, ["doc_id"], ["prompt_tok", "target_tok"], vocab, ["prompt_ids", "target_ids"])
+    return encode(ex, ["doc_id"], ["prompt_tok", "target_tok"], vocab, ["prompt_ids", "target_ids"], max_length=max_length)
 
 
 @query("build_vocab")
@@ -604,7 +605,7 @@ def q_build_vocab(spark, sf_dir):
 
 @query("encode_tokens")
 def q_encode_tokens(spark, sf_dir):
-    enc = encoded_examples(spark, sf_dir, min_count=2)
+    enc = encoded_examples(spark, sf_dir, min_count=2, max_length=None)
     return enc.select("doc_id", F.size("prompt_ids").cast("bigint").alias("n_ids"),
                       count_value(F.col("prompt_ids"), K.UNK_ID).cast("bigint").alias("n_unk"),
                       checksum(F.col("prompt_ids")).alias("id_check"),
@@ -729,10 +730,11 @@ def q_attach_gold_audit(spark, sf_dir):
 
 
 def lemma_dictionary(spark, sf_dir):
-    """A ``(word, lemma)`` table derived from the gold words: plural-looking
-    words (longer than 3, ending in ``s``) map to the word without the ``s``."""
-    g = gold_tuples(spark, sf_dir)
-    w = explode_rows(g.select(words(render_plain(F.col("t"))).alias("w")), [], "w", "word").distinct()
+    """A ``(word, lemma)`` table derived from the words of both texts:
+    plural-looking words (longer than 3, ending in ``s``) map to the word
+    without the ``s``."""
+    both = oie_pairs(spark, sf_dir).select(words(F.lower(F.concat_ws(" ", "gold_str", "pred_str"))).alias("w"))
+    w = explode_rows(both, [], F.array_distinct("w"), "word").distinct()
     return w.where((F.length("word") > 3) & F.col("word").endswith("s")) \
             .select("word", F.expr("substring(word, 1, length(word) - 1)").alias("lemma"))
 
@@ -789,10 +791,140 @@ def q_stream_totals(spark, sf_dir):
     base = scratch_path(spark, "stream-totals")
     pairs = oie_pairs(spark, sf_dir).withColumn("run_id", F.lit("run-0"))
     pairs.repartition(4, "doc_id").write.mode("overwrite").json(base + "/in")
-    STR.stream_totals(spark, base + "/in", base + "/out", base + "/ckpt", max_files=1)
-    t = spark.read.parquet(base + "/out")
+    STR.stream_totals(spark, base + "/in", base + "/out", base + "/ckpt", max_files=2)
+    t = STR.read_totals(spark, base + "/out")
     p = F.try_divide(F.col("prec_num"), F.col("prec_den").cast("double"))
     r = F.try_divide(F.col("rec_num"), F.col("rec_den").cast("double"))
     return t.select("run_id", F.col("n_sentences").cast("bigint").alias("n_sentences"),
                     _r6(p).alias("micro_prec"), _r6(r).alias("micro_rec"),
                     _r6(F.try_divide(1.25 * p * r, 0.25 * p + r)).alias("micro_f_beta"))
+
+
+# ---------------------------------------------------------------------------
+# M8: lemmas in scoring, chunked runs, failing generators, few-shot prompts, further sinks
+# ---------------------------------------------------------------------------
+from tuplespark.operators.corpus import subset  # noqa: E402
+from tuplespark.operators.generate import pandas_lemmatizer, pandas_splitter, pandas_tokenizer  # noqa: E402
+from tuplespark.operators.sentences import write_chunks  # noqa: E402
+
+
+def without_s(word: str) -> str:
+    """A lemma rule for tests: the last ``s`` of longer words goes."""
+    return word[:-1] if len(word) > 3 and word.endswith("s") else word
+
+
+def _scores_only(spark, sf_dir, cfg):
+    s = _sents(spark, sf_dir)
+    ss = sentence_scores(s, materialize(pair_scores_of(s, cfg=cfg)), beta=BETA)
+    return ss.select("doc_id", *[_r6(F.col(c)).alias(c) for c in ("prec", "rec", "f_score")])
+
+
+from tuplespark.plans.evaluate import pair_scores as pair_scores_of  # noqa: E402
+
+
+@query("evaluate_lemmas")
+def q_evaluate_lemmas(spark, sf_dir):
+    """JON-4 in scoring: words compared by their lemmas from a table."""
+    return _scores_only(spark, sf_dir, EvalConfig(lemmas=lemma_dictionary(spark, sf_dir)))
+
+
+@query("evaluate_lemmatizer")
+def q_evaluate_lemmatizer(spark, sf_dir):
+    """UDF-3 in scoring: a plug-in asked once per distinct word."""
+    return _scores_only(spark, sf_dir, EvalConfig(lemmatizer=pandas_lemmatizer(without_s)))
+
+
+@query("evaluate_tokenizer")
+def q_evaluate_tokenizer(spark, sf_dir):
+    """UDF-2 in the distances: a plug-in tokenizer over the parts of tuples."""
+    d = sentence_distances(_sents(spark, sf_dir), tokenizer=pandas_tokenizer(str.split))
+    return distance_histogram(d)
+
+
+@query("split_plugin")
+def q_split_plugin(spark, sf_dir):
+    """UDF-4: sentences from a plug-in splitter (here: lines)."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
+    return split_sentences(docs, splitter=pandas_splitter(lambda t: t.split("\n"))).select(
+        "doc_id", F.col("lineId").cast("bigint").alias("lineId"), "s")
+
+
+@query("predict_chunk")
+def q_predict_chunk(spark, sf_dir):
+    """SRC-5 + SNK-5: the corpus in chunks of 128 documents, run in two ranges
+    of chunks; the facts are read back from their chunk folders."""
+    base = scratch_path(spark, "chunks")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    write_chunks(docs, base + "/corpus", ["id"], size=128)
+    P.predict_chunks(spark, base + "/corpus", base + "/facts", first_words_generator, last=0)
+    P.predict_chunks(spark, base + "/corpus", base + "/facts", first_words_generator, first=1)
+    f = spark.read.parquet(base + "/facts")
+    return f.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "ident", F.col("factId").cast("bigint").alias("factId"), "text")
+
+
+def failing_generator():
+    """The stand-in generator, but a batch with a long or short sentence fails."""
+    fn = first_words_generator()
+
+    def run(prompts):
+        sizes = [len(p.split(K.USER_PREFIX)[-1].split("\n")[0].split()) for p in prompts]
+        if max(sizes) > 20:
+            raise ValueError("sentence too long")
+        return fn(prompts)
+    return run
+
+
+@query("generate_errors")
+def q_generate_errors(spark, sf_dir):
+    """UDF-1 with a generator that fails on some sentences: each distinct
+    prompt is asked once, and only the failing rows carry an error."""
+    g = generate(P.prompts(_docs_in(spark, sf_dir)), "prompt", failing_generator, out="output", batch=64, tries=1,
+                 pause=0.0, distinct=True)
+    return g.select("ident", "output", "error")
+
+
+def _shots(spark, sf_dir, shots):
+    msgs = build_messages(sentences(spark, sf_dir), "s", shots=shots)
+    return msgs.select("doc_id", F.col("lineId").cast("bigint").alias("lineId"), F.size("messages").cast("bigint").alias("n_messages"),
+                       F.md5(render_messages(F.col("messages"))).alias("prompt_check"))
+
+
+@query("build_messages_train")
+def q_build_messages_train(spark, sf_dir):
+    return _shots(spark, sf_dir, "train")
+
+
+@query("build_messages_test")
+def q_build_messages_test(spark, sf_dir):
+    return _shots(spark, sf_dir, "test")
+
+
+@query("sink_template")
+def q_sink_template(spark, sf_dir):
+    """SNK-3: annotation templates written and read back as JSON."""
+    path = scratch_path(spark, "template")
+    C.write_template(to_template(gold_records(spark, sf_dir)), path)
+    pair = "ARRAY<STRING>"
+    back = spark.read.schema(f"sent STRING, pred STRING, subj STRING, obj0 {pair}, obj1 {pair}, obj2 {pair}, auxilliary STRING").json(path)
+    return back.select("sent", "pred", "subj", *[F.col(f"obj{i}")[k].alias(f"obj{i}_{n}") for i in range(3) for k, n in enumerate(("prep", "obj"))],
+                       "auxilliary")
+
+
+@query("sink_facts")
+def q_sink_facts(spark, sf_dir):
+    """SNK-5 / SPL-2: the fact table partitioned by subset, read subset by subset."""
+    path = scratch_path(spark, "facts")
+    named = seeded_split(facts(spark, sf_dir), F.col("articleId")).withColumn(
+        "subset", F.when(F.col("bucket") == 0, F.lit("test1")).otherwise(F.lit("test2"))).drop("bucket")
+    C.write_facts(named, path, partition_by=["subset"])
+    back = spark.read.parquet(path)
+    return subset(back, "test1").unionByName(subset(back, "test2")).select("subset", "articleId", "factId", "text", "subj", "obj1", "n_objs")
+
+
+@query("sink_ordered")
+def q_sink_ordered(spark, sf_dir):
+    """ORD-1: predictions written in request order; their place in the files."""
+    path = scratch_path(spark, "ordered")
+    C.write_predictions(predictions(spark, sf_dir).withColumn("idx", F.expr("CAST(split(idents, '_')[0] AS BIGINT)")), path, order_by=["idx"])
+    lines = C.read_lines(spark, path)
+    return lines.select("line_no", F.get_json_object("value", "$.idents").alias("idents"))
