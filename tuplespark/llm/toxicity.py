@@ -140,10 +140,14 @@ def decode(token: str, logp: np.ndarray) -> str:
     return max((score + float(logp[a, b, EDGE]), text) for (a, b), (score, text) in best.items())[1]
 
 
+#: Entries of the caches that a task keeps; they bound memory only, not results.
+REMEMBER = 60_000
+
+
 class Restorer:
     """Restored words of tokens, remembered up to a bound."""
 
-    def __init__(self, logp: np.ndarray, remember: int = 200_000):
+    def __init__(self, logp: np.ndarray, remember: int = REMEMBER):
         self.logp, self.remember, self.known = logp, remember, {}
 
     def words(self, token: str) -> tuple[str, ...]:
@@ -167,8 +171,9 @@ class Restorer:
         low = (text or "").lower()
         tokens = Counter(low.split())
         out: dict[str, int] = {}
+        known = self.known.get
         for token, n in tokens.items():
-            for w in self.words(token):
+            for w in known(token) or self.words(token):
                 out[w] = out.get(w, 0) + n
         for m in SPACED.finditer(low):
             for w in decode(m.group(0), self.logp).split():
@@ -179,7 +184,7 @@ class Restorer:
 
 def forms(word: str) -> list[str]:
     """Lexicon forms of a word: its beginnings and, marked by a stop, itself."""
-    return [word[:k] for k in (4, 5, 6, 7) if len(word) >= k] + [word[:40] + "."]
+    return [word[:k] for k in (4, 5, 6, 7) if len(word) >= k] + [word + "."]
 
 
 MEASURES = 8
@@ -191,7 +196,7 @@ def measures(words: dict[str, int], n: int, lexicon: dict[str, float], known: di
     for w, k in words.items():
         weight = known.get(w)
         if weight is None:
-            if len(known) >= 200_000:
+            if len(known) >= REMEMBER:
                 known.clear()
             weight = known[w] = max((lexicon[f] for f in forms(w) if f in lexicon), default=0.0)
         if weight:
@@ -237,6 +242,19 @@ class Model:
         return score
 
 
+def _stretches(texts: pd.Series, rows: int = 1000, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of at most ``rows`` texts and, but for a longer single text, ``chars`` characters."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if i > start and (i - start >= rows or total + size > chars):
+            yield start, i
+            start, total = i, 0
+        total += size
+    if len(texts) > start:
+        yield start, len(texts)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           least_rows: int = 4, least_ratio: float = 4.0) -> Model:
     """Counts and fits the model from all documents and the labelled folds."""
@@ -251,12 +269,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(held.value)
         for part in parts:
-            for at in range(0, len(part), 1000):
+            for at, end in _stretches(part["text"]):
                 seen: list[Counter] = [Counter(), Counter()]
                 uses: list[Counter] = [Counter(), Counter()]
                 often: list[Counter] = [Counter(), Counter()]
                 known: dict[str, list[str]] = {}
-                for text, y in zip(part["text"][at:at + 1000], part["y"][at:at + 1000]):
+                for text, y in zip(part["text"][at:end], part["y"][at:end]):
                     words, n = restorer.counts(text)
                     own = {""}
                     for w, k in words.items():
