@@ -141,7 +141,7 @@ def decode(token: str, logp: np.ndarray) -> str:
 
 
 #: Entries of the caches that a task keeps; they bound memory only, not results.
-REMEMBER = 60_000
+REMEMBER = 200_000
 
 
 class Restorer:
