@@ -52,15 +52,20 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text), k))
 
 
-def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least value of each universal hash ``a * x + b`` (high 32 bits) over the
-    set, 4096 members at a time so that long texts need no large matrix."""
-    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at:at + 4096]
+def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least value of each universal hash ``a * x + b`` (high 32 bits) over
+    each of the non-empty sets: one row a set. A function runs over 16,384
+    members of consecutive sets at a time, whatever their number and lengths."""
+    flat, ends = np.concatenate(sets), np.cumsum([len(s) for s in sets])
+    starts = np.concatenate([[0], ends[:-1]])
+    out = np.zeros((len(a), len(sets)), np.uint64)
+    for at in range(0, len(flat), 16384):
+        part = flat[at:at + 16384]
+        lo, hi = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(part))
+        cuts = np.maximum(starts[lo:hi] - at, 0)
         for j in range(len(a)):
-            out[j] = min(out[j], int((part * a[j] + b[j]).max() >> U(32)) ^ 0xFFFFFFFF)
-    return out
+            np.maximum(out[j, lo:hi], np.maximum.reduceat(part * a[j] + b[j], cuts), out=out[j, lo:hi])
+    return (out >> U(32)).astype(np.uint32).T ^ np.uint32(0xFFFFFFFF)
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +73,32 @@ def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
-def _signer(k: int, bands: int, rows: int):
+def _signer(k: int, bands: int, rows: int, members: int = 1 << 18):
+    """Signs the texts of a batch in stretches of some ``members`` shingles."""
+    def stretch(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        m = minima(sets, a, b)
+        grid = m.reshape(len(sets), bands, rows).astype(np.uint64)
+        band = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
+        for j in range(rows):
+            band = mix(band * U(0x9FB21C651E98DF25) + grid[:, :, j])
+        low = (m & np.uint32(255)).astype(np.uint8)
+        return [(len(s), xxhash.xxh3_128_digest(s.tobytes()), band[i].view(np.int64), low[i].tobytes()) for i, s in enumerate(sets)]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _family(bands * rows)
         for part in parts:
-            out = []
-            for text in part["text"]:
+            out: list[tuple] = [(0, b"", np.zeros(0, np.int64), b"")] * len(part)
+            held, places, size = [], [], 0
+            for i, text in enumerate(part["text"]):
                 s = shingle_set(text, k)
-                if not len(s):
-                    out.append((0, b"", np.zeros(0, np.int64), b""))
-                    continue
-                m = minima(s, a, b)
-                grid = m.reshape(bands, rows).astype(np.uint64)
-                band = np.arange(bands, dtype=np.uint64)
-                for j in range(rows):
-                    band = mix(band * U(0x9FB21C651E98DF25) + grid[:, j])
-                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band.view(np.int64), (m & np.uint32(255)).astype(np.uint8).tobytes()))
+                if len(s):
+                    held.append(s)
+                    places.append(i)
+                    size += len(s)
+                if held and (size >= members or i + 1 == len(part)):
+                    for at, row in zip(places, stretch(held, a, b)):
+                        out[at] = row
+                    held, places, size = [], [], 0
             yield pd.DataFrame({"id": part["id"], "n_shingles": [o[0] for o in out], "set_key": [o[1] for o in out],
                                 "bands": [o[2] for o in out], "sig": [o[3] for o in out]})
     return run
