@@ -5,17 +5,25 @@
    universal hash minima, and the low byte of each minimum (the signature).
 2. Rows with equal sets form a class; its least doc_id stands for it. Copies
    never enter the pair search.
-3. Class representatives meet in band buckets. A round picks centres in every
-   bucket that still holds several components (1, 4, 16, .. per bucket) and
-   tests them against the bucket's members of *other* components only:
-   size filter, signature estimate, then exact similarity on the full sets.
-   Verified links go through alternating large-star/small-star. A centre has
-   been tested against its whole bucket and leaves it; a bucket is finished
-   when its remaining members are in one component. So every pair that shares
-   a bucket is either in one component or was compared: nothing is capped, and
-   a group of thousands of near copies costs a few pairs per member instead of
-   all pairs.
-4. The component's least doc_id is its id; the document carrying it stays.
+3. Class representatives meet in band buckets. Of each one that shares a
+   bucket, the shingles that no other one holds are counted (one aggregation
+   over shingles). Those cannot be common to any pair, so with ``c`` common
+   shingles of ``n`` the similarity of u and v is at most
+   ``m / (n_u + n_v - m)``, m the smaller c. Texts that fall below the
+   threshold by themselves leave; pairs that do are never made. The bound is
+   exact: it loses no link.
+4. A round picks centres in every bucket that still holds several components
+   (1, 4, 16, .. per bucket, those with the largest common share first) and
+   tests them against the bucket's members of *other* components only: bound,
+   signature estimate, then exact similarity on the full sets. Verified links
+   go through alternating large-star/small-star. A centre has been tested
+   against its whole bucket and leaves it; a bucket is finished when its
+   remaining members are in one component. So every pair that shares a bucket
+   is in one component, ruled out by the bound, or was compared: nothing is
+   capped. A group of thousands of edited copies costs a few pairs per member;
+   only texts that share most shingles with others of the group, differently
+   each time, are compared pair by pair.
+5. The component's least doc_id is its id; the document carrying it stays.
 
 With 28 bands of 5 rows a pair at 85 % similarity shares no bucket with a
 probability of 8e-8, and its signature falls below the estimate's margin (five
@@ -104,6 +112,13 @@ def _signer(k: int, bands: int, rows: int, members: int = 1 << 18):
     return run
 
 
+def _shingles(k: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"rep": part["rep"], "shingles": [shingle_set(t, k).view(np.int64) for t in part["text"]]})
+    return run
+
+
 def _verifier(k: int, percent: int, least_equal: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -129,6 +144,13 @@ def sign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     return src.mapInPandas(_signer(k, bands, rows), SIGNED).select("id.doc_id", "n_shingles", "set_key", "bands", "sig")
 
 
+def _meeting(reps: DataFrame) -> DataFrame:
+    """A row ``band, key`` and the other columns for each bucket that holds several of ``reps``."""
+    entries = reps.select(*[c for c in reps.columns if c != "bands"], F.posexplode("bands").alias("band", "key"))
+    shared = entries.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    return entries.join(shared.select("band", "key"), ["band", "key"])
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                     bands: int = 28, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept, n_links`` per row.
@@ -140,13 +162,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = "doc_id IS NOT NULL AND n_shingles > 0"
     classes = stored(signed.where(linked).groupBy("set_key").agg(
         F.min("doc_id").alias("class_id"), F.max_by(F.struct("bands", "sig", "n_shingles"), F.lit(0)).alias("one")), "classes")
-    reps = classes.select(F.col("class_id").alias("rep"), "one.*")
-    entries = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = stored(entries.join(shared.select("band", "key"), ["band", "key"]).select("band", "key", "rep", "n_shingles"), "members")
-    wanted = members.select("rep").distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
+    reps = classes.select(F.col("class_id").alias("rep"), "set_key", "one.*")
+    wanted = stored(_meeting(reps.select("rep", "set_key", "bands")).select("rep", "set_key").distinct(), "wanted")
+    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(
+        wanted.select("rep").distinct(), "rep", "left_semi")
     texts = stored(texts.join(reps.select("rep", "sig"), "rep"), "texts")
+    shingles = texts.select("rep", "text").mapInPandas(_shingles(k), "rep long, shingles array<long>")
+    alone = shingles.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi").groupBy("rep").agg(F.count(F.lit(1)).alias("n_alone"))
+    # A doc_id with several sets counts all its shingles as common, so that the bound holds for each of them.
+    one_set = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("rep")
+    live = reps.join(wanted.select("set_key"), "set_key", "left_semi").join(alone.join(one_set, "rep", "left_semi"), "rep", "left")
+    live = live.withColumn("n_common", F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))).where(
+        100 * F.col("n_common") >= percent * F.col("n_shingles"))
+    members = stored(_meeting(live.select("rep", "n_shingles", "n_common", "bands")), "members")
 
     links = spark.createDataFrame([], "u long, v long")
     # Rows that share a doc_id are one document: their classes are linked through it.
@@ -167,11 +196,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if left.isEmpty():
             break
         spread = F.pmod(F.xxhash64("rep", F.lit(n_centres)), F.lit(n_centres))
+        # The same order in every bucket, so that a group's buckets agree on their centres.
+        first = F.struct(F.col("n_common") / F.col("n_shingles"), F.xxhash64("rep"))
         centres = left.groupBy("band", "key", spread.alias("part")).agg(
-            F.min_by(F.struct("rep", "root", "n_shingles"), F.xxhash64("rep", F.lit(-n_centres))).alias("c"))
+            F.max_by(F.struct("rep", "root", "n_shingles", "n_common"), first).alias("c"))
         centres = stored(centres.select("band", "key", F.col("c.rep").alias("c_rep"), F.col("c.root").alias("c_root"),
-                                        F.col("c.n_shingles").alias("c_n")), "centres")
-        near = (100 * F.least("c_n", "n_shingles") >= percent * F.greatest("c_n", "n_shingles")) & (F.col("root") != F.col("c_root"))
+                                        F.col("c.n_shingles").alias("c_n"), F.col("c.n_common").alias("c_common")), "centres")
+        both = F.least("n_common", "c_common")
+        near = (100 * both >= percent * (F.col("n_shingles") + F.col("c_n") - both)) & (F.col("root") != F.col("c_root"))
         pairs = left.join(centres, ["band", "key"]).where(near).select(
             F.least("rep", "c_rep").alias("u"), F.greatest("rep", "c_rep").alias("v")).distinct()
         side = lambda c: texts.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}"))
@@ -182,7 +214,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             old = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
             labels = components(old.unionByName(fresh))
         members = left.join(centres.select("band", "key", F.col("c_rep").alias("rep")), ["band", "key", "rep"], "left_anti").select(
-            "band", "key", "rep", "n_shingles")
+            "band", "key", "rep", "n_shingles", "n_common")
         n_centres *= 4
 
     links = reduce(DataFrame.unionByName, found).distinct()
