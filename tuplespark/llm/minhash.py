@@ -2,7 +2,7 @@
 
 1. One pass over the whole texts gives each row its distinct shingle set's
    size, a 128-bit key of the set, ``bands`` band hashes over ``bands * rows``
-   universal hash minima, and the low byte of each minimum (the signature).
+   universal hash minima, and the low four bits of each minimum (the signature).
 2. Rows with equal sets form a class; its least doc_id stands for it. Copies
    never enter the pair search.
 3. Class representatives meet in band buckets. Of each one that shares a
@@ -27,7 +27,7 @@
 
 With 28 bands of 5 rows a pair at 85 % similarity shares no bucket with a
 probability of 8e-8, and its signature falls below the estimate's margin (five
-standard deviations) with about 3e-7.
+standard deviations) with about 3e-7 (a binomial tail somewhat above it).
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. A text with fewer
 words than a shingle has its whole sequence as one shingle; texts without
@@ -48,11 +48,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuplespark.llm.common import ship_package, stored
+from tuplespark.llm.common import ship_package, small, stored
 from tuplespark.llm.components import components
 from tuplespark.llm.hashing import U, mix, shingle_hashes, word_hashes
 
-SIGNED = "id struct<doc_id: bigint>, n_shingles long, set_key binary, bands array<long>, sig binary"
+SIGNED = "id struct<doc_id: bigint>, n_shingles long, set_key binary, bands array<long>, sig array<long>"
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -76,6 +76,21 @@ def minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (out >> U(32)).astype(np.uint32).T ^ np.uint32(0xFFFFFFFF)
 
 
+def signatures(m: np.ndarray) -> np.ndarray:
+    """The low four bits of each minimum, sixteen to a long; places without a minimum are 0."""
+    wide = np.zeros((len(m), -(-m.shape[1] // 16) * 16), np.uint64)
+    wide[:, :m.shape[1]] = m & np.uint32(15)
+    return (wide.reshape(len(m), -1, 16) << (U(4) * np.arange(16, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def differing(x: str, y: str, total: int):
+    """Column: number of minima whose four bits differ between the signatures ``x`` and ``y``."""
+    def one(i: int) -> str:
+        d = f"({x}[{i}] ^ {y}[{i}])"
+        return f"bit_count(({d} | shiftright({d}, 1) | shiftright({d}, 2) | shiftright({d}, 3)) & 1229782938247303441L)"
+    return F.expr(" + ".join(one(i) for i in range(-(-total // 16))))
+
+
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(1))
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -89,13 +104,13 @@ def _signer(k: int, bands: int, rows: int, members: int = 1 << 18):
         band = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
         for j in range(rows):
             band = mix(band * U(0x9FB21C651E98DF25) + grid[:, :, j])
-        low = (m & np.uint32(255)).astype(np.uint8)
-        return [(len(s), xxhash.xxh3_128_digest(s.tobytes()), band[i].view(np.int64), low[i].tobytes()) for i, s in enumerate(sets)]
+        sig = signatures(m)
+        return [(len(s), xxhash.xxh3_128_digest(s.tobytes()), band[i].view(np.int64), sig[i]) for i, s in enumerate(sets)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _family(bands * rows)
         for part in parts:
-            out: list[tuple] = [(0, b"", np.zeros(0, np.int64), b"")] * len(part)
+            out: list[tuple] = [(0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(part)
             held, places, size = [], [], 0
             for i, text in enumerate(part["text"]):
                 s = shingle_set(text, k)
@@ -119,15 +134,13 @@ def _shingles(k: int):
     return run
 
 
-def _verifier(k: int, percent: int, least_equal: int):
+def _verifier(k: int, percent: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             keep, last, held = [], None, None
-            for u, v, sa, sb, ta, tb in zip(part["u"], part["v"], part["sig_u"], part["sig_v"], part["text_u"], part["text_v"]):
-                if (np.frombuffer(sa, np.uint8) == np.frombuffer(sb, np.uint8)).sum() < least_equal:
-                    continue
-                if last != u:
-                    last, held = u, shingle_set(ta, k)
+            for u, v, ta, tb in zip(part["u"], part["v"], part["text_u"], part["text_v"]):
+                if last != (u, ta):
+                    last, held = (u, ta), shingle_set(ta, k)
                 other = shingle_set(tb, k)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 if 100 * both >= percent * (len(held) + len(other) - both):
@@ -164,9 +177,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("doc_id").alias("class_id"), F.max_by(F.struct("bands", "sig", "n_shingles"), F.lit(0)).alias("one")), "classes")
     reps = classes.select(F.col("class_id").alias("rep"), "set_key", "one.*")
     wanted = stored(_meeting(reps.select("rep", "set_key", "bands")).select("rep", "set_key").distinct(), "wanted")
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(
-        wanted.select("rep").distinct(), "rep", "left_semi")
-    texts = stored(texts.join(reps.select("rep", "sig"), "rep"), "texts")
+    # Ids of a measured size are broadcast, so that the texts nobody asks for are not shuffled.
+    texts = stored(df.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(
+        small(wanted.select("rep").distinct(), F.lit(8), 64), "rep", "left_semi"), "texts")
     shingles = texts.select("rep", "text").mapInPandas(_shingles(k), "rep long, shingles array<long>")
     alone = shingles.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
         F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi").groupBy("rep").agg(F.count(F.lit(1)).alias("n_alone"))
@@ -175,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     live = reps.join(wanted.select("set_key"), "set_key", "left_semi").join(alone.join(one_set, "rep", "left_semi"), "rep", "left")
     live = live.withColumn("n_common", F.col("n_shingles") - F.coalesce("n_alone", F.lit(0))).where(
         100 * F.col("n_common") >= percent * F.col("n_shingles"))
-    members = stored(_meeting(live.select("rep", "n_shingles", "n_common", "bands")), "members")
+    members = stored(_meeting(live.select("rep", "n_shingles", "n_common", "sig", "bands")), "members")
 
     links = spark.createDataFrame([], "u long, v long")
     # Rows that share a doc_id are one document: their classes are linked through it.
@@ -185,8 +198,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(links)
 
     total = bands * rows
-    margin = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / total) ** 0.5
-    least_equal = int(total * margin)
+    # Four bits agree by chance in one case of sixteen.
+    agree = (15 * percent / 100 + 1) / 16
+    most_differing = int(total * (1 - agree + 5 * (agree * (1 - agree) / total) ** 0.5)) + 1
     found, n_centres = [links], 1
     while True:
         labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -199,22 +213,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # The same order in every bucket, so that a group's buckets agree on their centres.
         first = F.struct(F.col("n_common") / F.col("n_shingles"), F.xxhash64("rep"))
         centres = left.groupBy("band", "key", spread.alias("part")).agg(
-            F.max_by(F.struct("rep", "root", "n_shingles", "n_common"), first).alias("c"))
+            F.max_by(F.struct("rep", "root", "n_shingles", "n_common", "sig"), first).alias("c"))
         centres = stored(centres.select("band", "key", F.col("c.rep").alias("c_rep"), F.col("c.root").alias("c_root"),
-                                        F.col("c.n_shingles").alias("c_n"), F.col("c.n_common").alias("c_common")), "centres")
+                                        F.col("c.n_shingles").alias("c_n"), F.col("c.n_common").alias("c_common"), F.col("c.sig").alias("c_sig")), "centres")
         both = F.least("n_common", "c_common")
-        near = (100 * both >= percent * (F.col("n_shingles") + F.col("c_n") - both)) & (F.col("root") != F.col("c_root"))
+        near = (100 * both >= percent * (F.col("n_shingles") + F.col("c_n") - both)) & (F.col("root") != F.col("c_root")) & (
+            differing("sig", "c_sig", total) <= most_differing)
         pairs = left.join(centres, ["band", "key"]).where(near).select(
             F.least("rep", "c_rep").alias("u"), F.greatest("rep", "c_rep").alias("v")).distinct()
-        side = lambda c: texts.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("text").alias(f"text_{c}"))
-        checked = pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_verifier(k, percent, least_equal), "u long, v long")
+        side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+        checked = pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_verifier(k, percent), "u long, v long")
         fresh = stored(checked.distinct(), "links")
         if not fresh.isEmpty():
             found.append(fresh)
             old = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
             labels = components(old.unionByName(fresh))
         members = left.join(centres.select("band", "key", F.col("c_rep").alias("rep")), ["band", "key", "rep"], "left_anti").select(
-            "band", "key", "rep", "n_shingles", "n_common")
+            "band", "key", "rep", "n_shingles", "n_common", "sig")
         n_centres *= 4
 
     links = reduce(DataFrame.unionByName, found).distinct()
