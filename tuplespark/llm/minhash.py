@@ -134,16 +134,31 @@ def _shingles(k: int):
     return run
 
 
-def _verifier(k: int, percent: int):
+def _verifier(k: int, percent: int, members: int = 2_000_000):
+    """Confirms pairs on full sets. A text that meets many others is cut into
+    shingles once; sets of at most ``members`` shingles are remembered."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}
+        size = 0
+
+        def shingles(text: str) -> np.ndarray:
+            nonlocal size
+            got = known.get(text)
+            if got is None:
+                got = shingle_set(text, k)
+                if size + len(got) > members:
+                    known.clear()
+                    size = 0
+                known[text] = got
+                size += len(got)
+            return got
+
         for part in parts:
-            keep, last, held = [], None, None
+            keep = []
             for u, v, ta, tb in zip(part["u"], part["v"], part["text_u"], part["text_v"]):
-                if last != (u, ta):
-                    last, held = (u, ta), shingle_set(ta, k)
-                other = shingle_set(tb, k)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if 100 * both >= percent * (len(held) + len(other) - both):
+                x, y = shingles(ta), shingles(tb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append((u, v))
             yield pd.DataFrame(keep, columns=["u", "v"], dtype="int64")
     return run
