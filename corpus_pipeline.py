@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The toxicity stage learns a model, which SQL cannot express; see tests/llm/test_pipeline.py.
+#: The toxicity stage learns a model, which SQL cannot express; see tests/llm/test_models_and_pages.py.
 ORACLE_SQL = None
