@@ -223,8 +223,8 @@ SELECT doc_id, CAST(li AS BIGINT) AS line_idx, line, body,
        CAST(CASE WHEN body IS NOT NULL THEN len(string_split(body, ',,')) END AS BIGINT) AS n_parts FROM b
 """
 
-ORACLE["parse_annotation"] = with_ctes(*GOLD, GOLD_REPLIES, ANNO_LINES) + """
-, ar AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS tidx,
+ANNO_TUPLES = """
+ar AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS BIGINT) AS tidx,
    parts[2] AS subj,
    CASE WHEN contains(parts[1], '###') THEN list_transform(string_split(parts[1], '###'), lambda x: trim(x, ' '))[-1]
         ELSE parts[1] END AS pred,
@@ -234,6 +234,9 @@ ORACLE["parse_annotation"] = with_ctes(*GOLD, GOLD_REPLIES, ANNO_LINES) + """
         THEN {'prep': trim(string_split(o, '###')[1], ' '), 'obj': trim(string_split(o, '###')[2], ' ')}
         ELSE {'prep': '', 'obj': o} END) AS objs
   FROM al WHERE len(parts) >= 2)
+"""
+
+ORACLE["parse_annotation"] = with_ctes(*GOLD, GOLD_REPLIES, ANNO_LINES, ANNO_TUPLES) + """
 SELECT doc_id, tidx, subj, pred, array_to_string(auxi, ' ### ') AS auxi, CAST(len(auxi) AS BIGINT) AS n_auxi,
        array_to_string(list_transform(objs, lambda o: o.prep || ' ### ' || o.obj), ' ,, ') AS objs,
        CAST(len(objs) AS BIGINT) AS n_objs
@@ -816,3 +819,48 @@ SELECT CASE WHEN {BUCKET.format(k='doc_id')} = 0 THEN 'test1' ELSE 'test2' END A
 ORACLE["sink_ordered"] = with_ctes(OIE_PAIRS) + """
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_no, doc_id || '_0' AS idents FROM oie_pairs
 """
+
+
+# ---------------------------------------------------------------------------
+# M7: whole runs over corpus files
+# ---------------------------------------------------------------------------
+
+ORACLE["annotate_chain"] = with_ctes(*GOLD, GREC, GOLD_REPLIES, ANNO_LINES, ANNO_TUPLES) + f"""
+, todo AS (SELECT DISTINCT doc_id, doc_id IN (SELECT doc_id FROM labels) AS held FROM g),
+s AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM todo)
+SELECT s.rank AS line_no, CAST(CASE WHEN held THEN s.doc_id ELSE s.rank END AS BIGINT) AS sidx, 'sentence ' || s.doc_id AS sent, tidx, {FLAT}
+FROM s JOIN (SELECT 0 AS k, * FROM ar UNION ALL SELECT 1 AS k, * FROM g) t ON t.doc_id = s.doc_id AND (t.k = 1) = s.held
+"""
+
+ORACLE["annotate_audit"] = with_ctes(*GOLD, GREC, GOLD_REPLIES.replace("FROM g ", "FROM g WHERE doc_id NOT IN (SELECT doc_id FROM labels) "), ANNO_LINES) + f"""
+, items AS (SELECT sent, line_no, row_number() OVER (PARTITION BY sent ORDER BY line_no) AS i,
+                   array_to_string(list_prepend(pred, args), ' ;; ') AS body FROM grec),
+prompts AS (SELECT sent, {lit(K.ANNOTATION_HEADER)} || sent || chr(10) || chr(10) || 'Before:' || chr(10)
+    || string_agg(i || '. ' || body || chr(10) || chr(10) || 'After:', '' ORDER BY line_no) AS prompt FROM items GROUP BY sent),
+spent AS (SELECT sum(len({W("p.prompt || chr(10) || r.reply")})) AS tokens, count(*) AS requests
+          FROM prompts p JOIN replies r ON 'sentence ' || r.doc_id = p.sent),
+v AS (SELECT 'item_not_numeric' AS rule FROM al WHERE NOT regexp_full_match(item, '[0-9]+')
+  UNION ALL SELECT 'pred_pieces' FROM al WHERE contains(parts[1], '###') AND len(string_split(parts[1], '###')) <> 2
+  UNION ALL SELECT 'no_subject' FROM al WHERE len(parts) < 2
+  UNION ALL SELECT 'subj_has_sep' FROM al WHERE contains(parts[2], '###')
+  UNION ALL SELECT 'obj_pieces' FROM al WHERE len(list_filter(parts[3:], lambda o: contains(o, '###') AND len(string_split(o, '###')) <> 2)) > 0
+  UNION ALL SELECT 'short_reply' FROM replies WHERE length(reply) < 10
+  UNION ALL SELECT 'too_many_args' FROM grec WHERE len(args) > 4)
+SELECT rule, count(*) AS n FROM v GROUP BY rule
+UNION ALL SELECT 'requests', requests FROM spent UNION ALL SELECT 'tokens', CAST(tokens AS BIGINT) FROM spent
+"""
+
+ORACLE["evaluate_corpus"] = with_ctes(*SCORE_CTES, GREEDY_P, PERMS, *dist_ctes("sequential")) + SENT_SCORES + """
+SELECT row_number() OVER (ORDER BY s.doc_id) - 1 AS line_no, CAST(s.doc_id AS BIGINT) AS sidx, round(prec, 6) AS prec, round(rec, 6) AS rec,
+       round(f_score, 6) AS f_score, coalesce(d.dists, '') AS dists, CAST(prec_den AS BIGINT) AS n_triples
+FROM sscore3 s LEFT JOIN (SELECT doc_id, string_agg(CAST(CAST(d AS BIGINT) AS VARCHAR), ',' ORDER BY d, gidx, pidx) AS dists
+                          FROM gd GROUP BY doc_id) d ON d.doc_id = s.doc_id
+"""
+
+_PADDED = "list_concat({x}, list_transform(range(n_pad), lambda x: {fill}))"
+ORACLE["training_chain"] = with_ctes(*EXAMPLES, """
+lb AS (SELECT *, (idx // 32) * 4 + (row_number() OVER (PARTITION BY idx // 32 ORDER BY length DESC, idx) - 1) // 8 AS batch_id FROM exi)""", """
+b AS (SELECT *, max(length) OVER (PARTITION BY batch_id) - length AS n_pad FROM lb)""") + f"""
+SELECT idx AS line_no, CAST(batch_id AS BIGINT) AS batch_id, CAST(length AS BIGINT) AS length, CAST(n_pad AS BIGINT) AS n_pad,
+       {CHK(_PADDED.format(x="input_ids", fill=2))} AS ids_check, {CHK(_PADDED.format(x="labels", fill=-100))} AS labels_check FROM b
+"""

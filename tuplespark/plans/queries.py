@@ -928,3 +928,64 @@ def q_sink_ordered(spark, sf_dir):
     C.write_predictions(predictions(spark, sf_dir).withColumn("idx", F.expr("CAST(split(idents, '_')[0] AS BIGINT)")), path, order_by=["idx"])
     lines = C.read_lines(spark, path)
     return lines.select("line_no", F.get_json_object("value", "$.idents").alias("idents"))
+
+
+# ---------------------------------------------------------------------------
+# M7: whole runs over corpus files
+# ---------------------------------------------------------------------------
+from tuplespark.plans.chains import annotate_corpus, echo_annotator, evaluate_corpus, training_examples  # noqa: E402
+
+
+def _annotated_runs(spark, sf_dir):
+    """Gold records as a TSV file, a store that holds the ``labels`` documents
+    twice (parsed output first, gold last: the last one wins), and a run over both."""
+    base = scratch_path(spark, "annotate")
+    C.write_gold_tsv(gold_records(spark, sf_dir), base + "/gold", order_by=["line_no"])
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sidx")).distinct()
+    older = predictions(spark, sf_dir).select(F.expr("CAST(split(idents, '_')[0] AS INT)").alias("sidx"), F.col("text").alias("sent"),
+                                              "triples", F.lit(0).alias("pos"))
+    both = older.unionByName(annotated_corpus(spark, sf_dir).withColumn("pos", F.lit(1))).join(labelled, "sidx", "left_semi")
+    C.write_annotated(both, base + "/store", order_by=["pos", "sidx"])
+    run = annotate_corpus(spark, base + "/gold", base + "/out", echo_annotator, store=base + "/store", pause=0.0)
+    return run, C.read_annotated(spark, base + "/out", line_no=True)
+
+
+@query("annotate_chain")
+def q_annotate_chain(spark, sf_dir):
+    """TSV -> group -> resume -> request -> reply -> parse -> file, read back."""
+    _, back = _annotated_runs(spark, sf_dir)
+    return _flat_tuples(back.withColumn("sidx", F.col("sidx").cast("bigint")), ["line_no", "sidx", "sent"])
+
+
+@query("annotate_audit")
+def q_annotate_audit(spark, sf_dir):
+    """Violations of the run by rule, and its requests and tokens as rows."""
+    run, _ = _annotated_runs(spark, sf_dir)
+    rules = run.violations.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    spent = run.usage.select(F.expr("stack(2, 'requests', n_requests, 'tokens', total_tokens) AS (rule, n)"))
+    return rules.unionByName(spent).select("rule", F.col("n").cast("bigint").alias("n"))
+
+
+@query("evaluate_corpus")
+def q_evaluate_corpus(spark, sf_dir):
+    """An annotated file evaluated against stored outputs; predictions written."""
+    base = scratch_path(spark, "evaluate")
+    C.write_annotated(annotated_corpus(spark, sf_dir), base + "/gold", order_by=["sidx"])
+    outputs = oie_pairs(spark, sf_dir).select(F.concat(F.lit("sentence "), F.col("doc_id").cast("string")).alias("sent"),
+                                              F.col("pred_str").alias("output"))
+    ev = evaluate_corpus(spark, base + "/gold", base + "/preds", outputs=outputs, cfg=EvalConfig(beta=0.5))
+    kept = C.read_lines(spark, base + "/preds").select("line_no", F.expr("size(from_json(value, 'triples ARRAY<STRING>').triples)").alias("n"))
+    return ev.join(kept, "line_no").select(
+        "line_no", F.col("sidx").cast("bigint").alias("sidx"), *[_r6(F.col(c)).alias(c) for c in ("prec", "rec", "f_score")],
+        F.array_join(F.transform("levenshtein_dists", lambda x: x.cast("string")), ",").alias("dists"), F.col("n").cast("bigint").alias("n_triples"))
+
+
+@query("training_chain")
+def q_training_chain(spark, sf_dir):
+    """An annotated file turned into padded batches of similar length, as Parquet."""
+    base = scratch_path(spark, "training")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("sidx"), F.col("text").alias("sent"))
+    C.write_annotated(annotated_corpus(spark, sf_dir).drop("sent").join(docs, "sidx"), base + "/gold", order_by=["sidx"])
+    ex = training_examples(spark, base + "/gold", base, size=8, mega=4)
+    return ex.select("line_no", "batch_id", F.col("length").cast("bigint").alias("length"), F.col("n_pad").cast("bigint").alias("n_pad"),
+                     checksum(F.col("input_ids")).alias("ids_check"), checksum(F.col("labels")).alias("labels_check"))
