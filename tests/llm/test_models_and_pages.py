@@ -15,7 +15,35 @@ def test_toxicity_held_out(spark):
     restore = toxicity.Restorer(model.logp)
     for token, word in (("$tupid", "stupid"), ("stuuuupid", "stupid"), ("m0r0n!!", "moron"), ("the###", "the")):
         assert restore.words(token) == (word,), token
-    assert restore.counts("s t u p i d")[0]["stupid"] == 1
+    for token, word in (("!diot", "idiot"), ("|oser", "loser"), ("(lean", "clean"), ("stuupid", "stupid")):
+        assert restore.words(token)[-1] == word, token
+    doc, word, n, words, tokens = toxicity.word_counts(["s t u p i d", None, "so so"], restore)
+    assert {(int(d), words[w], int(k)) for d, w, k in zip(doc, word, n)} >= {(0, "stupid", 1), (2, "so", 2)}
+    assert tokens.tolist() == [6, 0, 2]
+    # A lexicon beyond the bound is joined: the same numbers and scores.
+    table_ = spark.createDataFrame(list(model.lexicon.items()), "form string, weight long")
+    joined = toxicity.Model(model.logp, table_, model.weights)
+    few = docs.limit(300).unionByName(docs.limit(1))
+    both = [sorted(map(tuple, toxicity.score(few, m).select("doc_id", "score").collect())) for m in (model, joined)]
+    assert both[0] == both[1] and len(both[0]) == 301
+
+
+def test_toxicity_counts_whole_texts(spark):
+    logp = toxicity.language_model(spark.createDataFrame([("plain words of a text",)], "text string"))
+    got = toxicity.word_rows(["bad day day", "day", "", "bad"], toxicity.np.array([True, False, False, True]), toxicity.Restorer(logp))
+    rows = {f: tuple(map(int, r)) for f, *r in got[["word", "rows0", "rows1", "uses0", "uses1"]].itertuples(index=False)}
+    assert rows == {"": (1, 3, 1000, 3693), "bad": (0, 2, 0, 2000), "day": (1, 1, 1000, 1693)}
+    got = spark.createDataFrame([("ab",), ("abcdé",), ("abcdefghi",)], "word string").selectExpr("word", f"{toxicity.FORMS} AS forms").collect()
+    assert all(list(r.forms) == toxicity.forms(r.word) for r in got)
+    logp2 = toxicity.measured_texts(["bad bad day", None, "x"], toxicity.Restorer(logp), toxicity.Lexicon({"bad.": 5, "day.": 2}))
+    assert [c.tolist() for c in logp2] == [[12, 0, 0], [3, 0, 0], [5, 0, 0], [3, 0, 1]]
+
+
+def test_toxicity_edges_with_a_model(spark, odd):
+    sf = "/root/testdata/sf0.001"
+    model = toxicity.learn(table(spark, "documents", sf), table(spark, "labels", sf))
+    out = toxicity.score(odd.withColumn("score", toxicity.F.lit("x")), model, keep=["score", "text"]).collect()
+    assert len(out) == odd.count() and all(0 <= r.score <= 1 and r.carried.score == "x" for r in out)
 
 
 def test_toxicity_edges(spark, odd, empty):
