@@ -11,6 +11,7 @@ def test_toxicity_held_out(spark):
     docs, labels = table(spark, "documents", sf), table(spark, "labels", sf)
     model = toxicity.learn(docs, labels)
     rows = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").collect()
+    assert model.lexicon and sum(r.predicted and r.toxic for r in rows) >= 0.7 * sum(r.toxic for r in rows)
     assert len(rows) > 40 and sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
     restore = toxicity.Restorer(model.logp)
     for token, word in (("$tupid", "stupid"), ("stuuuupid", "stupid"), ("m0r0n!!", "moron"), ("the###", "the")):
@@ -32,6 +33,7 @@ def test_toxicity_counts_whole_texts(spark):
     logp = toxicity.language_model(spark.createDataFrame([("plain words of a text",)], "text string"))
     got = toxicity.word_rows(["bad day day", "day", "", "bad"], toxicity.np.array([True, False, False, True]), toxicity.Restorer(logp))
     rows = {f: tuple(map(int, r)) for f, *r in got[["word", "rows0", "rows1", "uses0", "uses1"]].itertuples(index=False)}
+    assert list(got.columns) == ["word", "rows0", "rows1", "uses0", "uses1"]
     assert rows == {"": (1, 3, 1000, 3693), "bad": (0, 2, 0, 2000), "day": (1, 1, 1000, 1693)}
     got = spark.createDataFrame([("ab",), ("abcdé",), ("abcdefghi",)], "word string").selectExpr("word", f"{toxicity.FORMS} AS forms").collect()
     assert all(list(r.forms) == toxicity.forms(r.word) for r in got)

@@ -404,7 +404,8 @@ def word_rows(texts, toxic: np.ndarray, restorer: Restorer) -> pd.DataFrame:
     for y, mine in ((0, ~toxic[doc]), (1, toxic[doc])):
         rows, uses = np.bincount(word[mine], minlength=len(words)), np.bincount(word[mine], used[mine], len(words)).astype(np.int64)
         out[f"rows{y}"], out[f"uses{y}"] = np.append(rows.sum(), rows), np.append(uses.sum(), uses)
-    return pd.DataFrame(out)
+    # Arrow columns are taken by place, not by name.
+    return pd.DataFrame(out)[["word", "rows0", "rows1", "uses0", "uses1"]]
 
 
 def measured(df: DataFrame, model: Model, cols: list[str], text_col: str = "text") -> DataFrame:
