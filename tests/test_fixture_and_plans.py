@@ -35,6 +35,14 @@ def test_scoring_plan_has_no_python_and_no_single_partition(spark, sf001):
     assert "SinglePartition" not in plan
 
 
+def test_word_overlap_splits_each_text_once(spark, sf001):
+    from tuplespark.plans import queries as Q
+    plan = Q.QUERIES["word_overlap"](spark, sf001)._jdf.queryExecution().optimizedPlan().toString()
+    ov = next(l for l in plan.split("\n") if "AS ov_text" in l)
+    # Not again in the lambda over the common words.
+    assert ov.count("split(") == 2
+
+
 def test_parquet_scan_is_pruned(spark, sf001):
     from tuplespark.plans import queries as Q
     plan = _physical(Q.QUERIES["facts_wide"](spark, sf001))
