@@ -59,3 +59,29 @@ def test_batches_and_length_buckets(spark):
     for bid, rows in by.items():   # batches of a mega-batch are ordered by length
         other = [r for r in lb if r.batch_id // 2 == bid // 2 and r.batch_id > bid]
         assert all(min(x.length for x in rows) >= y.length for y in other)
+
+
+def test_encode_repeated_and_null_keys_chunks_and_length(spark, monkeypatch):
+    from tuplespark.operators import examples
+    v = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6), (None, 9)], "token string, id long")
+    df = spark.createDataFrame([(1, "x", ["a", "b"], ["c"]), (2, "y", ["b", "zz"], []), (2, "z", ["c"], ["a", "a", "a"]),
+                                (None, "n", ["a"], ["b"]), (3, "o", [], None), (4, "p", ["a", None], ["b"])],
+                               "k long, more string, p array<string>, t array<string>")
+    want = {"x": ([4, 5], [6]), "y": ([5, 6, 3], [4, 4, 4]), "z": ([5, 6, 3], [4, 4, 4]), "n": ([], []), "o": ([], []), "p": ([4, 3], [5])}
+    for mb in (64, -1):
+        monkeypatch.setattr(examples, "BROADCAST_MB", mb)
+        enc = encode(df, ["k"], ["p", "t"], v, ["pi", "ti"], chunk_bytes=2)
+        assert {r.more: (list(r.pi), list(r.ti)) for r in enc.collect()} == want
+    cut = encode(df.where("k = 1 OR more = 'z'"), ["k"], ["p", "t"], v, ["pi", "ti"], max_length=2)
+    assert {r.more: (list(r.pi), list(r.ti)) for r in cut.collect()} == {"x": ([4, 5], []), "z": ([6], [4])}
+
+
+def test_encode_looks_up_distinct_tokens_only(spark, monkeypatch):
+    from tuplespark.operators import examples
+    monkeypatch.setattr(examples, "BROADCAST_MB", -1)
+    df = spark.createDataFrame([(k, ["a", "b", "a"] * 50) for k in range(200)], "k long, tok array<string>")
+    enc = encode(df, ["k"], "tok", spark.createDataFrame([("a", 4)], "token string, id long"))
+    assert {tuple(r.ids) for r in enc.collect()} == {(4, 3, 4) * 50}
+    plan = enc._jdf.queryExecution().optimizedPlan().toString()
+    # Before, every token was a row of a join on the token, and the rows were collected by key.
+    assert "collect_list" not in plan and "array_distinct" in plan
