@@ -80,3 +80,19 @@ def test_training_examples_are_padded_batches(spark):
     ids = {r.token: r.id for r in spark.read.parquet(out + "/vocab").collect()}
     assert rows[0].input_ids[-2] == ids["town"] and min(ids.values()) == 4
     assert ex.where(F.size("input_ids") != F.size("labels")).count() == 0
+
+
+def test_usage_totals_parses_gold_once(spark, sf001):
+    from tuplespark.plans import queries as Q
+    plan = Q.QUERIES["usage_totals"](spark, sf001)._jdf.queryExecution().optimizedPlan().toString()
+    # Before, the fixture was built and parsed for the replies and twice for the numbered sentences.
+    assert "regexp_extract_all" not in plan
+
+
+def test_annotation_reads_written_tuples(spark, sf001, monkeypatch):
+    from tuplespark.plans import queries as Q
+    plans, write = [], Q.C.write_gold_tsv
+    monkeypatch.setattr(Q.C, "write_gold_tsv", lambda df, *a, **k: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a, **k))[1])
+    Q._annotated_runs(spark, sf001)
+    assert len(plans) == 1 and "regexp_extract_all" not in plans[0]

@@ -10,6 +10,7 @@ from tuplespark import constants as K
 from tuplespark.functions.arrays import explode_rows
 from tuplespark.functions.parse import annotation_lines
 from tuplespark.operators.indexing import with_index
+from tuplespark.session import materialize
 
 
 def to_template(df: DataFrame, n_objects: int = K.TEMPLATE_OBJECTS) -> DataFrame:
@@ -29,7 +30,8 @@ def group_by_sentence(df: DataFrame, sent: str = "sent", pos: str = "line_no",
     """AGG-1: a sentence's records in file order, plus ``sidx`` = rank of the
     sentence's first appearance (0-based, distributed index)."""
     record = record or ["pred", "args"]
-    grouped = (df.groupBy(sent)
+    # Written once: numbering reads it for the keys and again for the rows.
+    grouped = materialize(df.groupBy(sent)
                  .agg(F.min(pos).alias("first_pos"),
                       F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *record))).alias("records")))
     return with_index(grouped, ["first_pos"], out="sidx").withColumn("sidx", F.col("sidx").cast("int"))
