@@ -13,8 +13,10 @@ from tests.reference_loops import edit_distance
 from tests.reference_loops import greedy as loop_greedy
 from tests.reference_loops import sentence as loop_sentence
 from tuplespark.operators import distance as D
+from tuplespark.operators import packed as packed_tuples
 from tuplespark.operators.matching import greedy_match
-from tuplespark.plans.evaluate import EvalConfig, evaluate
+from tuplespark.operators.metrics import distance_histogram
+from tuplespark.plans.evaluate import EvalConfig, evaluate, parse_sentences
 
 tokens = st.lists(st.sampled_from("abcd"), max_size=5)
 
@@ -99,3 +101,44 @@ def test_decreasing_chain_is_folded_in_bands(spark):
     got = sorted((r.k, r.g, r.p, r.s) for r in greedy_match(df, "k", "g", "p", "s", fold_cells=12).collect())
     want = [(k, i, j, s) for k in (1, 2) for (i, j), s in loop_greedy({(i, j): s for kk, i, j, s in cells if kk == k})]
     assert got == sorted(want)
+
+
+def _random_tuples(rng, most):
+    tokens = lambda n: [rng.randrange(5) for _ in range(rng.randint(0, n))]
+    golds = [tokens(9) for _ in range(rng.randint(1, most))]
+    return golds, [(tokens(3), [tokens(3) for _ in range(rng.randint(0, 5))]) for _ in range(rng.randint(1, most))]
+
+
+def test_packed_gold_tuples_equal_the_recurrence_and_the_loop():
+    rng = random.Random(5)
+    for _ in range(150):
+        golds, preds = _random_tuples(rng, 6)
+        cells = {(i, j): D.least_distance(g, *p) for i, g in enumerate(golds) for j, p in enumerate(preds)}
+        packed = packed_tuples.Golds(golds)
+        for j, p in enumerate(preds):
+            assert packed.distances(p).tolist() == [cells[i, j] for i in range(len(golds))]
+            assert [packed_tuples.is_order(g, p) for g in golds] == [cells[i, j] == 0 for i in range(len(golds))]
+        assert packed_tuples.match(golds, preds) == [d for _, d in loop_greedy(cells, higher=False)]
+
+
+def test_sentences_in_their_row_equal_those_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(i, _long_text(rng, rng.randint(0, 12)), _long_text(rng, rng.randint(0, 12))) for i in range(12)] + [(90, "", ""), (91, None, "a ,, b")]
+    sents = parse_sentences(texts_df(spark, rows)).localCheckpoint()
+    cut = spark.createDataFrame([(i, 0, 1) for i in range(12)], "doc_id long, gidx long, g_n_cut int")
+    for given in (None, cut):
+        got = [{r.doc_id: list(r.levenshtein_dists) for r in D.sentence_distances(sents, gold_cut=given, local_pairs=n).collect()}
+               for n in (0, D.LOCAL_PAIRS)]
+        assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
+def test_histogram_reads_the_distances_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    df = spark.range(50).selectExpr("array(CAST(id % 3 AS INT)) AS levenshtein_dists").mapInArrow(count, "levenshtein_dists array<int>")
+    assert [(r.distance, r.n) for r in distance_histogram(df).collect()] == [(0, 17), (1, 17), (2, 16)]
+    assert read.value == 50

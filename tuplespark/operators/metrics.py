@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplespark.operators.scoring import f_beta
+from tuplespark.session import materialize
 
 
 def macro_metrics(scores: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -36,12 +37,13 @@ def micro_metrics(scores: DataFrame, beta: float = 1.0) -> DataFrame:
 
 def distance_histogram(dists: DataFrame, col: str = "levenshtein_dists") -> DataFrame:
     """AGG-6: count per distance and its share ``"%.2f%%"`` of all matches,
-    by distance. The total comes from a one-row aggregate joined on a constant key."""
+    by distance. The counts, one row per distance, are written once: the total and
+    the order read them, not the distances."""
     # explode_outer + filter: a plain explode makes Catalyst add size(..) > 0
     # below the generator, which would evaluate the distance expression again.
     d = dists.select(F.explode_outer(col).alias("distance")).where(F.col("distance").isNotNull())
-    counts = d.groupBy("distance").agg(F.count(F.lit(1)).alias("n")).withColumn("__k", F.lit(1))
-    total = d.agg(F.count(F.lit(1)).alias("__total")).withColumn("__k", F.lit(1))
+    counts = materialize(d.groupBy("distance").agg(F.count(F.lit(1)).alias("n"))).withColumn("__k", F.lit(1))
+    total = counts.agg(F.sum("n").alias("__total")).withColumn("__k", F.lit(1))
     return (counts.join(F.broadcast(total), "__k")
                   .select(F.col("distance").cast("bigint").alias("distance"), F.col("n").cast("bigint").alias("n"),
                           F.format_string("%.2f%%", F.round(100.0 * F.col("n") / F.col("__total"), 10)).alias("share"))
