@@ -92,3 +92,28 @@ def test_distance_fallback(spark):
     ev = evaluate(texts_df(spark, [(1, "a ,, b ,, c ,, d", "a ,, b ,, c ,, d\n2. x ,, y")]),
                   cfg=EvalConfig(max_effort=1)).first()
     assert ev.fallback and list(ev.levenshtein_dists) == [20]
+
+
+def test_pairs_of_whole_sentences_equal_the_joined_tuples(spark, monkeypatch):
+    from tuplespark.operators import scoring as S
+    from tuplespark.plans.evaluate import parse_sentences
+    monkeypatch.setattr(S, "BLOCK", 2)
+    text = "cats see ,, do ### eat ,, in ### the houses ,, mice\n2. cats ,, eat ,, mice\n3. dogs ,, eat\n4. cats ,, eats ,, a ,, b c"
+    rows = [(1, text, text.replace("houses", "house")), (2, "a ,, b", ""), (3, "a ,, b", "a c ,, b ,, d"), (4, None, "a ,, b")]
+    sents = parse_sentences(spark.createDataFrame(rows, "doc_id long, gold_str string, pred_str string")).localCheckpoint()
+    lemmas = spark.createDataFrame([("cats", "cat"), ("eats", "eat"), ("houses", "house"), ("dogs", "cats")], "word string, lemma string")
+    for table in (None, lemmas):
+        want = S.candidate_pairs(S.tuple_table(sents, "doc_id", "gold", "gidx", "g_", table), S.tuple_table(sents, "doc_id", "pred", "pidx", "p_", table))
+        got = S.sentence_pairs(sents if table is None else S.sentence_lemmas(sents, "doc_id", table))
+        assert "g_tuple" not in got.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+        assert got.count() > 5
+
+
+def test_words_move_once_per_sentence_and_not_once_per_pair(spark):
+    from tuplespark.operators import scoring as S
+    from tuplespark.plans.evaluate import parse_sentences
+    sents = parse_sentences(spark.createDataFrame([(1, "a ,, b", "a ,, b")], "doc_id long, gold_str string, pred_str string")).localCheckpoint()
+    plan = S.score_pairs(S.sentence_pairs(sents))._jdf.queryExecution().optimizedPlan().toString()
+    # One join finds the ids, one brings the sentences.
+    assert plan.count("Join Inner") == 2

@@ -58,10 +58,11 @@ def batch_totals(batch: DataFrame, cfg: EvalConfig | None = None) -> DataFrame:
     """``run_id`` and sums over the sentences ``run_id, gold_str, pred_str`` of
     a micro-batch; every row is a sentence of its own."""
     cfg = cfg or EvalConfig()
-    rows = materialize(batch.select("run_id", "gold_str", "pred_str", F.expr("uuid()").alias("__key")))
-    sents = materialize(parse_sentences(rows, "__key"))
+    # The key is drawn where the parsed sentences are written; the texts are not written again.
+    rows = batch.select("gold_str", "pred_str", F.struct(F.expr("uuid()").alias("k"), "run_id").alias("__row"))
+    sents = materialize(parse_sentences(rows, "__row").select(F.col("__row.k").alias("__key"), F.col("__row.run_id").alias("run_id"), "gold", "pred"))
     scored = sentence_scores(sents, materialize(pair_scores(sents, "__key", cfg)), "__key", beta=cfg.beta, fold_cells=cfg.fold_cells)
-    return rows.select("__key", "run_id").join(scored, "__key").groupBy("run_id").agg(
+    return sents.select("__key", "run_id").join(scored, "__key").groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), *[F.sum(c).alias(c) for c in TOTALS[1:]])
 
 
