@@ -93,6 +93,32 @@ def test_links_of_edited_copies_match_brute_force(spark):
     assert 20 < len({find(n) for n in sets}) < 220
 
 
+def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Seven words are left out of each copy: all share buckets and nearly all shingles, few reach 85 %."""
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(160)]
+    cuts = [4 * np.sort(rng.choice(39, 7, replace=False)) + 2 for _ in range(120)]
+    cuts += [np.append(c[:-1], c[-1] + 1) for c in cuts[:10]]  # one place beside: linked to their model
+    rows = [(n, " ".join(np.delete(base, c))) for n, c in enumerate(cuts)] + [(999, " ".join(base))]
+    sets = {n: {tuple(t.split()[i:i + 3]) for i in range(len(t.split()) - 2)} for n, t in rows}
+    linked = {(v, u) for u in sets for v in sets if v < u and 100 * len(sets[u] & sets[v]) >= 85 * len(sets[u] | sets[v])}
+    made, plain = [], minhash.stored
+
+    def spy(df, name):
+        out = plain(df, name)
+        made.append((name, out.count()))
+        return out
+    monkeypatch.setattr(minhash, "stored", spy)
+    out = {r.doc_id: r.component_id for r in minhash.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    root = {n: n for n in sets}
+    for _ in sets:
+        for v, u in linked:
+            root[u] = root[v] = min(root[u], root[v])
+    assert out == root and 10 <= len(linked) < 100
+    left = [n for name, n in made if name == "left"]
+    assert left[0] > 1000 and sum(left[2:]) < left[0] / 4
+
+
 def test_odd_rows(spark, odd):
     n = odd.count()
     q = {(r.doc_id, r.n_words, r.n_repeat_words): r for r in quality.digest(odd).collect()}

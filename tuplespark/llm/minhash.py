@@ -20,10 +20,16 @@
    against its whole bucket and leaves it; a bucket is finished when its
    remaining members are in one component. So every pair that shares a bucket
    is in one component, ruled out by the bound, or was compared: nothing is
-   capped. A group of thousands of edited copies costs a few pairs per member;
-   only texts that share most shingles with others of the group, differently
-   each time, are compared pair by pair.
-5. The component's least doc_id is its id; the document carrying it stays.
+   capped. A group of thousands of edited copies costs a few pairs per member.
+5. After the first round the bound of 3 is sharpened for the texts that are left
+   (``_sharper``). With their shingles ordered from rare to frequent, a pair has
+   at most as many in common as either text holds from the first common one on.
+   Pairs whose first common shingle is rare meet there, under that bound, in
+   whatever bucket they are; for the others only frequent shingles can be
+   common, and these alone count in the next rounds, where a member takes part
+   as long as its bucket has one of another component within the bound
+   (``_in_reach``). Both ways together lose no link.
+6. The component's least doc_id is its id; the document carrying it stays.
 
 With 28 bands of 5 rows a pair at 85 % similarity shares no bucket with a
 probability of 8e-8, and its signature falls below the estimate's margin (five
@@ -45,13 +51,15 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tuplespark.llm.common import ship_package, small, stored
 from tuplespark.llm.components import components
 from tuplespark.llm.hashing import U, mix, shingle_hashes, word_hashes
 
+#: Shingles held by more of the texts that are left are frequent (fewer where the rare ones would make too many rows).
+MOST_RARE = 256
 SIGNED = "id struct<doc_id: bigint>, n_shingles long, set_key binary, bands array<long>, sig array<long>"
 
 
@@ -179,6 +187,59 @@ def _meeting(reps: DataFrame) -> DataFrame:
     return entries.join(shared.select("band", "key"), ["band", "key"])
 
 
+def _sharper(left: DataFrame, texts: DataFrame, one_set: DataFrame, k: int, percent: int, total: int,
+             most_differing: int) -> tuple[DataFrame, DataFrame]:
+    """``(u, v)``: pairs of the representatives in ``left`` whose first common shingle, from rare to
+    frequent, is rare and leaves the threshold in reach. And ``(rep, n_hot)``: the number of frequent
+    shingles, all that can be common to any other pair. The limit between rare and frequent lies
+    where the rare ones still make fewer rows than the texts have shingles. Representatives with
+    several sets are held to no bound and get no ``n_hot``."""
+    asked = left.select("rep", "root", "n_shingles", "sig").distinct().join(one_set, "rep", "left_semi")
+    held = texts.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInPandas(
+        _shingles(k), "rep long, shingles array<long>")
+    held = stored(held.select("rep", F.explode("shingles").alias("shingle")).distinct(), "left-shingles")
+    often = stored(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_reps")).where("n_reps > 1"), "left-often")
+    # The n-th from the most frequent one back: so many are held from this shingle on.
+    back = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n_reps"), F.desc("shingle")))
+    first = held.join(often, "shingle").withColumn("most", back).join(asked, "rep", "left").where(
+        F.coalesce(100 * F.col("most") >= percent * F.col("n_shingles"), F.lit(True)))
+    first = stored(first.where(F.col("n_reps") <= MOST_RARE), "left-first")
+    per = first.groupBy("shingle", "n_reps").agg(F.count(F.lit(1)).alias("n"))
+    step = F.ceil(F.log2("n_reps")).cast("int")
+    rows = per.groupBy(step.alias("step")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("rows")).orderBy("step").collect()
+    rare, made, most = 1, 0, held.count()
+    for r in rows:
+        made += r["rows"]
+        if made > most:
+            break
+        rare = 2 ** r["step"]
+    first = first.where(F.col("n_reps") <= rare)
+    side = lambda c: first.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in ("rep", "root", "n_shingles", "sig", "most")])
+    both = F.least("u_most", "v_most")
+    near = (100 * both >= percent * (F.col("u_n_shingles") + F.col("v_n_shingles") - both)) & (F.col("u_root") != F.col("v_root")) & (
+        differing("u_sig", "v_sig", total) <= most_differing)
+    pairs = side("u").join(side("v"), "shingle").where((F.col("u_rep") < F.col("v_rep")) & F.coalesce(near, F.lit(True)))
+    hot = held.join(often.where(F.col("n_reps") > rare), "shingle").groupBy("rep").agg(F.count(F.lit(1)).alias("n_hot"))
+    hot = asked.select("rep").join(hot, "rep", "left").select("rep", F.coalesce("n_hot", F.lit(0)).alias("n_hot"))
+    return pairs.select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).distinct(), hot
+
+
+def _in_reach(labelled: DataFrame, percent: int) -> DataFrame:
+    """The rows of bucket members that could meet a member of another component under the bound: one
+    not too large for the common shingles of the row, and one whose own allow the size of the row."""
+    reach = (100 + percent) * F.col("n_common") - percent * F.col("n_shingles")
+    per = labelled.groupBy("band", "key", "root").agg(F.min("n_shingles").alias("least"), F.max(reach).alias("far"))
+    one = per.groupBy("band", "key").agg(F.min("least").alias("least_1"), F.min_by("root", "least").alias("least_root"),
+                                         F.max("far").alias("far_1"), F.max_by("root", "far").alias("far_root"))
+    # Of the best component itself, the others' best counts.
+    two = per.join(one, ["band", "key"]).groupBy("band", "key", *one.columns[2:]).agg(
+        F.min(F.when(F.col("root") != F.col("least_root"), F.col("least"))).alias("least_2"),
+        F.max(F.when(F.col("root") != F.col("far_root"), F.col("far"))).alias("far_2"))
+    least, far = (F.when(F.col("root") == F.col(f"{c}_root"), F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")) for c in ("least", "far"))
+    return labelled.join(two, ["band", "key"]).where((percent * least <= reach) & (percent * F.col("n_shingles") <= far)).select(
+        labelled.columns)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                     bands: int = 28, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id, kept, n_links`` per row.
@@ -216,14 +277,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Four bits agree by chance in one case of sixteen.
     agree = (15 * percent / 100 + 1) / 16
     most_differing = int(total * (1 - agree + 5 * (agree * (1 - agree) / total) ** 0.5)) + 1
-    found, n_centres = [links], 1
+    side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+    found, n_centres, sharp = [links], 1, False
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """``labels`` with the links among ``pairs``, which go to ``found``."""
+        checked = pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_verifier(k, percent), "u long, v long")
+        fresh = stored(checked.distinct(), "links")
+        if fresh.isEmpty():
+            return labels
+        found.append(fresh)
+        return components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(fresh))
+
     while True:
         labelled = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "root", F.coalesce("root", "rep"))
-        unresolved = labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        left = stored(labelled.join(unresolved.select("band", "key"), ["band", "key"]), "left")
+        if sharp:
+            left = stored(_in_reach(labelled, percent), "left")
+        else:
+            unresolved = labelled.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+            left = stored(labelled.join(unresolved.select("band", "key"), ["band", "key"]), "left")
         if left.isEmpty():
             break
+        if n_centres > 1 and not sharp:
+            pairs, hot = _sharper(left, texts, one_set, k, percent, total, most_differing)
+            labels, sharp = confirm(pairs), True
+            members = stored(left.join(hot, "rep", "left").withColumn("n_common", F.coalesce("n_hot", "n_shingles")).where(
+                100 * F.col("n_common") >= percent * F.col("n_shingles")).select(members.columns), "members")
+            continue
         spread = F.pmod(F.xxhash64("rep", F.lit(n_centres)), F.lit(n_centres))
         # The same order in every bucket, so that a group's buckets agree on their centres.
         first = F.struct(F.col("n_common") / F.col("n_shingles"), F.xxhash64("rep"))
@@ -236,13 +317,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             differing("sig", "c_sig", total) <= most_differing)
         pairs = left.join(centres, ["band", "key"]).where(near).select(
             F.least("rep", "c_rep").alias("u"), F.greatest("rep", "c_rep").alias("v")).distinct()
-        side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
-        checked = pairs.join(side("u"), "u").join(side("v"), "v").mapInPandas(_verifier(k, percent), "u long, v long")
-        fresh = stored(checked.distinct(), "links")
-        if not fresh.isEmpty():
-            found.append(fresh)
-            old = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))
-            labels = components(old.unionByName(fresh))
+        labels = confirm(pairs)
         members = left.join(centres.select("band", "key", F.col("c_rep").alias("rep")), ["band", "key", "rep"], "left_anti").select(
             "band", "key", "rep", "n_shingles", "n_common", "sig")
         n_centres *= 4
