@@ -226,3 +226,25 @@ def test_passage_behind_a_partial_repeat_is_found(spark):
     found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.partner_id, [(x.start_word, x.end_word, x.partner_start, x.partner_end) for x in r.passages]) for r in found] == [
         (2, 1, [(50, 110, 0, 60)])]
+
+
+def test_comparison_of_repetitive_texts_measures_each_run_once(monkeypatch):
+    """Each stretch of equal words was measured anew from every place it repeats at: millions of times for such texts."""
+    calls, plain = [0], passages._equal
+
+    def counted(a, b):
+        calls[0] += 1
+        return plain(a, b)
+    monkeypatch.setattr(passages, "_equal", counted)
+    rng = np.random.default_rng(6)
+
+    def text():
+        parts = [[f"w{rng.integers(2)}"] * rng.integers(26, 40) + [f"u{i}" for i in rng.integers(0, 5, 6)] for _ in range(5)]
+        return " ".join(w for part in [*parts[:3], [f"s{i}" for i in range(50)], *parts[3:]] for w in part)
+    pairs = [[passages.Tokens(text(), 21) for _ in range(2)] for _ in range(2)]
+    found = [passages.shared_passages(x, y, 46, 80) for x, y in pairs]
+    assert any(found) and calls[0] <= sum(len(passages._starts(x, y)) for x, y in pairs)
+    # Runs paired value by value and measured on demand give the same.
+    monkeypatch.setattr(passages, "FEW", 0)
+    monkeypatch.setattr(passages, "MOST_PAIRS", 0)
+    assert [passages.shared_passages(x, y, 46, 80) for x, y in pairs] == found
