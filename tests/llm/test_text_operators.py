@@ -97,7 +97,7 @@ def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeyp
     """Seven words are left out of each copy: all share buckets and nearly all shingles, few reach 85 %."""
     rng = np.random.default_rng(5)
     base = [f"t{i}" for i in range(160)]
-    cuts = [4 * np.sort(rng.choice(39, 7, replace=False)) + 2 for _ in range(120)]
+    cuts = [4 * np.sort(rng.choice(39, 7, replace=False)) + rng.integers(0, 2, 7) for _ in range(80)]
     cuts += [np.append(c[:-1], c[-1] + 1) for c in cuts[:10]]  # one place beside: linked to their model
     rows = [(n, " ".join(np.delete(base, c))) for n, c in enumerate(cuts)] + [(999, " ".join(base))]
     sets = {n: {tuple(t.split()[i:i + 3]) for i in range(len(t.split()) - 2)} for n, t in rows}
@@ -116,7 +116,7 @@ def test_copies_below_the_threshold_are_not_compared_pair_by_pair(spark, monkeyp
             root[u] = root[v] = min(root[u], root[v])
     assert out == root and 10 <= len(linked) < 100
     left = [n for name, n in made if name == "left"]
-    assert left[0] > 1000 and sum(left[2:]) < left[0] / 4
+    assert left[0] > 500 and sum(left[2:]) < left[0] / 4
 
 
 def test_odd_rows(spark, odd):
