@@ -10,9 +10,12 @@ import time
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from tuplespark.operators.corpus import group_by_sentence
 from tuplespark.operators.examples import batch_longest, encode, pad_batch
+from tuplespark.plans.chains import echo_annotator, annotate_corpus
 from tuplespark.plans.queries import example_texts
 from tuplespark.session import materialize, release
+from tuplespark.sources import corpus as C
 
 
 def local(path: str) -> str:
@@ -71,3 +74,40 @@ def test_padding_by_known_longest_moves_no_arrays(spark):
         assert "Exchange" not in executed(padded)
         want = pad_batch(df, method).orderBy("k").collect()
         assert padded.select(*want[0].__fields__).orderBy("k").collect() == want
+
+
+def test_numbered_lines_stay_where_they_are_read(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"line {k} {i}\n" for i in range(50)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = C.read_lines(spark, str(tmp_path))
+        exchanges = [x for x in executed(lines).split("\n") if "Exchange hashpartitioning" in x]
+        assert len(exchanges) == 1      # the counts per split, not the lines
+        got = [r.value for r in lines.orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [f"line {k} {i}" for k in range(3) for i in range(50)]
+
+
+def test_annotation_in_compressed_files(spark, tmp_path):
+    gold = spark.createDataFrame([(f"s{i}", "p", ["a", "b"], 2 * i + j) for i in range(9) for j in range(2)],
+                                 "sent string, pred string, args array<string>, line_no long")
+    C.write_gold_tsv(gold, str(tmp_path / "gold"), order_by=["line_no"], compression="gzip")
+    got = {}
+    for kind in (None, "gzip"):
+        out = str(tmp_path / f"out-{kind}")
+        annotate_corpus(spark, str(tmp_path / "gold"), out, echo_annotator, pause=0.0, compression=kind)
+        assert all(f.endswith(".gz") == (kind == "gzip") for f in glob.glob(out + "/part-*"))
+        got[kind] = [str(r) for r in C.read_annotated(spark, out, line_no=True).orderBy("line_no").collect()]
+    assert got[None] == got["gzip"] and len(got[None]) == 9
+
+
+def test_sentence_numbers_are_written(spark):
+    rows = spark.createDataFrame([("b", "p", ["x"], 1), ("a", "p", ["x"], 1), (None, "p", ["x"], 1), ("b", "q", ["x"], 5)],
+                                 "sent string, pred string, args array<string>, line_no long")
+    grouped = group_by_sentence(rows)
+    first = {r.sent: r.sidx for r in grouped.collect()}
+    assert sorted(first.values()) == [0, 1, 2] and set(first) == {"a", "b", None}
+    assert {r.sent: r.sidx for r in grouped.select("sent", "sidx").repartition(3, "sent").collect()} == first
+    assert {r.sent: len(r.records) for r in grouped.collect()} == {"a": 1, "b": 2, None: 1}

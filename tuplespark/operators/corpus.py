@@ -30,11 +30,15 @@ def group_by_sentence(df: DataFrame, sent: str = "sent", pos: str = "line_no",
     """AGG-1: a sentence's records in file order, plus ``sidx`` = rank of the
     sentence's first appearance (0-based, distributed index)."""
     record = record or ["pred", "args"]
-    # Written once: numbering reads it for the keys and again for the rows.
+    # Written once: numbering reads it for the keys and again for the rows. The numbers are written
+    # as well, so every reader of the result sees the same.
     grouped = materialize(df.groupBy(sent)
                  .agg(F.min(pos).alias("first_pos"),
-                      F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *record))).alias("records")))
-    return with_index(grouped, ["first_pos"], out="sidx").withColumn("sidx", F.col("sidx").cast("int"))
+                      F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), *record))).alias("records"))
+                 .withColumn("__group", F.monotonically_increasing_id()))
+    numbers = materialize(with_index(grouped.select("__group", "first_pos"), ["first_pos"], out="sidx")
+                          .select("__group", F.col("sidx").cast("int").alias("sidx")))
+    return grouped.join(numbers, "__group").drop("__group")
 
 
 def render_annotation_prompt(df: DataFrame, records: str = "records", sent: str = "sent",
