@@ -25,7 +25,7 @@ from tuplespark.functions.parse import parse_tuples
 from tuplespark.operators.facts import explode_facts, widen_objects
 from tuplespark.operators.scoring import sentence_scores
 from tuplespark.plans.evaluate import EvalConfig, pair_scores, parse_sentences
-from tuplespark.session import materialize
+from tuplespark.session import materialize, release
 
 OUTPUT_SCHEMA = T.StructType([T.StructField("ident", T.StringType()), T.StructField("output", T.StringType())])
 PAIR_SCHEMA = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("doc_id", T.LongType()),
@@ -61,9 +61,14 @@ def batch_totals(batch: DataFrame, cfg: EvalConfig | None = None) -> DataFrame:
     # The key is drawn where the parsed sentences are written; the texts are not written again.
     rows = batch.select("gold_str", "pred_str", F.struct(F.expr("uuid()").alias("k"), "run_id").alias("__row"))
     sents = materialize(parse_sentences(rows, "__row").select(F.col("__row.k").alias("__key"), F.col("__row.run_id").alias("run_id"), "gold", "pred"))
-    scored = sentence_scores(sents, materialize(pair_scores(sents, "__key", cfg)), "__key", beta=cfg.beta, fold_cells=cfg.fold_cells)
-    return sents.select("__key", "run_id").join(scored, "__key").groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_sentences"), *[F.sum(c).alias(c) for c in TOTALS[1:]])
+    scores = materialize(pair_scores(sents, "__key", cfg))
+    scored = sentence_scores(sents, scores, "__key", beta=cfg.beta, fold_cells=cfg.fold_cells)
+    totals = materialize(sents.select("__key", "run_id").join(scored, "__key").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"), *[F.sum(c).alias(c) for c in TOTALS[1:]]))
+    # The sums, one row a run, are all that a batch leaves.
+    release(sents)
+    release(scores)
+    return totals
 
 
 def _epochs(spark: SparkSession, path: str) -> list[int]:
