@@ -7,9 +7,11 @@ import os
 import random
 import time
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from tuplespark.operators import generate as G
 from tuplespark.operators.corpus import group_by_sentence
 from tuplespark.operators.examples import batch_longest, encode, pad_batch
 from tuplespark.plans.chains import echo_annotator, annotate_corpus
@@ -111,3 +113,20 @@ def test_sentence_numbers_are_written(spark):
     assert sorted(first.values()) == [0, 1, 2] and set(first) == {"a", "b", None}
     assert {r.sent: r.sidx for r in grouped.select("sent", "sidx").repartition(3, "sent").collect()} == first
     assert {r.sent: len(r.records) for r in grouped.collect()} == {"a": 1, "b": 2, None: 1}
+
+
+def test_tokens_of_few_rows_are_python_objects_at_once():
+    alive, most = [0], [0]
+
+    class Token(str):
+        def __new__(cls, x):
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+            return super().__new__(cls, x)
+
+        def __del__(self):
+            alive[0] -= 1
+    rows = pa.array([["a b", "c"], None, []] * 400, pa.list_(pa.string()))
+    got = G._tokenized(rows, lambda x: [Token(w) for w in x.split()])
+    assert got.to_pylist() == [[["a", "b"], ["c"]], None, []] * 400
+    assert most[0] <= 3 * G.TOKENIZED
