@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tuplespark.operators import generate as G
 from tuplespark.operators.corpus import group_by_sentence
 from tuplespark.operators.examples import batch_longest, encode, pad_batch
+from tuplespark.plans import evaluate as E
 from tuplespark.plans.chains import echo_annotator, annotate_corpus
 from tuplespark.plans.queries import example_texts
 from tuplespark.session import materialize, release
@@ -130,3 +131,16 @@ def test_tokens_of_few_rows_are_python_objects_at_once():
     got = G._tokenized(rows, lambda x: [Token(w) for w in x.split()])
     assert got.to_pylist() == [[["a", "b"], ["c"]], None, []] * 400
     assert most[0] <= 3 * G.TOKENIZED
+
+
+def test_words_are_split_once_for_a_lemmatizer(spark, monkeypatch):
+    calls = []
+    split = E.sentence_words
+    from tuplespark.operators import scoring
+    for module in (E, scoring):
+        monkeypatch.setattr(module, "sentence_words", lambda *a, **k: (calls.append(1), split(*a, **k))[1])
+    texts = spark.createDataFrame([(1, "cats sit ,, eats ,, fish", "cat sit ,, eat ,, fish")], "doc_id long, gold_str string, pred_str string")
+    sents = materialize(E.parse_sentences(texts))
+    lemmatizer = G.pandas_lemmatizer(lambda w: w.rstrip("s"))
+    got = E.pair_scores(sents, cfg=E.EvalConfig(lemmatizer=lemmatizer)).collect()
+    assert len(calls) == 1 and [(r.prec, r.rec) for r in got] == [(1.0, 1.0)]
