@@ -248,3 +248,16 @@ def test_comparison_of_repetitive_texts_measures_each_run_once(monkeypatch):
     monkeypatch.setattr(passages, "FEW", 0)
     monkeypatch.setattr(passages, "MOST_PAIRS", 0)
     assert [passages.shared_passages(x, y, 46, 80) for x, y in pairs] == found
+
+
+def test_common_run_in_a_sparse_neighbourhood_is_given_up_at_once(monkeypatch):
+    x = [f"a{i}" for i in range(8000)]
+    # One run of 30 words, then five words in forty in common.
+    y = x[:30] + [w for i in range(40, 7000, 40) for w in [*x[i:i + 5], *(f"b{i}-{k}" for k in range(35))]]
+    calls, best = [], passages.Side.best
+    monkeypatch.setattr(passages.Side, "best", lambda *a: (calls.append(1), best(*a))[1])
+    both = [passages.Tokens(" ".join(t), passages.least_run(46, 80)) for t in (x, y)]
+    assert passages.shared_passages(*both, 46, 80) == [] and len(calls) <= 2
+    whole = passages.Tokens(" ".join(["z"] * 3 + x[:500] + ["q"] + x[501:900]), passages.least_run(46, 80))
+    ((i, e, j, f, same),) = passages.shared_passages(both[0], whole, 46, 80)
+    assert (i, e, j, f) == (0, 896, 3, 899) and same > 0.98
